@@ -6,29 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import blank_to_null, clean_glyphs, collapse, let, normalize_city
+from .text import blank_to_null, clean_glyphs, collapse, constant_map, let, normalize_city
 
 _ZIP = r"\b(\d{5}(?:-\d{4})?)\b"
 
 
-def _state_map() -> Column:
-    pairs = []
-    for code, name in V.US_STATES.items():
-        pairs += [F.lit(code), F.lit(code), F.lit(name.upper()), F.lit(code)]
-    return F.create_map(*pairs)
+_STATE_SPELLINGS = {**{code: code for code in V.US_STATES}, **{name.upper(): code for code, name in V.US_STATES.items()}}
 
 
 def normalize_state(c: Column) -> Column:
     """Two-letter code from a code or a full name, NULL when neither."""
     key = F.rtrim(F.regexp_replace(F.upper(F.trim(c)), r"\.+$", ""))
-    return F.try_element_at(_state_map(), key)
+    return F.try_element_at(constant_map(_STATE_SPELLINGS), key)
 
 
 def state_name(code: Column) -> Column:
-    pairs = []
-    for short, name in V.US_STATES.items():
-        pairs += [F.lit(short), F.lit(name)]
-    return F.try_element_at(F.create_map(*pairs), F.upper(code))
+    return F.try_element_at(constant_map(V.US_STATES), F.upper(code))
 
 
 def zip_code(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import present
+from .text import constant_map, present
 
 
 def lead_priority(email: Column, phone: Column, city: Column, profile_url: Column) -> Column:
@@ -36,8 +36,7 @@ def decision(explicit: Column, search_sufficient: Column, has_search: Column, ha
 def canonical_decision(code: Column) -> Column:
     """Upper case, older spellings folded into the current codes; blank is NULL."""
     upper = F.upper(code)
-    pairs = F.create_map(*[F.lit(x) for pair in V.OLD_DECISION_CODES.items() for x in pair])
-    return F.when(present(code), F.coalesce(F.try_element_at(pairs, upper), upper))
+    return F.when(present(code), F.coalesce(F.try_element_at(constant_map(V.OLD_DECISION_CODES), upper), upper))
 
 
 def job_outcome(*, cancelled: Column, captcha_timeout: Column, saved: Column, target: Column,

@@ -35,8 +35,20 @@ def cut(c: Column, length: int) -> Column:
     return F.substring(F.trim(c), 1, length)
 
 
+def _quoted(value) -> str:
+    if not isinstance(value, str):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def string_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Array of constants, built as one SQL expression."""
+    return F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")") if values else F.expr("cast(array() as array<string>)")
+
+
+def constant_map(pairs: dict) -> Column:
+    """Map of constants, built as one SQL expression; the optimizer folds it into a literal."""
+    return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in pairs.items()) + ")")
 
 
 def replace_each(c: Column, pattern: str, change: Callable[[Column], Column]) -> Column:

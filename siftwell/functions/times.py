@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .text import constant_map
 
 # Shape of the text, and the format to read it with. The first matching shape decides.
 DATE_SHAPES = [
@@ -38,8 +39,7 @@ def parse_local_time(c: Column, zone: str) -> Column:
     """UTC instant of a local time; a trailing zone abbreviation wins over ``zone``."""
     shape = r"^(.*?)\s+([A-Z]{3})$"
     abbreviation = F.regexp_extract(c, shape, 2)
-    offsets = F.create_map(*[F.lit(x) for pair in V.ZONE_OFFSETS.items() for x in pair])
-    offset = F.try_element_at(offsets, abbreviation)
+    offset = F.try_element_at(constant_map(V.ZONE_OFFSETS), abbreviation)
     bare = F.when(offset.isNotNull(), F.regexp_extract(c, shape, 1)).otherwise(c)
     local = parse_due_date(bare).cast("timestamp")
     known = F.timestamp_micros(F.unix_micros(local) - offset.cast("bigint") * F.lit(1_000_000))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.place import normalize_state, parse_location
-from ..functions.text import blank_to_null, collapse, let, normalize_city, present, string_array
+from ..functions.text import blank_to_null, collapse, constant_map, let, normalize_city, present, string_array
 from .ordered import top_rows
 
 MAX_PAGE = 1000
@@ -59,9 +59,7 @@ def exists_flag(df: DataFrame, others: DataFrame, on: Sequence[str], name: str)
 
 # --- categories ------------------------------------------------------------------------------
 def _aliases(trade: Column) -> Column:
-    pairs = [F.lit(x) for trade_, names in V.TRADE_ALIASES.items() for x in (trade_, names)]
-    names = F.try_element_at(F.create_map(*pairs), trade)
-    return F.coalesce(F.split(names, ", "), F.array().cast("array<string>"))
+    return F.coalesce(F.split(F.try_element_at(constant_map(V.TRADE_ALIASES), trade), ", "), string_array([]))
 
 
 def _meaningful(words: Column) -> Column:
@@ -87,7 +85,7 @@ def category_variations(category: Column) -> Column:
     """``struct(contractor, plain)``: terms worded as contractors, and bare trade terms with aliases."""
     items = F.filter(F.transform(F.split(category, "[,;]+"), lambda p: F.trim(p)), lambda p: p != "")
 
-    none = F.array().cast("array<string>")
+    none = string_array([])
 
     def read(raw: Column) -> Column:
         """Spelling, words and bare trade of one item."""
@@ -206,7 +204,7 @@ def canonical_criteria(requests: DataFrame, source_aliases: dict[str, str] | Non
     }
     out = staged.select("request_id", *[c.alias(n) for n, c in canonical.items()], problems.alias("problems"))
     hashed = F.sha2(F.to_json(F.struct(*[n for n in sorted(canonical) if n != "user_id"])), 256)
-    none = F.array().cast("array<string>")
+    none = string_array([])
     out = out.withColumns({"criteria_hash": hashed, "_terms": category_variations(F.col("category"))})
     return out.withColumns({"contractor_terms": F.coalesce("_terms.contractor", none),
                             "plain_terms": F.coalesce("_terms.plain", none)}).drop("_terms")

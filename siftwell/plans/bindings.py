@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import constant_map, string_array
+
 AS_OF = "1998-06-01 00:00:00"
 NATION_STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS NY".split()
 CITIES = ["Albany", "Buffalo", "New York", "Austin", "Miami"]
@@ -25,10 +27,7 @@ def days(n: Column | int) -> Column:
 
 
 def choose(c: Column, values: dict[str, str]) -> Column:
-    result = None
-    for key, value in values.items():
-        result = F.when(c == key, F.lit(value)) if result is None else result.when(c == key, F.lit(value))
-    return result
+    return F.try_element_at(constant_map(values), c)
 
 
 class Entities:
@@ -48,8 +47,8 @@ class Entities:
     @functools.cached_property
     def organizations(self) -> DataFrame:
         k = F.col("c_custkey")
-        state = F.element_at(F.array(*[F.lit(s) for s in NATION_STATES]), F.col("c_nationkey") + 1)
-        city = F.element_at(F.array(*[F.lit(c) for c in CITIES]), (k % 5 + 1).cast("int"))
+        state = F.element_at(string_array(NATION_STATES), F.col("c_nationkey") + 1)
+        city = F.element_at(string_array(CITIES), (k % 5 + 1).cast("int"))
         digits = F.concat((k % 700 + 200).cast("string"), (k % 799 + 200).cast("string"),
                           F.lpad((k % 10000).cast("string"), 4, "0"))
         return self.table("customer").select(
@@ -127,7 +126,7 @@ class Entities:
     def jobs(self) -> DataFrame:
         """One job per event: source, state, parameters, times and counters."""
         k, n = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
-        status = F.element_at(F.array(*[F.lit(s) for s in JOB_STATES]), (n % 7 + 1).cast("int"))
+        status = F.element_at(string_array(JOB_STATES), (n % 7 + 1).cast("int"))
         return self.table("events").select(
             k.alias("job_id"), F.col("user_id").alias("created_by"), F.col("event_type").alias("script_id"),
             status.alias("status"), F.md5((n % 10).cast("string")).alias("params_hash"),
@@ -143,7 +142,7 @@ class Entities:
     def requests(self) -> DataFrame:
         """Request log: one request per event."""
         k, n = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
-        code = F.element_at(F.array(*[F.lit(c) for c in REQUEST_DECISIONS]), (n % 12 + 1).cast("int"))
+        code = F.element_at(string_array(REQUEST_DECISIONS), (n % 12 + 1).cast("int"))
         return self.table("events").select(
             k.alias("request_id"), F.col("user_id"), F.floor(k / 10).alias("session_id"), code.alias("decision"),
             F.when(k % 13 == 0, F.lit("llm_unavailable")).otherwise(F.lit("completed")).alias("status"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.place import location_matches
-from ..functions.text import all_words_match, present
+from ..functions.text import all_words_match, present, string_array
 from ..operators import search as S
 from .bindings import AS_OF, CITIES, NATION_STATES, Entities, as_of, days
 from .registry import plan
@@ -29,9 +29,9 @@ def state_requests(e: Entities) -> DataFrame:
     n = F.col("n_nationkey")
     return e.nation.select(
         n.cast("bigint").alias("request_id"), (n * 3).cast("bigint").alias("user_id"),
-        F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), n % 6 + 1).alias("category"),
-        F.element_at(F.array(*[F.lit(s) for s in NATION_STATES]), n + 1).alias("us_state"),
-        F.when(n % 2 == 0, F.element_at(F.array(*[F.lit(c) for c in CITIES]), n % 5 + 1)).alias("city"),
+        F.element_at(string_array(CATEGORIES), n % 6 + 1).alias("category"),
+        F.element_at(string_array(NATION_STATES), n + 1).alias("us_state"),
+        F.when(n % 2 == 0, F.element_at(string_array(CITIES), n % 5 + 1)).alias("city"),
         F.when(n % 3 == 0, F.lit("company")).when(n % 3 == 1, F.lit("opportunity")).alias("record_kind"),
         (n + 5).alias("quantity"), (n % 5 == 0).alias("has_email"))
 
