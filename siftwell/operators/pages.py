@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import fixed_values as V
 from ..functions.contact import GUARDED_PHONE, clean_email, directory_phone, emails_in_text, open_up_email_text
@@ -74,7 +75,7 @@ class _MainText(HTMLParser):
             self.pieces.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nested_main_text(html: pd.Series) -> pd.Series:
     import re
 
@@ -202,9 +203,13 @@ def page_phones(html: Column) -> Column:
     every = F.filter(F.concat(from_tel, from_data, from_text), lambda x: x["p"].isNotNull())
 
     def once(rows: Column) -> Column:
-        keys = F.transform(rows, lambda x: F.concat_ws("|", x["p"]["e164"], x["p"]["ext"]))
-        return F.transform(F.filter(rows, lambda x, i: F.array_position(keys, F.concat_ws("|", x["p"]["e164"], x["p"]["ext"])) == i + 1),
-                           lambda x: F.struct(x["p"]["e164"].alias("e164"), x["p"]["ext"].alias("ext"), x["is_fax"].alias("is_fax"), x["source"].alias("source")))
+        """First item per number and extension."""
+        def add(kept: Column, x: Column) -> Column:
+            known = F.exists(kept, lambda y: (y["p"]["e164"] == x["p"]["e164"]) & (y["p"]["ext"] == x["p"]["ext"]))
+            return F.when(known, kept).otherwise(F.concat(kept, F.array(x)))
+
+        return F.transform(F.aggregate(rows, F.slice(rows, 1, 0), add), lambda x: F.struct(
+            x["p"]["e164"].alias("e164"), x["p"]["ext"].alias("ext"), x["is_fax"].alias("is_fax"), x["source"].alias("source")))
 
     return let(every, once)
 
@@ -263,13 +268,13 @@ def label_values(html: Column, label_class: str = "line-label", value_class: str
 
 def certificates(text: Column) -> Column:
     """Certificate codes named or spelled out in the text, in catalogue order."""
-    def named(code: Column) -> Column:
-        bounded = F.concat(F.lit("(?s).*(?<![A-Za-z0-9])"), F.regexp_replace(code, r"([()])", r"\\$1"), F.lit("(?![A-Za-z0-9]).*"))
-        return F.rlike(text, bounded)
+    def spelled(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(low.contains(phrase), F.lit(code)) for phrase, code in V.CERTIFICATE_PHRASES.items()]))
 
-    low = F.lower(F.regexp_replace(text, "[-\\s]+", " "))
-    spelled = F.array_compact(F.array(*[F.when(low.contains(phrase), F.lit(code)) for phrase, code in V.CERTIFICATE_PHRASES.items()]))
-    return F.filter(string_array(V.CERTIFICATES), lambda code: named(code) | F.array_contains(spelled, code))
+    names = "|".join(c.replace("(", r"\(").replace(")", r"\)") for c in V.CERTIFICATES)
+    named = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9])({names})(?![A-Za-z0-9])"), F.lit(1))
+    found = F.concat(named, let(F.lower(F.regexp_replace(text, r"[-\s]+", " ")), spelled))
+    return let(found, lambda codes: F.filter(string_array(V.CERTIFICATES), lambda code: F.array_contains(codes, code)))
 
 
 def code_lists(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place the cluster names; a temporary one only where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"spark-{name}-")
+
+
 def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only after checking that it has at most ``max_rows`` rows.
 
