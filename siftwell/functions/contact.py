@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import blank_to_null, clean_glyphs, string_array
+from .text import blank_to_null, clean_glyphs, let, string_array
 
 DIRECTORY_PHONE = V.DIRECTORY_PHONE_PATTERN + V.PHONE_EXTENSION_PATTERN
 GUARDED_PHONE = r"(?i)(?<!\d)" + V.DIRECTORY_PHONE_PATTERN + r"(?!\d)" + V.PHONE_EXTENSION_PATTERN
@@ -46,13 +46,19 @@ def normalize_email(c: Column) -> Column:
 
 def directory_phone(c: Column) -> Column:
     """First plausible number as ``struct(e164, pretty, ext)``; blocked numbers give NULL."""
-    digits = F.concat(*[F.regexp_extract(c, GUARDED_PHONE, g) for g in (1, 2, 3)])
-    good = (digits != "") & ~digits.isin(V.BLOCKED_PHONES)
-    return F.when(good, F.struct(
-        F.concat(F.lit("+1"), digits).alias("e164"),
-        F.concat(F.lit("("), digits.substr(1, 3), F.lit(") "), digits.substr(4, 3), F.lit("-"),
-                 digits.substr(7, 4)).alias("pretty"),
-        F.regexp_extract(c, GUARDED_PHONE, 4).alias("ext")))
+    def parts(m: Column) -> Column:
+        number = F.regexp_extract(m, "^[^A-Za-z]*", 0)
+        return F.struct(F.right(F.regexp_replace(number, r"\D", ""), F.lit(10)).alias("d"),
+                        F.regexp_extract(m, r"[A-Za-z.]\s*(\d{1,6})$", 1).alias("x"))
+
+    def build(n: Column) -> Column:
+        d = n["d"]
+        return F.when(~d.isin(V.BLOCKED_PHONES), F.struct(
+            F.concat(F.lit("+1"), d).alias("e164"),
+            F.concat(F.lit("("), d.substr(1, 3), F.lit(") "), d.substr(4, 3), F.lit("-"), d.substr(7, 4)).alias("pretty"),
+            n["x"].alias("ext")))
+
+    return let(F.regexp_extract(c, GUARDED_PHONE, 0), lambda m: F.when(m != "", let(parts(m), build)))
 
 
 def display_phone(phone: Column) -> Column:
@@ -93,23 +99,22 @@ def loose_email(c: Column) -> Column:
 def clean_email(c: Column, denied_domains: list[str] | None = None) -> Column:
     """Address found in a text fragment, or NULL when it belongs to a denied domain, prefix or file name."""
     domains = V.DENIED_EMAIL_DOMAINS if denied_domains is None else denied_domains
-    email = F.lower(F.regexp_extract(c, V.EMAIL_PATTERN, 0))
-    local, domain = F.substring_index(email, "@", 1), F.substring_index(email, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    denied = F.lit(False)
-    if domains:
-        escaped = "|".join(d.replace(".", r"\.") for d in domains)
-        denied = domain.rlike(rf"(^|\.)(?:{escaped})$")
-    file_like = domain.rlike("(?:" + "|".join(e.replace(".", r"\.") for e in V.IGNORED_EMAIL_EXTENSIONS) + ")$")
-    prefix = local.rlike("^(?:" + "|".join(V.DENIED_EMAIL_PREFIXES) + r")(?:[-_.]|$)")
-    good = (email != "") & top.rlike("^[a-z]{2,}$") & ~denied & ~file_like & ~prefix
-    return F.when(good, email)
+    file_like = "|".join(e.replace(".", r"\.") for e in V.IGNORED_EMAIL_EXTENSIONS)
+    good = rf"^(?!(?:{'|'.join(V.DENIED_EMAIL_PREFIXES)})(?:[-_.@])).*@.*\.[a-z]{{2,}}$"
+
+    def check(email: Column) -> Column:
+        usable = email.rlike(good) & ~email.rlike(rf"(?:{file_like})$")
+        if domains:
+            usable = usable & ~email.rlike("[@.](?:" + "|".join(d.replace(".", r"\.") for d in domains) + ")$")
+        return F.when(usable, email)
+
+    return let(F.lower(F.regexp_extract(c, V.EMAIL_PATTERN, 0)), check)
 
 
 def emails_in_text(c: Column, denied_domains: list[str] | None = None) -> Column:
     found = F.regexp_extract_all(c, F.lit(V.EMAIL_PATTERN), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(found, lambda e: clean_email(e, denied_domains)),
-                                     lambda e: e.isNotNull()))
+    clean = F.array_distinct(F.filter(F.transform(found, lambda e: clean_email(e, denied_domains)), lambda e: e.isNotNull()))
+    return F.when(c.contains("@"), clean).otherwise(F.when(c.isNotNull(), string_array([])))
 
 
 def open_up_email_text(c: Column) -> Column:
@@ -136,7 +141,3 @@ def decode_xor_email(hex_text: Column) -> Column:
 
 def first_of(values: Column) -> Column:
     return F.get(values, F.lit(0))
-
-
-__all__ = [name for name in dir() if not name.startswith("_")]
-_ = string_array

@@ -57,12 +57,14 @@ def replace_each(c: Column, pattern: str, change: Callable[[Column], Column]) ->
     The text is split at the matches and put together again, so a replacement may depend on
     its match without leaving the JVM.
     """
-    pieces = F.split(c, pattern, -1)
-    matches = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    joined = F.array_join(
-        F.zip_with(pieces, matches, lambda piece, m: F.concat(piece, F.coalesce(change(m), F.lit("")))), ""
-    )
-    return F.when(c.rlike(pattern), joined).otherwise(c)
+    def rebuilt(text: Column) -> Column:
+        pieces = F.split(text, pattern, -1)
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        joined = F.array_join(
+            F.zip_with(pieces, matches, lambda piece, m: F.concat(piece, F.coalesce(change(m), F.lit("")))), "")
+        return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    return let(c, rebuilt)
 
 
 def _unicode_form(form: str, drop_marks: bool):
@@ -177,26 +179,32 @@ def message_text(content_json: Column) -> Column:
 
 def looks_like_person(c: Column) -> Column:
     """Two to five mostly capitalised words, no digits or colon, not made of job titles only."""
-    text = collapse(c)
-    words = F.filter(F.split(F.replace(text, F.lit("."), F.lit(" ")), " "), lambda w: w != "")
-    caps = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    title_only = F.forall(words, lambda w: F.lower(w).isin(V.TITLE_WORDS + ["sales", "operations", "purchasing",
-                                                                           "accounts", "and", "&", "senior", "chief"]))
-    short_form = text.rlike(r"^[A-Z][A-Za-z'’.-]+\s+(?:[A-Z]\.|\.)$")
-    usual = F.size(words).between(2, 5) & ~title_only & (caps >= F.greatest(F.lit(2), F.size(words) - 1))
-    shape = (F.length(text) <= 60) & ~text.rlike(r"[0-9:]") & (text != "")
-    return F.coalesce(shape & (short_form | usual), F.lit(False))
+    functions = V.TITLE_WORDS + ["sales", "operations", "purchasing", "accounts", "and", "&", "senior", "chief"]
+
+    def judge(text: Column) -> Column:
+        words = F.filter(F.split(F.replace(text, F.lit("."), F.lit(" ")), " "), lambda w: w != "")
+        short_form = text.rlike(r"^[A-Z][A-Za-z'’.-]+\s+(?:[A-Z]\.|\.)$")
+        usual = let(words, lambda ws: F.size(ws).between(2, 5) & ~F.forall(ws, lambda w: F.lower(w).isin(functions)) & (
+            F.size(F.filter(ws, lambda w: w.rlike(r"^\p{Lu}"))) >= F.greatest(F.lit(2), F.size(ws) - 1)))
+        return (F.length(text) <= 60) & (text != "") & ~text.rlike(r"[0-9:]") & (short_form | usual)
+
+    return F.coalesce(let(collapse(c), judge), F.lit(False))
 
 
 def split_person_title(c: Column) -> Column:
     """``Jane Doe, President`` becomes ``struct(name, title)`` when both halves are convincing."""
-    text = collapse(c)
     shape = r"^(.+?)\s*(?:,|[-–—]|\|)\s*(.+)$"
-    name, title = F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2)
-    tokens = F.transform(F.split(F.lower(title), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,]+|[.,]+$", ""))
-    good = looks_like_person(name) & F.arrays_overlap(tokens, string_array(V.TITLE_WORDS))
-    return F.when(good, F.struct(name.alias("name"), title.alias("title"))).otherwise(
-        F.struct(text.alias("name"), F.lit("").alias("title")))
+
+    def halves(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.regexp_extract(text, shape, 1).alias("name"), F.regexp_extract(text, shape, 2).alias("title"))
+
+    def choose(h: Column) -> Column:
+        tokens = F.transform(F.split(F.lower(h["title"]), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,]+|[.,]+$", ""))
+        good = looks_like_person(h["name"]) & F.arrays_overlap(tokens, string_array(V.TITLE_WORDS))
+        return F.when(good, F.struct(h["name"].alias("name"), h["title"].alias("title"))).otherwise(
+            F.struct(h["text"].alias("name"), F.lit("").alias("title")))
+
+    return let(let(collapse(c), halves), choose)
 
 
 def department_for_role(label: Column) -> Column:

@@ -12,7 +12,7 @@ import functools
 import operator
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,48 +214,67 @@ def merge_locations(rows: DataFrame, owner: str, ordinal: str, fields: Sequence[
 
 _PEOPLE_SCHEMA = ("company_id bigint, person_key string, name string, title string, phone string, email string, "
                   "extra_phones array<string>, extra_emails array<string>, first_seen bigint")
+_PEOPLE_ARROW = pa.schema([("company_id", pa.int64()), ("person_key", pa.string()), ("name", pa.string()), ("title", pa.string()),
+                           ("phone", pa.string()), ("email", pa.string()), ("extra_phones", pa.list_(pa.string())),
+                           ("extra_emails", pa.list_(pa.string())), ("first_seen", pa.int64())])
 
 
-def _first_fit(group: pd.DataFrame) -> pd.DataFrame:
-    """Put every candidate of one person name into the first compatible entry."""
-    people: list[dict] = []
-    for row in group.sort_values("first_seen").to_dict("records"):
-        phone, email = row["phone"] or "", (row["email"] or "")
-
-        def fits(p: dict) -> bool:
-            same = (phone and p["phone"] == phone) or (email and p["email"].lower() == email.lower())
-            clash = (phone and p["phone"] and p["phone"] != phone) or (
-                email and p["email"] and p["email"].lower() != email.lower())
-            return bool(same) or not clash
-
-        home = next((p for p in people if fits(p)), None)
-        if home is None:
-            people.append({**row, "phone": phone, "email": email, "extra_phones": [], "extra_emails": []})
-            continue
-        home["title"] = home["title"] or row["title"]
-        for field, value in (("phone", phone), ("email", email)):
-            extra = home[f"extra_{field}s"]
-            if not home[field]:
-                home[field] = value
-            elif value and value.lower() != home[field].lower() and value not in extra:
-                extra.append(value)
+def _first_fit(batches):
+    """Put every candidate into the first compatible entry of its person.
+
+    Rows arrive sorted by person and first sight, so only the entries of one person are held.
+    """
     columns = ["company_id", "person_key", "name", "title", "phone", "email", "extra_phones", "extra_emails", "first_seen"]
-    return pd.DataFrame(people, columns=columns)
+    group, people = None, []
+
+    def fits(entry: dict, phone: str, email: str) -> bool:
+        same_phone, same_email = entry["phone"] == phone, entry["email"].lower() == email.lower()
+        if (phone and same_phone) or (email and same_email):
+            return True
+        return not (phone and entry["phone"] and not same_phone) and not (email and entry["email"] and not same_email)
+
+    for batch in batches:
+        done = []
+        for row in batch.to_pylist():
+            if (row["company_id"], row["person_key"]) != group:
+                done += people
+                group, people = (row["company_id"], row["person_key"]), []
+            new = {"phone": row["phone"] or "", "email": row["email"] or ""}
+            home = next((p for p in people if fits(p, **new)), None)
+            if home is None:
+                people.append({**row, **new, "extra_phones": [], "extra_emails": []})
+                continue
+            home["title"] = home["title"] or row["title"]
+            for field, value in new.items():
+                known = home[f"extra_{field}s"]
+                if not home[field]:
+                    home[field] = value
+                elif value and value.lower() != home[field].lower() and value not in known:
+                    known.append(value)
+        if done:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in done], schema=_PEOPLE_ARROW)
+    if people:
+        yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in people], schema=_PEOPLE_ARROW)
 
 
 def merge_people(candidates: DataFrame) -> DataFrame:
     """Entries per company and person name; only compatible contact data is put together.
 
-    Which entry a candidate joins depends on the order, so the last step is a grouped function.
-    Before it, equal (name, phone, email) candidates are combined by an aggregation, so a group
-    holds the distinct contact data of one person at one company, however many rows there were.
+    Which entry a candidate joins depends on the order, so the last step goes through the
+    candidates of a person one by one. Before it, equal (name, phone, email) candidates are
+    combined by an aggregation, so what is left per person is its distinct contact data, however
+    many rows there were.
     """
-    keyed = candidates.filter(present(F.col("name"))).withColumn("person_key", normalize_person_name(F.col("name")))
     at = F.col("ordinal")
+    spelled = candidates.filter(present(F.col("name"))).groupBy("company_id", "name", "phone", "email").agg(
+        F.min("ordinal").alias("ordinal"), F.min_by("title", F.when(present(F.col("title")), at)).alias("title"))
+    keyed = spelled.withColumn("person_key", normalize_person_name(F.col("name")))
     distinct = keyed.groupBy("company_id", "person_key", "phone", F.lower("email").alias("_mail")).agg(
         F.min("ordinal").alias("first_seen"), F.min_by("name", at).alias("name"), F.min_by("email", at).alias("email"),
         F.min_by("title", F.when(present(F.col("title")), at)).alias("title")).drop("_mail")
-    return distinct.groupBy("company_id", "person_key").applyInPandas(_first_fit, _PEOPLE_SCHEMA)
+    columns = ["company_id", "person_key", "name", "title", "phone", "email", "first_seen"]
+    ordered = distinct.select(*columns).repartition("company_id", "person_key").sortWithinPartitions("company_id", "person_key", "first_seen")
+    return ordered.mapInArrow(_first_fit, _PEOPLE_SCHEMA)
 
 
 def person_rows(companies: DataFrame, people: DataFrame) -> DataFrame:

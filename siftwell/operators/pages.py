@@ -333,16 +333,21 @@ _ROLES = r"owner|president|vice president|chief estimator|estimator|project mana
 
 def people_from_lines(lines: Column) -> Column:
     """``struct(name, title, department, phone, email)`` from lines such as ``Estimator: Jane Doe``."""
+    front, back = rf"(?i)^({_ROLES})\s*[:\-–—]\s*(.+)$", rf"(?i)^(.+?)\s*(?:,|[-–—]|\|)\s*({_ROLES})\b.*$"
+    either = rf"(?i)^({_ROLES})\s*[:\-–—]|(?:,|[-–—]|\|)\s*({_ROLES})\b"
+
+    def named(bare: Column) -> Column:
+        return F.when(bare.rlike(front), F.struct(F.regexp_extract(bare, front, 1).alias("label"), F.regexp_extract(bare, front, 2).alias("name"))).when(
+            bare.rlike(back), F.struct(F.regexp_extract(bare, back, 2).alias("label"), F.regexp_extract(bare, back, 1).alias("name")))
+
     def read(line: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(line, V.EMAIL_PATTERN, ""), GUARDED_PHONE, "")
         bare = F.regexp_replace(collapse(bare), r"[ ,\-–—]+$", "")
-        front, back = rf"(?i)^({_ROLES})\s*[:\-–—]\s*(.+)$", rf"(?i)^(.+?)\s*(?:,|[-–—]|\|)\s*({_ROLES})\b.*$"
-        label = F.when(bare.rlike(front), F.regexp_extract(bare, front, 1)).when(bare.rlike(back), F.regexp_extract(bare, back, 2))
-        name = F.when(bare.rlike(front), F.regexp_extract(bare, front, 2)).when(bare.rlike(back), F.regexp_extract(bare, back, 1))
-        return F.struct(collapse(name).alias("name"), label.alias("title"), department_for_role(label).alias("department"),
-                        directory_phone(line)["e164"].alias("phone"), clean_email(line, []).alias("email"))
+        return let(let(bare, named), lambda n: F.struct(
+            collapse(n["name"]).alias("name"), n["label"].alias("title"), department_for_role(n["label"]).alias("department"),
+            directory_phone(line)["e164"].alias("phone"), clean_email(line, []).alias("email")))
 
-    short = F.filter(lines, lambda t: F.length(t) <= 220)
+    short = F.filter(lines, lambda t: (F.length(t) <= 220) & t.rlike(either))
     return F.filter(F.transform(short, read), lambda p: p["title"].isNotNull() & looks_like_person(p["name"]))
 
 
@@ -360,11 +365,14 @@ def table_records(pages: DataFrame, link_part: str = "/opportunit") -> DataFrame
 
     def read(row: Column) -> Column:
         cells = F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: collapse(strip_tags(c, " ")))
+        return let(cells, lambda texts: fields(row, texts))
+
+    def fields(row: Column, cells: Column) -> Column:
         link = F.filter(anchors(row), lambda a: F.contains(a["href"], F.lit(link_part)))
         return F.struct(F.get(cells, F.lit(1)).alias("reference"), F.get(cells, F.lit(2)).alias("title"), F.get(cells, F.lit(0)).alias("status"),
                         F.get(cells, F.lit(3)).alias("close_date"), F.get(link, F.lit(0))["href"].alias("href"))
 
-    good = F.filter(F.transform(rows, read), lambda r: r["href"].isNotNull() & (r["reference"] != "") & (r["title"] != "") & r["close_date"].isNotNull())
+    good = F.filter(F.transform(F.filter(rows, lambda r: F.contains(r, F.lit(link_part))), read), lambda r: r["href"].isNotNull() & (r["reference"] != "") & (r["title"] != "") & r["close_date"].isNotNull())
     staged = pages.select("page_id", "url", good.alias("_rows"))
     unique = F.filter("_rows", lambda r, i: F.array_position(F.transform("_rows", lambda x: x["reference"]), r["reference"]) == i + 1)
     listed = staged.select("page_id", "url", F.posexplode(unique).alias("pos", "r"))

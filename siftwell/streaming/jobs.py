@@ -29,8 +29,10 @@ def ingest_stream(records: DataFrame, folder: str, as_of: Column, checkpoint: st
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         before = read_store(batch.sparkSession, folder, below=version)
-        store, _ = upsert_store(before, ingest_fields(batch), as_of)
+        rows = ingest_fields(batch).persist()  # read by every table
+        store, _ = upsert_store(before, rows, as_of)
         write_store(store, folder, version)
+        rows.unpersist()
 
     return drain(records, upsert_batch, checkpoint)
 
