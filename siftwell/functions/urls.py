@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import blank_to_null
+from .text import blank_to_null, let
 
 
 def _part(url: Column, group: int) -> Column:
@@ -26,18 +26,25 @@ def query_pairs(url: Column) -> Column:
 
 def normalize_external_url(c: Column) -> Column:
     """Website URL with scheme, lower-case host and without tracking parameters; NULL if not a URL."""
-    raw = F.regexp_replace(F.regexp_replace(F.trim(c), "^[<>\"']+|[<>\"']+$", ""), "[;,]+$", "")
-    bare = raw.rlike(r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+(/.*)?$")
-    url = (
-        F.when(raw.rlike("(?i)^(mailto|tel):"), F.lit(None).cast("string"))
-        .when(raw.startswith("//"), F.concat(F.lit("https:"), raw))
-        .when(raw.rlike("(?i)^https?://"), raw)
-        .when(bare, F.concat(F.lit("https://"), raw))
-    )
-    kept = F.filter(query_pairs(url), lambda p: ~F.lower(p).rlike("^(utm_[^=]*|fbclid|gclid)="))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
-    return F.when(_part(url, 2) != "", F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)),
-                                                _part(url, 3), query))
+    def complete(raw: Column) -> Column:
+        bare = raw.rlike(r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+(/.*)?$")
+        return (F.when(raw.rlike("(?i)^(mailto|tel):"), F.lit(None).cast("string"))
+                .when(raw.startswith("//"), F.concat(F.lit("https:"), raw))
+                .when(raw.rlike("(?i)^https?://"), raw).when(bare, F.concat(F.lit("https://"), raw)))
+
+    def build(url: Column) -> Column:
+        kept = F.filter(query_pairs(url), lambda p: ~F.lower(p).rlike("^(utm_[^=]*|fbclid|gclid)="))
+        return F.when(_part(url, 2) != "", F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)), _part(url, 3), _query(kept)))
+
+    return let(let(_bare_link(c), complete), build)
+
+
+def _bare_link(c: Column) -> Column:
+    return F.regexp_replace(F.trim(c), "^[<>\"']+|[<>\"';,]+$", "")
+
+
+def _query(pairs: Column) -> Column:
+    return let(F.array_join(pairs, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
 
 
 def canonical_url(c: Column, listing: bool = False) -> Column:
@@ -114,24 +121,31 @@ def url_kind(c: Column, marker: str = "profile") -> Column:
 
 
 def social_platform(c: Column) -> Column:
-    host = host_of(c)
-    result = F.lit(None).cast("string")
-    for platform, hosts in V.SOCIAL_HOSTS.items():
-        pattern = "(^|\\.)(" + "|".join(h.replace(".", "\\.") for h in hosts) + ")$"
-        result = F.when(host.rlike(pattern), F.lit(platform)).otherwise(result)
-    return result
+    def match(host: Column) -> Column:
+        result = F.lit(None).cast("string")
+        for platform, hosts in V.SOCIAL_HOSTS.items():
+            pattern = "(^|\\.)(" + "|".join(h.replace(".", "\\.") for h in hosts) + ")$"
+            result = F.when(host.rlike(pattern), F.lit(platform)).otherwise(result)
+        return result
+
+    return let(host_of(c), match)
 
 
 def clean_social_url(c: Column) -> Column:
     """Profile URL of a social network without tracking, NULL for share and dialog links."""
-    raw = F.regexp_replace(F.regexp_replace(F.trim(c), "^[<>\"']+|[<>\"']+$", ""), "[;,]+$", "")
-    raw = (F.when(raw.rlike("^https?://"), raw).when(raw.startswith("//"), F.concat(F.lit("https:"), raw))
-           .otherwise(F.concat(F.lit("https://"), raw)))
-    path = _part(raw, 3)
-    kept = F.filter(query_pairs(raw), lambda p: ~F.lower(p).rlike("^(utm_[^=]*|fbclid|gclid|locale)="))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
-    share = F.lower(path).rlike("/(sharer|share|intent|dialog|plugins)")
-    slug = F.lower(F.regexp_extract(path, r"^/(?:pg/|people/[^/]+/|p/|company/|in/|channel/|c/|user/)?([^/]+)", 1))
-    good = (_part(raw, 2) != "") & ~share & ~slug.isin(V.IGNORED_SOCIAL_SLUGS) & (F.length(slug) >= 2)
-    return F.when(good, F.concat(_part(raw, 1), F.lit("://"), F.lower(_part(raw, 2)),
-                                 F.regexp_replace(path, "/+$", ""), query))
+    def complete(raw: Column) -> Column:
+        return (F.when(raw.rlike("^https?://"), raw).when(raw.startswith("//"), F.concat(F.lit("https:"), raw))
+                .otherwise(F.concat(F.lit("https://"), raw)))
+
+    def parts(url: Column) -> Column:
+        slug = F.regexp_extract(_part(url, 3), r"^/(?:pg/|people/[^/]+/|p/|company/|in/|channel/|c/|user/)?([^/]+)", 1)
+        return F.struct(url.alias("url"), _part(url, 3).alias("path"), F.lower(slug).alias("slug"))
+
+    def build(p: Column) -> Column:
+        url = p["url"]
+        kept = F.filter(query_pairs(url), lambda q: ~F.lower(q).rlike("^(utm_[^=]*|fbclid|gclid|locale)="))
+        share = F.lower(p["path"]).rlike("/(sharer|share|intent|dialog|plugins)")
+        good = (_part(url, 2) != "") & ~share & ~p["slug"].isin(V.IGNORED_SOCIAL_SLUGS) & (F.length(p["slug"]) >= 2)
+        return F.when(good, F.concat(_part(url, 1), F.lit("://"), F.lower(_part(url, 2)), F.regexp_replace(p["path"], "/+$", ""), _query(kept)))
+
+    return let(let(let(_bare_link(c), complete), parts), build)

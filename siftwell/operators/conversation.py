@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import block_bucket, carry_forward, previous_values, running_sum
+from .ordered import block_bucket, carry_forward, running_sum
 
 
 def message_size(c: Column) -> Column:
@@ -67,12 +67,12 @@ def carry_criteria(turns: DataFrame, key: str, order: Column, bucket: Column, ca
     A different category or record kind starts anew. The text ``any`` clears a value.
     """
     fields = [category, kind, *others]
-    carried = carry_forward(turns, [key], bucket, [order], {f"_c_{f}": F.col(f) for f in (category, kind)})
-    before = previous_values(carried, [key], bucket, [order], {f"_p_{f}": F.col(f"_c_{f}") for f in (category, kind)})
-    switch = F.coalesce((F.col(category) != F.col(f"_p_{category}")) | (F.col(kind) != F.col(f"_p_{kind}")), F.lit(False))
-    known_switch = (F.coalesce(F.col(category) != F.col(f"_p_{category}"), F.lit(False))
-                    | F.coalesce(F.col(kind) != F.col(f"_p_{kind}"), F.lit(False)))
-    flagged = before.withColumn("_switch", (switch | known_switch).cast("int"))
+    before = carry_forward(turns, [key], bucket, [order], {f"_c_{f}": F.col(f) for f in (category, kind)}, before="_p")
+
+    def switched(name: str) -> Column:
+        return F.coalesce(F.col(name) != F.col("_p")[f"_c_{name}"], F.lit(False))
+
+    flagged = before.withColumn("_switch", (switched(category) | switched(kind)).cast("int"))
     segments = running_sum(flagged, [key], bucket, [order], {"segment": F.col("_switch")})
     merged = carry_forward(segments, [key, "segment"], bucket, [order], {f: F.col(f) for f in fields})
     return merged.withColumns({f: F.nullif(F.col(f), F.lit("any")) for f in fields}).select(*turns.columns, "segment")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import job_outcome
 from ..functions.text import blank_to_null, normalize_person_name, present
-from .ordered import carry_forward, first_rows, previous_values
+from .ordered import carry_forward, first_rows
 
 
 def filled(df: DataFrame, name: str) -> Column:
@@ -55,19 +55,17 @@ def arrival_history(df: DataFrame, key: str, ordinal: str, bucket: Column, field
 
     ``bucket`` cuts long histories of one key into blocks that are increasing in ``ordinal``.
     """
-    carried = carry_forward(df, [key], bucket, [F.col(ordinal)], {f: filled(df, f) for f in fields})
-    carried = carried.withColumn("content_hash", content_hash(fields))
-    known = previous_values(carried, [key], bucket, [F.col(ordinal)], {"_before": F.col("content_hash")})
-    changed = F.col("_before").isNotNull() & (F.col("_before") != F.col("content_hash"))
-    return known.withColumn("changed", changed).drop("_before")
+    carried = carry_forward(df, [key], bucket, [F.col(ordinal)], {f: filled(df, f) for f in fields}, before="_before")
+    same = functools.reduce(operator.and_, [F.col(f).eqNullSafe(F.col("_before")[f]) for f in fields])
+    return carried.withColumn("changed", F.col("_before").isNotNull() & ~same).drop("_before")
 
 
 def merge_arrivals(df: DataFrame, key: str, ordinal: str, bucket: Column, fields: Sequence[str]) -> DataFrame:
     """Final state of every key with its version: 1 plus the number of arrivals that changed it."""
     history = arrival_history(df, key, ordinal, bucket, fields)
-    final = F.max_by(F.struct(*fields, "content_hash"), F.col(ordinal)).alias("_final")
+    final = F.max_by(F.struct(*fields), F.col(ordinal)).alias("_final")
     merged = history.groupBy(key).agg(final, (F.count_if("changed") + 1).alias("version"))
-    return merged.select(key, *[F.col(f"_final.{f}") for f in fields], F.col("_final.content_hash"), "version")
+    return merged.select(key, *[F.col(f"_final.{f}") for f in fields], "version").withColumn("content_hash", content_hash(fields))
 
 
 # --- upserts ---------------------------------------------------------------------------------

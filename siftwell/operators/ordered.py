@@ -64,20 +64,34 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-                  columns: dict[str, Column]) -> DataFrame:
-    """Latest non-NULL value up to and including the row, for every entry of ``columns``."""
+                  columns: dict[str, Column], before: str | None = None) -> DataFrame:
+    """Latest non-NULL value up to and including the row, for every entry of ``columns``.
+
+    ``before`` names an extra column: a struct of the same values as they were on the row
+    before, NULL on the first row of a group.
+    """
     base = df.withColumn(_BUCKET, bucket)
-    inside, before = _windows(keys, order)
+    inside, earlier = _windows(keys, order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     position = F.struct(*order)
     tails = base.groupBy(*keys, _BUCKET).agg(
         *[F.max_by(v, F.when(v.isNotNull(), position)).alias(f"_t_{n}") for n, v in columns.items()])
-    tails = tails.select(*keys, _BUCKET,
-                         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in columns])
+    tails = tails.select(*keys, _BUCKET, F.lag(F.lit(True)).over(earlier_order(keys)).alias("_earlier"),
+                         *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in columns])
     local = base.withColumns({f"_l_{n}": F.last(v, ignorenulls=True).over(upto) for n, v in columns.items()})
+    if before:
+        local = local.withColumn("_prev", F.lag(F.struct(*[F.col(f"_l_{n}") for n in columns])).over(inside))
     out = _join_tails(local, tails, keys)
     value = {n: F.coalesce(f"_l_{n}", f"_b_{n}") for n in columns}
-    return out.withColumns(value).drop(*[f"_l_{n}" for n in columns], *[f"_b_{n}" for n in columns], _BUCKET)
+    if before:
+        carried = F.struct(*[F.coalesce(F.col("_prev")[f"_l_{n}"], F.col(f"_b_{n}")).alias(n) for n in columns])
+        value[before] = F.when(F.col("_prev").isNotNull() | F.col("_earlier"), carried)
+        out = out.withColumn(before, value.pop(before))
+    return out.withColumns(value).drop(*[f"_l_{n}" for n in columns], *[f"_b_{n}" for n in columns], "_earlier", "_prev", _BUCKET)
+
+
+def earlier_order(keys: Sequence[str]):
+    return W.partitionBy(*keys).orderBy(_BUCKET)
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],

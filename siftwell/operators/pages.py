@@ -170,14 +170,15 @@ def contact_candidates(url: Column, html: Column, k: int = 3) -> Column:
 def website_and_socials(html: Column, own_hosts: list[str]) -> Column:
     """``struct(website, socials)``: the link labelled as website, and social profile links in order."""
     def external(a: Column) -> Column:
-        url = normalize_external_url(a["href"])
-        return F.struct(url.alias("url"), social_platform(url).alias("platform"), F.lower(F.concat_ws(" ", a["text"], a["tag"])).alias("label"))
+        return let(normalize_external_url(a["href"]), lambda url: F.struct(
+            url.alias("url"), host_of(url).alias("host"), social_platform(url).alias("platform"),
+            F.lower(F.concat_ws(" ", a["text"], a["tag"])).alias("label")))
 
-    links = F.filter(F.transform(anchors(html), external), lambda x: x["url"].isNotNull() & ~host_of(x["url"]).isin(own_hosts))
+    links = F.filter(F.transform(anchors(html), external), lambda x: x["url"].isNotNull() & ~x["host"].isin(own_hosts))
 
     def choose(rows: Column) -> Column:
         labelled = F.filter(rows, lambda x: x["platform"].isNull() & (
-            x["label"].rlike("website|web site|homepage|visit site|company site") | F.contains(x["label"], host_of(x["url"]))))
+            x["label"].rlike("website|web site|homepage|visit site|company site") | F.contains(x["label"], x["host"])))
         socials = F.array_distinct(F.filter(F.transform(F.filter(rows, lambda x: x["platform"].isNotNull()), lambda x: clean_social_url(x["url"])),
                                             lambda u: u.isNotNull()))
         return F.struct(F.get(labelled, F.lit(0))["url"].alias("website"), socials.alias("socials"))

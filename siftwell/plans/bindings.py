@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import constant_map, string_array
+from ..session import spread
 
 AS_OF = "1998-06-01 00:00:00"
 NATION_STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS NY".split()
@@ -39,6 +40,14 @@ class Entities:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @functools.cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"))
+
+    @functools.cached_property
+    def pages(self) -> DataFrame:
+        return spread(self.table("pages"))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -10,6 +10,7 @@ from ..operators import merge as M
 from ..operators import pages as X
 from ..operators import search as S
 from ..operators import vectors as Q
+from ..session import spread
 from .bindings import Entities
 from .registry import plan
 
@@ -135,7 +136,7 @@ def page_emails(e: Entities) -> DataFrame:
 
 def rendered(df: DataFrame, *columns) -> DataFrame:
     """Rows with computed columns held as values, so that later expressions read them instead of computing them again."""
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    return spread(df).select(F.inline(F.array(F.struct(*columns))))
 
 
 def profile_pages(e: Entities) -> DataFrame:

@@ -62,6 +62,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"spark-{name}-")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when a table sits in fewer partitions than there are cores.
+
+    Tables of many files are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only after checking that it has at most ``max_rows`` rows.
 
