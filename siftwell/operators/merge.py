@@ -259,9 +259,9 @@ def merge_people(candidates: DataFrame) -> DataFrame:
     """Entries per company and person name; only compatible contact data is put together.
 
     Which entry a candidate joins depends on the order, so the last step goes through the
-    candidates of a person one by one. Before it, equal (name, phone, email) candidates are
-    combined by an aggregation, so what is left per person is its distinct contact data, however
-    many rows there were.
+    candidates of a person one by one. An exact repeat belongs to the entry of its first copy,
+    so equal (name, phone, email) candidates are combined by an aggregation before that, and
+    what is left per person is its distinct contact data, however many rows there were.
     """
     at = F.col("ordinal")
     spelled = candidates.filter(present(F.col("name"))).groupBy("company_id", "name", "phone", "email").agg(

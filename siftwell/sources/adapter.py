@@ -1,7 +1,7 @@
 """Source adapters: a Spark data source over collected record files, and standardiser settings.
 
 ``spark.read.format("collected")`` and ``readStream`` give ``(ordinal, source_code, raw)`` rows
-from files of JSON lines. Nothing is fetched from the network.
+from files of JSON lines in a folder all executors can see. Nothing is fetched from the network.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import RAW_SCHEMA
 
@@ -43,8 +43,8 @@ class _Reader(DataSourceReader):
         return _rows(partition.path, self.source)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Files in name order; the offset is the number of files already read."""
+class _StreamReader(DataSourceStreamReader):
+    """Files in name order; the offset is the number of files already read. Executors read the files."""
 
     def __init__(self, options):
         self.folder, self.source = options["path"], options.get("source", "unknown")
@@ -52,13 +52,17 @@ class _StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"files": 0}
 
-    def read(self, start):
-        files = _files(self.folder)
-        return self.readBetweenOffsets(start, {"files": len(files)}), {"files": len(files)}
+    def latestOffset(self):
+        return {"files": len(_files(self.folder))}
 
-    def readBetweenOffsets(self, start, end):
-        for path in _files(self.folder)[start["files"]:end["files"]]:
-            yield from _rows(path, self.source)
+    def partitions(self, start, end):
+        return [_File(p) for p in _files(self.folder)[start["files"]:end["files"]]]
+
+    def read(self, partition):
+        return _rows(partition.path, self.source)
+
+    def commit(self, end):
+        pass
 
 
 class CollectedRecords(DataSource):
@@ -74,5 +78,5 @@ class CollectedRecords(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _StreamReader(self.options)
