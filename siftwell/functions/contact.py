@@ -127,17 +127,14 @@ def open_up_email_text(c: Column) -> Column:
 
 def decode_xor_email(hex_text: Column) -> Column:
     """Address obfuscated as hexadecimal bytes XOR-ed with the first byte."""
-    low = F.lower(hex_text)
-    good = low.rlike(r"^(?:[0-9a-f]{2}){2,}$")
-    safe = F.when(good, low)
+    def byte(low: Column, position: Column) -> Column:
+        return F.conv(F.substr(low, position, F.lit(2)), 16, 10).cast("int")
 
-    def byte(position: Column) -> Column:
-        return F.conv(F.substr(safe, position, F.lit(2)), 16, 10).cast("int")
+    def decode(low: Column) -> Column:
+        def letters(mask: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(3), F.length(low) - 1, F.lit(2)),
+                                            lambda p: F.char(byte(low, p).bitwiseXOR(mask).cast("bigint"))), "")
 
-    positions = F.sequence(F.lit(3), F.length(safe) - 1, F.lit(2))
-    letters = F.transform(positions, lambda p: F.char(byte(p).bitwiseXOR(byte(F.lit(1))).cast("bigint")))
-    return clean_email(F.array_join(letters, ""))
+        return F.when(low.rlike(r"^(?:[0-9a-f]{2}){2,}$"), clean_email(let(byte(low, F.lit(1)), letters)))
 
-
-def first_of(values: Column) -> Column:
-    return F.get(values, F.lit(0))
+    return let(F.lower(hex_text), decode)

@@ -31,6 +31,11 @@ def choose(c: Column, values: dict[str, str]) -> Column:
     return F.try_element_at(constant_map(values), c)
 
 
+def rendered(df: DataFrame, *columns) -> DataFrame:
+    """Computed columns held as values, so that later expressions read them instead of computing them again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 class Entities:
     """Lazy DataFrames over one folder of tables."""
 

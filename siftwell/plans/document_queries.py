@@ -11,7 +11,7 @@ from ..operators import pages as X
 from ..operators import search as S
 from ..operators import vectors as Q
 from ..session import spread
-from .bindings import Entities
+from .bindings import Entities, rendered
 from .registry import plan
 
 
@@ -96,7 +96,7 @@ def vector_topk_ann(e: Entities) -> DataFrame:
 WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>|</body>.*$', '', 'g'), '(?s)<nav>.*?</nav>', chr(10), 'g'), '(?s)<footer>.*?</footer>', chr(10), 'g') AS body FROM pages),
 t AS (SELECT page_id, title, list_distinct(list_filter(list_transform(string_split_regex(replace(replace(replace(replace(regexp_replace(body, '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\n\r]+'),
   lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')) AS lines FROM b)
-SELECT page_id, CAST(len(lines) AS INTEGER) AS lines, md5(array_to_string(list_sort(lines), '|')) AS content, trim(regexp_replace(replace(title, '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM t""")
+SELECT page_id, CAST(len(lines) AS INTEGER) AS lines, md5(array_to_string(list_sort(lines), '|')) AS content, trim(regexp_replace(replace(replace(title, '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM t""")
 def page_main_text(e: Entities) -> DataFrame:
     """Unique visible lines of the main content, and the page title."""
     lines = e.pages.select("page_id", X.unique_lines(X.main_text(F.col("html"))).alias("l"), X.page_title(F.col("html")).alias("title"))
@@ -134,11 +134,6 @@ def page_emails(e: Entities) -> DataFrame:
     return e.pages.select(k, F.array_join(F.array_sort(X.page_emails(F.concat("html", extra), [])), ",").alias("emails"))
 
 
-def rendered(df: DataFrame, *columns) -> DataFrame:
-    """Rows with computed columns held as values, so that later expressions read them instead of computing them again."""
-    return spread(df).select(F.inline(F.array(F.struct(*columns))))
-
-
 def profile_pages(e: Entities) -> DataFrame:
     """One company profile page per organisation, rendered from its columns."""
     k = F.col("org_id")
@@ -152,7 +147,7 @@ def profile_pages(e: Entities) -> DataFrame:
         F.lit("<p>Listed since 1999</p><p>Codes 03 30 00 and 05 12 "), F.lpad((k % 100).cast("string"), 2, "0"), F.lit('</p><a class="site" href="https://www.Firm'), k,
         F.lit('.com/?utm_source=a">Visit site</a><a href="https://www.facebook.com/firm'), k, F.lit('/">f</a><a href="https://twitter.com/intent/x">t</a><p>Chief Estimator: Jane Doe (212) 555-'), tel,
         F.lit(" jane"), k, F.lit("@firm.com</p><p>Bob Ray, President</p><h3>New York</h3><p>Kings County</p><p>Albany County</p><p>Texas:</p><p>Travis County</p></body></html>"))
-    return rendered(e.organizations, k.alias("page_id"), F.concat(F.lit("https://books.example.com/profile/"), k).alias("url"), "org_name", html.alias("html"))
+    return rendered(spread(e.organizations), k.alias("page_id"), F.concat(F.lit("https://books.example.com/profile/"), k).alias("url"), "org_name", html.alias("html"))
 
 
 @plan("page_fields", uses="organizations", sql="""
@@ -195,7 +190,7 @@ def listing_pages(e: Entities) -> DataFrame:
                     card(k, F.lit("Acme"), F.lit("212-555-0001"), F.concat(F.lit("<p>"), "org_city", F.lit(", "), "org_state", F.lit("</p>"))),
                     card(k, F.lit("Acme Works"), F.lit("212-555-0002"), F.lit("<p>a&#64;firm.com</p>")), card(k + 1, F.lit("Next"), F.lit("none"), F.lit("")),
                     F.lit('<div class="card">no link</div></body>'))
-    return rendered(e.organizations, k.alias("page_id"), F.lit("https://books.example.com/search.html").alias("url"), html.alias("html"))
+    return rendered(spread(e.organizations), k.alias("page_id"), F.lit("https://books.example.com/search.html").alias("url"), html.alias("html"))
 
 
 @plan("page_listings", uses="organizations", sql="""
@@ -220,7 +215,7 @@ def page_tables(e: Entities) -> DataFrame:
     row = F.concat(F.lit("<tr><td>Open</td><td>R-"), k, F.lit("</td><td> Bid for "), "o_orderpriority", F.lit("</td><td>"), F.date_format("o_orderdate", "yyyy-MM-dd"),
                    F.lit('</td><td><a href="/opportunities/'), k, F.lit('">view</a></td></tr>'))
     html = F.concat(F.lit("<table><tr><th>Status</th><th>Ref</th></tr><tr><td>Status</td><td>Ref</td><td>Project</td><td>Close</td></tr>"), row, row, F.lit("</table>"))
-    pages = rendered(e.orders, k.alias("page_id"), F.lit("https://bids.example.com/portal").alias("url"), html.alias("html"))
+    pages = rendered(spread(e.orders), k.alias("page_id"), F.lit("https://bids.example.com/portal").alias("url"), html.alias("html"))
     return X.table_records(pages).drop("pos")
 
 
@@ -235,7 +230,7 @@ def page_markdown(e: Entities) -> DataFrame:
     block = F.concat(F.lit("intro\n### [advertisement: **"), "org_name", F.lit("** &amp; Co](https://r.example.com/x-1-2)\n[(212) 555-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("](tel:1)\n"),
                      F.when(k % 2 == 0, F.lit("Rating: A+\n")).otherwise(F.lit("")), F.when(k % 3 == 0, F.lit("Accredited Business\n")).otherwise(F.lit("")), k, F.lit(" Main St, "), "org_city", F.lit(", "), "org_state", F.lit(" 12345"))
     page = F.concat(F.lit("Title\nUpdates\nAddendum "), k, F.lit("\n\nSecond  note\nBid Results\nNone\nAwards\nAwarded to Firm "), k, F.lit("\nAccessibility\nBudget $"), k, F.lit(",000"))
-    pages = rendered(e.organizations, k.alias("page_id"), block.alias("block"), page.alias("page"))
+    pages = rendered(spread(e.organizations), k.alias("page_id"), block.alias("block"), page.alias("page"))
     page = F.col("page")
     rows = pages.select("page_id", F.inline(X.markdown_records(F.col("block"))), F.array_join(X.text_section(page, "Updates"), "|").alias("updates"),
                         X.awardee(F.get(X.text_section(page, "Awards"), F.lit(0))).alias("awardee"), money(page).alias("phone_or_text"))

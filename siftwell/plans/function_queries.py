@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact, keys, place, privacy, scoring, text, times, urls
 from ..operators import standardize as Z
-from .bindings import Entities
+from .bindings import Entities, rendered
 from .registry import plan
 
 
@@ -87,9 +87,11 @@ def contact_normalize(e: Entities) -> DataFrame:
     plain = F.concat(F.lit("boss"), "org_id", F.lit("@firm.com"))
     codes = F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.lpad(F.hex(
         F.ascii(F.substr(plain, i, F.lit(1))).bitwiseXOR(F.lit(0x5A)).cast("bigint")), 2, "0"))
-    coded = F.concat(F.lit("5a"), F.array_join(codes, ""))
     extended = F.concat(F.lit("Office: "), "phone", F.lit(" ext. "), F.col("org_id") % 90 + 10)
-    return e.organizations.filter(F.col("website").isNotNull()).select(
+    rows = rendered(e.organizations.filter(F.col("website").isNotNull()), "org_id", "email", "phone", "website",
+                    F.concat(F.lit("5a"), F.array_join(codes, "")).alias("coded"), extended.alias("extended"))
+    extended, coded = F.col("extended"), F.col("coded")
+    return rows.select(
         "org_id", contact.normalize_email(F.concat(F.lit(" "), "email")).alias("email"), contact.normalize_phone(F.col("phone")).alias("phone"),
         contact.display_phone(contact.directory_phone(extended)).alias("pretty"),
         contact.normalize_domain(F.col("website")).alias("website_domain"), contact.decode_xor_email(coded).alias("decoded"),
@@ -108,7 +110,7 @@ def emails_in_text(e: Entities) -> DataFrame:
 
 @plan("state_location_parse", uses="organizations", sql="""
 WITH z AS (SELECT org_id, org_city, org_state, lpad(CAST(org_id % 99999 AS VARCHAR), 5, '0') AS zip FROM organizations)
-SELECT org_id, CASE org_id % 7 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN org_city || ', Atlantis' WHEN 6 THEN 'Suite ' || org_id || ', ' || org_city ELSE org_city END AS city,
+SELECT org_id, CASE org_id % 7 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN org_city || ', Atlantis' WHEN 6 THEN 'Suite ' || (org_id % 1000) || ', ' || org_city ELSE org_city END AS city,
   CASE org_id % 7 WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE org_state END AS state,
   CASE org_id % 7 WHEN 0 THEN zip WHEN 3 THEN zip WHEN 6 THEN zip || '-1234' END AS postal,
   org_city AS facet_city, org_city || ' County(' || org_state || ')' AS facet FROM z""")
@@ -121,7 +123,7 @@ def state_location_parse(e: Entities) -> DataFrame:
     raw = (F.when(m == 0, F.concat(city, F.lit(", "), state, F.lit(" "), code, F.lit(", USA")))
            .when(m == 1, F.concat(city, F.lit(" "), F.upper(spelled))).when(m == 2, F.concat(F.lit(" "), F.lower(state), F.lit(".")))
            .when(m == 3, code).when(m == 4, F.concat(city, F.lit(" "), state)).when(m == 5, F.concat(city, F.lit(", Atlantis")))
-           .otherwise(F.concat(F.lit("Suite "), k, F.lit(", "), city, F.lit(", "), spelled, F.lit(" "), code, F.lit("-1234, United States"))))
+           .otherwise(F.concat(F.lit("Suite "), k % 1000, F.lit(", "), city, F.lit(", "), spelled, F.lit(" "), code, F.lit("-1234, United States"))))
     parsed = e.organizations.select(k, place.parse_location(raw).alias("p"), place.parse_city(F.concat(F.upper(city), F.lit("_"), state)).alias("c"),
                                     place.parse_county(F.concat(city, F.lit(" ("), state, F.lit(")"))).alias("f"))
     return parsed.select("org_id", "p.city", "p.state", "p.postal", F.col("c.city").alias("facet_city"), F.col("f.facet").alias("facet"))
@@ -220,7 +222,8 @@ def secret_redaction(e: Entities) -> DataFrame:
     payload = F.create_map(F.lit("API-Key"), F.col("props"), F.lit("session_token"), k.cast("string"),
                            F.lit("url"), F.concat(F.lit("postgresql+psycopg://app:pw"), k, F.lit("@db"), k % 7, F.lit("/x")),
                            F.lit("note"), F.concat(F.lit("call 212-555-"), F.lpad((k % 10000).cast("string"), 4, "0")))
-    return e.events.select("event_id", privacy.mask_payload(payload).alias("p")).select(
+    masked = rendered(e.events, k.alias("event_id"), privacy.mask_payload(payload).alias("p"))
+    return masked.select(
         "event_id", F.col("p")["API-Key"].alias("api_key"), F.col("p")["session_token"].alias("session_token"),
         F.col("p")["url"].alias("url"), F.col("p")["note"].alias("note"))
 
@@ -242,7 +245,7 @@ def map_projection(e: Entities) -> DataFrame:
            .otherwise(F.map_concat(base, F.create_map(F.lit("scrapper"), F.lit("x")))))
     fmap = (F.when(kind == "view", F.expr("map('title', 'label', 'source_code', 'scrapper')"))
             .when(kind == "click", F.expr("map('title', 'label', 'nonsense', 'k')")))
-    records = e.events.select(k.alias("ordinal"), raw.alias("raw"), fmap.alias("field_map"))
+    records = rendered(e.events, k.alias("ordinal"), raw.alias("raw"), fmap.alias("field_map"))
     return Z.project_with_map(records).select("ordinal", "source_code", "record_kind", "title", "email", "due_at",
                                               F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("extra_keys"))
 
@@ -267,7 +270,7 @@ def source_projection(e: Entities) -> DataFrame:
         F.lit("city"), F.when(source != "municipal", F.col("org_city")), F.lit("state"), place.state_name(F.col("org_state")),
         F.lit("location_state"), F.when(source == "authority", F.lower("org_state")), F.lit("contact_email"), F.when(k % 7 < 3, F.col("email")),
         F.lit("email"), F.col("email"))
-    rows = e.organizations.select(k.alias("ordinal"), source.alias("source_code"), raw.alias("raw"))
+    rows = rendered(e.organizations, k.alias("ordinal"), source.alias("source_code"), raw.alias("raw"))
     return Z.project_source(rows).select("ordinal", "source_code", "record_kind", "external_id", "organization_name", "city", "us_state", "email")
 
 
