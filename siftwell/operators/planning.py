@@ -267,3 +267,8 @@ def fill_missing(base: DataFrame, extra: DataFrame, on: Sequence[str], fields: S
 
 def default_city(state: Column, cities: dict[str, str]) -> Column:
     return F.try_element_at(constant_map(cities), normalize_state(state))
+
+
+def canonical_trade(c: Column, trades: dict[str, str]) -> Column:
+    """Canonical category of a trade alias; an unknown alias stays as it is."""
+    return F.coalesce(F.try_element_at(constant_map({normalize_region_name(k): v for k, v in trades.items()}), normalize_keyword(c)), c)

@@ -52,6 +52,11 @@ def project_with_map(records: DataFrame, field_map: Column | str = "field_map")
     return staged.withColumns({**columns, "extra": extra}).drop("_used", "raw", *([field_map] if isinstance(field_map, str) else []))
 
 
+def attach_field_maps(records: DataFrame, maps: DataFrame) -> DataFrame:
+    """The stored field map of every record's source, NULL where none is stored."""
+    return records.join(maps.select("source_code", "field_map"), "source_code", "left")
+
+
 # Sources as data: candidate raw keys per canonical field, constants, and where an id hides in the URL.
 SOURCE_LAYOUTS: dict[str, dict[str, object]] = {
     "municipal": {
