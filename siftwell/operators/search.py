@@ -170,8 +170,11 @@ def canonical_criteria(requests: DataFrame, source_aliases: dict[str, str] | Non
     def field(name: str, kind: str = "string") -> Column:
         return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
 
+    free_text = "location" in have
+    nowhere = F.expr("cast(NULL AS struct<city: string, state: string, postal: string>)")
     staged = requests.withColumns({
-        "_location": parse_location(field("location")), "_whole": normalize_state(field("location"))})
+        "_location": parse_location(field("location")) if free_text else nowhere,
+        "_whole": normalize_state(field("location")) if free_text else F.lit(None).cast("string")})
     use_location = ~present(field("city")) & ~present(field("us_state"))
     staged = staged.withColumns({
         "_raw_state": F.coalesce(blank_to_null(field("us_state")), F.when(

@@ -126,7 +126,7 @@ class Entities:
         """Raw observations of a lead in arrival order, with fields left blank at times."""
         n = F.col("l_linenumber")
         ordinal = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        return self.table("lineitem").select(
+        return spread(self.table("lineitem")).select(
             F.col("l_orderkey").alias("identity"), n.alias("line"), ordinal.alias("ordinal"),
             F.when(F.col("l_partkey") % 4 == 0, F.lit("")).when(F.col("l_partkey") % 4 != 1, F.concat(
                 F.lit("title "), F.col("l_partkey") % 5)).alias("title"),
