@@ -119,14 +119,14 @@ def sighting_upsert(e: Entities) -> DataFrame:
     return M.upsert_sightings(rows.filter(~fresh), rows.filter(fresh))
 
 
-@plan("alias_resolution", uses="lead_sources", sql="""
-WITH k AS (SELECT source_code, external_id, 'src:' || min(lead_id) AS known FROM lead_sources WHERE lead_id % 2 = 0 GROUP BY ALL)
+@plan("alias_resolution", uses="lead_sources", sql=f"""
+WITH k AS (SELECT source_code, external_id, 'src:' || min(lead_id) AS known FROM lead_sources WHERE seen_at < TIMESTAMP '{AS_OF}' GROUP BY ALL)
 SELECT r.lead_id, r.external_id, coalesce(known, 'new:' || r.lead_id) AS identity_key, count(*) AS n
 FROM lead_sources r LEFT JOIN k USING (source_code, external_id) GROUP BY ALL""")
 def alias_resolution(e: Entities) -> DataFrame:
     """A known (source, external id) overrides the computed identity."""
     rows = e.lead_sources.withColumn("identity_key", F.concat(F.lit("new:"), "lead_id"))
-    known = e.lead_sources.filter("lead_id % 2 = 0").withColumn("identity_key", F.concat(F.lit("src:"), "lead_id"))
+    known = e.lead_sources.filter(F.col("seen_at") < as_of()).withColumn("identity_key", F.concat(F.lit("src:"), "lead_id"))
     return M.resolve_aliases(rows, known).groupBy("lead_id", "external_id", "identity_key").agg(F.count(F.lit(1)).alias("n"))
 
 

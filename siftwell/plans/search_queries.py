@@ -168,10 +168,10 @@ def search_keyword_ilike(e: Entities) -> DataFrame:
 
 @plan("search_exclusions", uses="leads deliveries", sql="""
 SELECT lead_id, status, us_state FROM leads
-WHERE status = 'Called' AND city IS NULL AND lead_id NOT IN (SELECT lead_id FROM deliveries WHERE user_id % 10 = 3)""")
+WHERE status = 'Called' AND city IS NULL AND lead_id NOT IN (SELECT lead_id FROM deliveries WHERE record_version = 3)""")
 def search_exclusions(e: Entities) -> DataFrame:
     """Equality and IS NULL filters with an explicit exclusion list."""
-    excluded = e.deliveries.filter(F.col("user_id") % 10 == 3).select("lead_id").distinct()
+    excluded = e.deliveries.filter(F.col("record_version") == 3).select("lead_id").distinct()
     chosen = S.equality_filter(e.leads, {"status": "Called", "city": None})
     return chosen.join(excluded, "lead_id", "left_anti").select("lead_id", "status", "us_state")
 

@@ -88,10 +88,10 @@ def snapshot_available(e: Entities) -> DataFrame:
 
 @plan("completion_events", uses="jobs requests", sql="""
 SELECT r.request_id, r.job_id, sha256(r.job_id || ':' || r.request_id) AS event_id, j.status AS job_status FROM requests r JOIN jobs j USING (job_id)
-WHERE j.status IN ('Completed', 'Partial', 'Failed', 'Cancelled') AND coalesce(kind, '') NOT IN ('event', 'confirmation') AND r.request_id % 10 <> 0""")
+WHERE j.status IN ('Completed', 'Partial', 'Failed', 'Cancelled') AND coalesce(kind, '') NOT IN ('event', 'confirmation') AND r.created_at >= TIMESTAMP '2024-01-10'""")
 def completion_events(e: Entities) -> DataFrame:
     """One completion per finished job and subscribed request; those already recorded are not repeated."""
-    recorded = D.completion_events(e.jobs, e.requests.filter("request_id % 10 = 0"))
+    recorded = D.completion_events(e.jobs, e.requests.filter(F.col("created_at") < F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")))
     return D.completion_events(e.jobs, e.requests, recorded).select("request_id", "job_id", "event_id", "job_status")
 
 
@@ -259,8 +259,9 @@ WITH m AS (SELECT *, greatest(1, length(text) // 3) AS size FROM conversations W
 u AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM m), f AS (SELECT * FROM u WHERE used <= 300),
 s AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS start FROM f GROUP BY 1),
 b AS (SELECT conv_id, coalesce((SELECT start FROM s WHERE s.conv_id = m.conv_id), max(turn) FILTER (role = 'user')) AS start FROM m GROUP BY conv_id)
-SELECT c.conv_id, c.turn, md5(left(c.text, 1000)) AS text FROM conversations c JOIN b ON c.conv_id = b.conv_id AND c.turn < b.start
-WHERE c.conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) > 3)""")
+SELECT conv_id, turn, text FROM (SELECT c.conv_id, c.turn, md5(left(c.text, 1000)) AS text, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) AS back
+  FROM conversations c JOIN b ON c.conv_id = b.conv_id AND c.turn < b.start
+  WHERE c.conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) > 3)) WHERE back <= 30""")
 def summary_window(e: Entities) -> DataFrame:
     """Older turns to summarise in long conversations."""
     kept = C.bounded_history(e.conversations, "conv_id", "turn", "role", "text", 300)
