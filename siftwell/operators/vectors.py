@@ -22,58 +22,88 @@ def clamp_k(k: int) -> int:
     return max(1, min(int(k), MAX_TOP_K))
 
 
-def _partial_top(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """Function over Arrow batches: the ``k`` best corpus rows of the task for every query row."""
-    norms = np.linalg.norm(matrix, axis=1)
+def _as_matrix(column) -> np.ndarray:
+    """List column of equal lengths as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores, minus infinity where a vector has no length."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = (queries @ vectors.T) / np.linalg.norm(queries, axis=1)[:, None] / np.linalg.norm(vectors, axis=1)[None, :]
+    return np.where(np.isfinite(score), score, -np.inf)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int):
+    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _rows(query_ids: np.ndarray, score: np.ndarray, ids: np.ndarray):
+    flat = score.ravel()
+    return [pa.array(np.repeat(query_ids, score.shape[1])), pa.array(ids.ravel()), pa.array(flat, mask=~np.isfinite(flat))]
+
+
+_NAMES = ["query_id", "vec_id", "score"]
+_RESULT = "query_id bigint, vec_id bigint, score double"
+
+
+def _scan_top(query_ids: np.ndarray, matrix: np.ndarray, k: int):
+    """Function over the Arrow batches of a task: the ``k`` best corpus rows for every query row."""
 
     def run(batches):
-        best_score = np.empty((len(ids), 0))
-        best_id = np.empty((len(ids), 0), dtype=np.int64)
+        score, ids = np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), dtype=np.int64)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(vectors, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = (matrix @ vectors.T) / norms[:, None] / size[None, :]
-            score = np.where(np.isfinite(score), score, -np.inf)
-            own = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), score.shape)
-            best_score, best_id = np.hstack([best_score, score]), np.hstack([best_id, own])
-            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        count = best_score.shape[1]
-        if count:
-            flat = best_score.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, count)), pa.array(best_id.ravel()), pa.array(flat, mask=~np.isfinite(flat))],
-                names=["query_id", "vec_id", "score"])
+            if batch.num_rows:
+                fresh = _cosine(matrix, _as_matrix(batch.column(1)))
+                own = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), fresh.shape)
+                score, ids = _best(np.hstack([score, fresh]), np.hstack([ids, own]), k)
+        if score.shape[1]:
+            yield pa.RecordBatch.from_arrays(_rows(query_ids, score, ids), names=_NAMES)
+
+    return run
+
+
+def _block_top(k: int):
+    """Function over one block of queries and one block of the corpus."""
+
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if queries.num_rows == 0 or corpus.num_rows == 0:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        fresh = _cosine(_as_matrix(queries["embedding"]), _as_matrix(corpus["embedding"]))
+        own = np.broadcast_to(corpus["vec_id"].to_numpy(), fresh.shape)
+        return pa.Table.from_arrays(_rows(queries["query_id"].to_numpy(), *_best(fresh, own, k)), names=_NAMES)
 
     return run
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK, corpus_block: int = 200_000) -> DataFrame:
     """``(query_id, vec_id, score, rank)``: the ``k`` nearest corpus vectors of every query vector.
 
-    ``queries(query_id, embedding)`` are shipped to the tasks in blocks of at most ``block``
-    vectors, so what a task receives has a fixed bound; more queries mean more passes over the
-    corpus. Vectors of another dimension are left out, a zero vector has no score and comes last.
+    Up to ``block`` queries are shipped to the tasks that scan the corpus, so there is no
+    shuffle but that of ``k`` rows per query and task. More queries are cut into blocks by a hash
+    of their ids, the corpus likewise, and every pair of blocks is one group of a co-grouped
+    product: nothing passes the driver and no group outgrows its block.
+
+    Vectors of another dimension than the queries are left out; a zero vector has no score and
+    comes last.
     """
     k = clamp_k(k)
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    result = None
-    numbered = queries.withColumn("_block", F.pmod(F.hash("query_id"), F.lit(blocks)))
-    for number in range(blocks):
-        rows = (numbered.filter(F.col("_block") == number) if blocks > 1 else numbered).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        usable = corpus.filter(F.size("embedding") == matrix.shape[1]).select(F.col("vec_id").cast("bigint"), "embedding")
-        part = usable.mapInArrow(_partial_top(ids, matrix, k), "query_id bigint, vec_id bigint, score double")
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        result = queries.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    stored = corpus.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding"))
+    few = asked.limit(block + 1).collect()
+    if not few:
+        return top_rows(asked.select("query_id", F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("score")), ["query_id"], [F.col("vec_id")], k)
+    usable = stored.filter(F.size("embedding") == len(few[0].embedding))
+    if len(few) <= block:
+        ids, matrix = np.array([r.query_id for r in few], dtype=np.int64), np.array([r.embedding for r in few])
+        result = usable.mapInArrow(_scan_top(ids, matrix, k), _RESULT)
+    else:
+        rows, columns = -(-asked.count() // block), -(-usable.count() // corpus_block)
+        left = asked.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int"), "cb": F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))})
+        right = usable.withColumns({"cb": F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))})
+        result = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_block_top(k), _RESULT)
     return top_rows(result, ["query_id"], [F.col("score").desc_nulls_last(), F.col("vec_id")], k)
 
 
