@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, line_rules, packing, pii, simhash
+from . import chat, decontaminate, html_template, line_rules, packing, passages, pii, quality_model, simhash, token_counts
 
 PII_KEY = "surrogates"
 
@@ -32,11 +32,28 @@ def op2_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.prefix_examples(turns))
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that share a passage of 50 words or more, with their class."""
+    return passages.passage_classes(_table(spark, sf_dir, "documents"))
+
+
+def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents."""
+    counted = token_counts.prefix_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4,096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_template_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = html_template.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of all documents, the source taken as host."""
     return line_rules.quality_rules(_table(spark, sf_dir, "documents"))
@@ -47,13 +64,20 @@ def op8_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learned from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.scores(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it holds."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_prefix_target, op5_complement_packing, op7_line_frequency, op8_simhash_vantage, op10_string_tiling)
+    f.__name__: f for f in (op1_pii_surrogates, op2_prefix_target, op3_compact_windows, op4_prefix_counts, op5_complement_packing, op6_template_classes,
+                            op7_line_frequency, op8_simhash_vantage, op9_attention_quality, op10_string_tiling)
 }
 
 SQL: dict[str, str] = {}
