@@ -62,11 +62,16 @@ def base_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def line_hash(line: Column) -> Column:
+    """The first 60 bits of the MD5 digest: a hash that other systems have as well."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+
+
 def line_table(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """One row per line with words: document key, host, hash, words, and the mark of the other lines."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09\\x0B-\\x0D]+", " "))
     parts = F.filter(F.split(plain, " ?\n ?"), lambda x: x != "")
-    hashed = F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
+    hashed = F.transform(parts, lambda x: F.struct(line_hash(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
     rows = docs.select(*row_key(doc_id, text), F.col(host).alias("host"), hashed.alias("lines"))
     least = F.slice(F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"]))), 1, 2)
     rows = rows.select(*KEY, "host", "lines", least.alias("least"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, html_template, line_rules, packing, passages, pii, quality_model, simhash, token_counts
+from . import chat, decontaminate, html_template, line_rules, oracles, packing, passages, pii, quality_model, simhash, token_counts
 
 PII_KEY = "surrogates"
 
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op7_line_frequency, op8_simhash_vantage, op9_attention_quality, op10_string_tiling)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_prefix_target": oracles.PREFIX_TARGET, "op7_line_frequency": oracles.LINE_FREQUENCY}
