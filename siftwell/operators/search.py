@@ -14,8 +14,8 @@ from ..functions.place import normalize_state, parse_location
 from ..functions.text import blank_to_null, collapse, constant_map, let, normalize_city, present, string_array
 from .ordered import top_rows
 
-MAX_PAGE = 1000
 ANYWHERE = "*"
+SALTS = 16  # parts that the leads of one place are dealt to
 
 
 # --- generic filters -------------------------------------------------------------------------
@@ -41,9 +41,9 @@ def day_range(ts: Column, first: str | None, last: str | None) -> Column:
     return test
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int = 0) -> DataFrame:
-    """One ordered page; the limit is clamped to 1..1000 and the offset to 0 or more."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(min(max(1, limit), MAX_PAGE))
+def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int = 0, most: int = 1000) -> DataFrame:
+    """One ordered page; the limit is clamped to 1..``most`` and the offset to 0 or more."""
+    return df.orderBy(*order).offset(max(0, offset)).limit(min(max(1, limit), most))
 
 
 def keyword_filter(columns: Sequence[Column], keyword: str) -> Column:
@@ -148,8 +148,18 @@ def search_text(record_kind: Column, industry: Column, *fields: Column) -> Colum
 
 
 def any_term(text: Column, terms: Column) -> Column:
-    """Some term, stripped of ``%`` and ``_``, is contained in the text."""
-    return F.exists(terms, lambda t: F.contains(text, F.regexp_replace(t, "[%_]", "")) & (t != ""))
+    """Some term is contained in the text; see ``plain_terms`` for what a term may hold."""
+    return F.exists(terms, lambda t: F.contains(text, t))
+
+
+def plain_terms(terms: Column) -> Column:
+    """Terms without ``%`` and ``_``, which have no meaning of their own here; empty ones go."""
+    return F.filter(F.transform(terms, lambda t: F.translate(t, "%_", "")), lambda t: t != "")
+
+
+def source_key(code: Column) -> Column:
+    """A source code as requests and records are compared by it."""
+    return F.regexp_replace(F.lower(F.trim(code)), "[^a-z0-9]", "")
 
 
 # --- requests --------------------------------------------------------------------------------
@@ -185,7 +195,7 @@ def canonical_criteria(requests: DataFrame, source_aliases: dict[str, str] | Non
     compact = F.replace(F.lower("_city"), F.lit(" "), F.lit(""))
     redundant = F.coalesce(F.col("_state").isNotNull() & ((F.col("_city_state") == F.col("_state")) | (compact == "newyork")),
                            F.lit(False))
-    source = F.regexp_replace(F.lower(F.trim(field("source"))), "[^a-z0-9]", "")
+    source = source_key(field("source"))
     for short, full in (source_aliases or {}).items():
         source = F.when(source == short, F.lit(full)).otherwise(source)
     source = F.coalesce(blank_to_null(F.regexp_replace(source, "(scrappers?|scrapers?)$", "")), source)
@@ -203,77 +213,129 @@ def canonical_criteria(requests: DataFrame, source_aliases: dict[str, str] | Non
         "fresh_within_days": field("fresh_within_days", "int"),
         "include_expired": F.coalesce(field("include_expired", "boolean"), F.lit(False)),
         "new_only": F.coalesce(field("new_only", "boolean"), F.lit(False)),
+        "status": blank_to_null(field("status")), "assigned_to": field("assigned_to", "bigint"),
+        "department_id": field("department_id", "bigint"),
+        "exclude_lead_ids": F.coalesce(field("exclude_lead_ids", "array<bigint>"), F.array().cast("array<bigint>")),
         "user_id": field("user_id", "bigint"),
     }
     out = staged.select("request_id", *[c.alias(n) for n, c in canonical.items()], problems.alias("problems"))
     hashed = F.sha2(F.to_json(F.struct(*[n for n in sorted(canonical) if n != "user_id"])), 256)
     none = string_array([])
     out = out.withColumns({"criteria_hash": hashed, "_terms": category_variations(F.col("category"))})
-    return out.withColumns({"contractor_terms": F.coalesce("_terms.contractor", none),
-                            "plain_terms": F.coalesce("_terms.plain", none)}).drop("_terms")
+    return out.withColumns({"contractor_terms": plain_terms(F.coalesce("_terms.contractor", none)),
+                            "plain_terms": plain_terms(F.coalesce("_terms.plain", none))}).drop("_terms")
 
 
 # --- matching --------------------------------------------------------------------------------
+def with_sources(leads: DataFrame, sightings: DataFrame) -> DataFrame:
+    """``sources``: the keys of a lead's own source and of every source that has seen it."""
+    own = leads.select("lead_id", source_key(F.col("source_code")).alias("key"))
+    seen = sightings.select("lead_id", source_key(F.col("source_code")).alias("key")).distinct()
+    keys = own.unionByName(seen.join(own.select("lead_id"), "lead_id", "left_semi")).filter("key <> ''")
+    return leads.join(keys.groupBy("lead_id").agg(F.sort_array(F.collect_set("key")).alias("sources")), "lead_id", "left")
+
+
+def with_contact_flags(leads: DataFrame, contacts: DataFrame, organizations: DataFrame) -> DataFrame:
+    """``has_email`` and ``has_phone``: from linked contacts or, for companies, from the organisation."""
+    company = F.col("record_kind") == "company"
+    orgs = organizations.select("org_id", present(F.col("email")).alias("_o_email"), present(F.col("phone")).alias("_o_phone"))
+    out = leads.join(orgs, "org_id", "left")
+    for name in ("email", "phone"):
+        out = exists_flag(out, contacts.filter(present(F.col(name).cast("string"))), ["lead_id"], f"_c_{name}")
+        out = out.withColumn(f"has_{name}", F.col(f"_c_{name}") | (company & F.coalesce(f"_o_{name}", F.lit(False))))
+    return out.drop("_o_email", "_o_phone", "_c_email", "_c_phone")
+
+
+def with_places(leads: DataFrame, locations: DataFrame) -> DataFrame:
+    """``org_places``: the distinct city and state pairs of a lead's organisation."""
+    pairs = F.collect_set(F.struct(F.lower(F.trim("city")).alias("city"), F.upper("state").alias("state")))
+    return leads.join(locations.groupBy("org_id").agg(pairs.alias("org_places")), "org_id", "left")
+
+
 def match_requests(leads: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
     """All (request, lead) pairs that satisfy the criteria, with ``contractor_first``.
 
-    ``leads`` brings ``lead_id, record_kind, city, us_state, org_city, org_state, text, due_at,
-    last_seen_at`` and the flags the requests may ask for (``has_email``, ``has_phone``); a
-    missing flag column counts as false. Leads meet requests by an equi-join on the state they
-    can be found under, so a request is never compared with the leads of another state; requests
-    without a state use one shared key.
+    ``leads`` brings ``lead_id, record_kind, city, us_state, text, due_at, last_seen_at``, the places of
+    its organisation in ``org_places`` (or one place in ``org_city, org_state``), and what requests may
+    ask for: ``has_email, has_phone, sources, status, assigned_to, department_id``. A flag that is
+    absent counts as false, another absent column matches no request that asks for it. Leads meet
+    requests by an equi-join on the state they can be found under and a salt, so that the leads of one
+    state, or those that stateless requests look at, are dealt to ``SALTS`` parts.
     """
-    flags = {n: (F.col(n) if n in leads.columns else F.lit(False)) for n in ("has_email", "has_phone")}
+    have = set(leads.columns)
+
+    def lead(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+
+    places = F.col("org_places") if "org_places" in have else F.array(F.struct(
+        F.lower(F.trim("org_city")).alias("city"), F.upper("org_state").alias("state")))
+    asked_of = {"has_email": "boolean", "has_phone": "boolean", "sources": "array<string>", "status": "string", "assigned_to": "bigint", "department_id": "bigint"}
     incomplete = (F.col("record_kind") == "company") & (F.col("city").isNull() | F.col("us_state").isNull())
-    keys = F.array_distinct(F.array_compact(F.array(
-        F.lit(ANYWHERE), F.upper("us_state"), F.when(incomplete, F.upper("org_state")))))
-    candidates = leads.withColumns({f"_lead_{n}": c for n, c in flags.items()}).drop(*flags).withColumn(
-        "_place", F.explode(keys))
+    related = F.when(incomplete, F.transform("_places", lambda p: p["state"])).otherwise(string_array([]))
+    keys = F.array_distinct(F.array_compact(F.concat(F.array(F.lit(ANYWHERE), F.upper("us_state")), F.coalesce(related, string_array([])))))
+    candidates = leads.withColumns({f"_lead_{n}": lead(n, k) for n, k in asked_of.items()} | {"_places": places}).drop("org_places", *(set(asked_of) & have - {"status"}))
+    salt = F.pmod(F.xxhash64("lead_id"), F.lit(SALTS)).cast("int")
+    candidates = candidates.withColumn("_salt", salt).withColumn("_place", F.explode(keys))
+    criteria = {"_kind": "record_kind", "_email": "has_email", "_phone": "has_phone", "_fresh": "fresh_within_days", "_expired": "include_expired", "_source": "source",
+                "_status": "status", "_assigned": "assigned_to", "_department": "department_id", "_excluded": "exclude_lead_ids",
+                "_contractor": "contractor_terms", "_plain": "plain_terms", "_state": "us_state"}
     asked = requests.filter(F.size("problems") == 0).select(
-        F.col("request_id"), F.col("quantity"), F.col("user_id"), F.col("new_only"),
-        F.coalesce("us_state", F.lit(ANYWHERE)).alias("_place"), F.lower("city").alias("_city"),
-        F.col("us_state").alias("_state"), F.col("record_kind").alias("_kind"),
-        F.col("has_email").alias("_email"), F.col("has_phone").alias("_phone"),
-        F.col("fresh_within_days").alias("_fresh"), F.col("include_expired").alias("_expired"),
-        F.col("contractor_terms").alias("_contractor"), F.col("plain_terms").alias("_plain"))
+        "request_id", "quantity", "user_id", "new_only", F.coalesce("us_state", F.lit(ANYWHERE)).alias("_place"), F.lower("city").alias("_city"),
+        *[F.col(c).alias(n) for n, c in criteria.items()], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
 
     def located(city: Column, state: Column) -> Column:
         return ((F.col("_city").isNull() | F.coalesce(F.lower(F.trim(city)) == F.col("_city"), F.lit(False)))
                 & (F.col("_state").isNull() | F.coalesce(F.upper(state) == F.col("_state"), F.lit(False))))
 
+    def equal(wanted: str, found: str) -> Column:
+        return F.col(wanted).isNull() | F.coalesce(F.col(wanted) == F.col(found), F.lit(False))
+
     missing = ((F.col("_city").isNotNull() & F.col("city").isNull())
                | (F.col("_state").isNotNull() & F.col("us_state").isNull()))
-    by_org = (F.col("record_kind") == "company") & missing & located(F.col("org_city"), F.col("org_state"))
-    in_contractor = any_term(F.col("text"), F.col("_contractor"))
+    by_org = (F.col("record_kind") == "company") & missing & F.coalesce(F.exists("_places", lambda p: located(p["city"], p["state"])), F.lit(False))
     no_terms = (F.size("_contractor") == 0) & (F.size("_plain") == 0)
     unexpired = (F.col("_expired") | (F.col("record_kind") != "opportunity") | F.col("due_at").isNull()
                  | (F.col("due_at") >= as_of))
     fresh = F.col("_fresh").isNull() | F.coalesce(
         F.col("last_seen_at") >= as_of - F.make_dt_interval(F.col("_fresh")), F.lit(False))
-    return (
-        candidates.join(asked, "_place")
+    flag = {n: F.coalesce(F.col(f"_lead_{n}"), F.lit(False)) for n in ("has_email", "has_phone")}
+    matched = (
+        candidates.join(asked, ["_place", "_salt"])
         .filter(F.col("_kind").isNull() | (F.col("record_kind") == F.col("_kind")))
         .filter(located(F.col("city"), F.col("us_state")) | by_org)
         .filter(unexpired & fresh)
-        .filter((~F.col("_email") | F.col("_lead_has_email")) & (~F.col("_phone") | F.col("_lead_has_phone")))
-        .withColumn("contractor_first", in_contractor)
+        .filter((~F.col("_email") | flag["has_email"]) & (~F.col("_phone") | flag["has_phone"]))
+        .filter(F.col("_source").isNull() | F.coalesce(F.array_contains("_lead_sources", F.col("_source")), F.lit(False)))
+        .filter(equal("_status", "_lead_status") & equal("_assigned", "_lead_assigned_to") & equal("_department", "_lead_department_id"))
+        .filter(~F.array_contains("_excluded", F.col("lead_id")))
+        .withColumn("contractor_first", any_term(F.col("text"), F.col("_contractor")))
         .filter(no_terms | F.col("contractor_first") | any_term(F.col("text"), F.col("_plain")))
-        .drop("_place", "_city", "_state", "_kind", "_email", "_phone", "_fresh", "_expired", "_contractor",
-              "_plain", "_lead_has_email", "_lead_has_phone")
     )
+    return matched.drop("_place", "_salt", "_city", "_places", *criteria, *[f"_lead_{n}" for n in asked_of])
 
 
 def rank_matches(matches: DataFrame) -> DataFrame:
-    """At most ``quantity`` leads per request: contractor wording first, newest first, then id."""
+    """At most ``quantity`` leads per request: contractor wording first, newest first, then id.
+
+    The matches of one request are cut to its quantity in salted parts before they meet in one.
+    """
     order = [F.when(F.col("contractor_first"), 1).otherwise(2), F.col("created_at").desc(), F.col("lead_id")]
-    return top_rows(matches, ["request_id"], order, MAX_PAGE).filter(F.col("rank") <= F.col("quantity"))
+    parts = matches.withColumn("_part", F.pmod(F.xxhash64("lead_id"), F.lit(SALTS)))
+    first = top_rows(parts, ["request_id", "_part"], order, F.col("quantity")).drop("rank", "_part")
+    return top_rows(first, ["request_id"], order, F.col("quantity"))
 
 
 def exclude_delivered(matches: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """Drop pairs whose lead was already delivered to this user at the same version."""
+    """For requests that want new leads only, drop pairs whose lead this user already got at the same version.
+
+    Requests without ``new_only`` or without a user keep all of their pairs.
+    """
     seen = deliveries.filter(F.col("served_at").isNotNull()).select(
-        "user_id", "lead_id", F.col("record_version").alias("content_version")).distinct()
-    return matches.join(seen, ["user_id", "lead_id", "content_version"], "left_anti")
+        F.col("user_id").alias("_user"), F.col("lead_id").alias("_seen"), F.col("record_version").alias("_version")).distinct()
+    wants_new = F.coalesce(F.col("new_only"), F.lit(False)) & F.col("user_id").isNotNull()
+    fresh = matches.filter(wants_new).join(
+        seen, (F.col("user_id") == F.col("_user")) & (F.col("lead_id") == F.col("_seen")) & (F.col("content_version") == F.col("_version")), "left_anti")
+    return matches.filter(~wants_new).unionByName(fresh)
 
 
 # --- lead view -------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.place import location_matches
-from ..functions.text import all_words_match, present, string_array
+from ..functions.text import all_words_match, string_array
 from ..operators import search as S
 from .bindings import AS_OF, CITIES, NATION_STATES, Entities, as_of, days
 from .registry import plan
@@ -101,11 +101,54 @@ def search_multi_request_cap(e: Entities) -> DataFrame:
 @plan("search_new_only", uses="titled_leads deliveries", sql=f"""
 WITH {TERMS_SQL}, {REQUESTS_SQL}, {MATCH_SQL}
 SELECT request_id, lead_id, content_version FROM matched m
-WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.user_id = m.user_id AND d.lead_id = m.lead_id
+WHERE request_id % 2 = 0 OR user_id = 3 OR NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.user_id = m.user_id AND d.lead_id = m.lead_id
   AND d.record_version = m.content_version AND d.served_at IS NOT NULL)""")
 def search_new_only(e: Entities) -> DataFrame:
-    """Matches that were not yet delivered to the same user at the same version."""
-    return S.exclude_delivered(_matches(e), e.deliveries).select("request_id", "lead_id", "content_version")
+    """New leads only for the requests that ask for it and name a user; the others keep what was delivered."""
+    asked = state_requests(e).drop("has_email").withColumn("new_only", F.col("request_id") % 2 == 1).withColumn(
+        "user_id", F.nullif("user_id", F.lit(3).cast("bigint")))
+    matches = S.match_requests(_searchable(e), S.canonical_criteria(asked), as_of())
+    return S.exclude_delivered(matches, e.deliveries).select("request_id", "lead_id", "content_version")
+
+
+@plan("search_all_criteria", uses="titled_leads lead_sources organizations", sql=f"""
+WITH asked AS (SELECT CAST(n_nationkey AS BIGINT) AS request_id, n_nationkey AS n, list_extract({STATES_SQL}, n_nationkey + 1) AS state FROM nation),
+own_email AS (SELECT DISTINCT l_orderkey AS lead_id FROM lineitem WHERE l_suppkey % 4 = 0),
+own_phone AS (SELECT DISTINCT l_orderkey AS lead_id FROM lineitem WHERE l_suppkey % 6 = 0),
+sites AS (SELECT org_id, lower(org_city) AS city, org_state AS state FROM organizations
+  UNION SELECT org_id, 'utica', list_extract({STATES_SQL}, CAST(org_id % 25 + 1 AS INTEGER)) FROM organizations WHERE org_id % 2 = 0),
+hits AS (SELECT a.request_id, a.n, l.*, lower(concat_ws(' ', l.category, l.title, CASE WHEN l.record_kind = 'company' THEN l.industry END)) AS txt FROM asked a JOIN titled_leads l
+  ON (n % 5 = 4 OR l.us_state = a.state OR (l.record_kind = 'company' AND l.us_state IS NULL AND EXISTS (SELECT 1 FROM sites s WHERE s.org_id = l.org_id AND s.state = a.state)))
+  AND (n % 7 <> 6 OR l.record_kind = 'company')
+  AND (n % 4 <> 0 OR l.source_code = 'municipal' OR EXISTS (SELECT 1 FROM lead_sources s WHERE s.lead_id = l.lead_id AND s.source_code = 'municipal'))
+  AND (n % 4 <> 2 OR EXISTS (SELECT 1 FROM lead_sources s WHERE s.lead_id = l.lead_id AND s.source_code = 'r'))
+  AND (n % 3 <> 0 OR l.status = 'New') AND (n % 3 <> 1 OR l.org_id % 4 = n % 4) AND (n % 6 <> 2 OR l.lead_id % 5 = n % 5)
+  AND (n % 4 <> 3 OR EXISTS (SELECT 1 FROM own_email c WHERE c.lead_id = l.lead_id) OR (l.record_kind = 'company' AND EXISTS (SELECT 1 FROM organizations o WHERE o.org_id = l.org_id AND o.email IS NOT NULL)))
+  AND (n % 4 <> 1 OR EXISTS (SELECT 1 FROM own_phone c WHERE c.lead_id = l.lead_id) OR (l.record_kind = 'company' AND EXISTS (SELECT 1 FROM organizations o WHERE o.org_id = l.org_id AND o.phone IS NOT NULL)))
+  AND (n % 8 = 5 OR l.record_kind <> 'opportunity' OR l.due_at IS NULL OR l.due_at >= TIMESTAMP '{AS_OF}')
+  AND (n % 9 <> 4 OR l.last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY)
+  AND l.lead_id NOT IN (n, n + 32, n + 64) AND (n % 10 <> 8 OR contains(lower(concat_ws(' ', l.category, l.title, CASE WHEN l.record_kind = 'company' THEN l.industry END)), 'ring'))),
+ranked AS (SELECT request_id, lead_id, row_number() OVER (PARTITION BY request_id
+  ORDER BY CASE WHEN n % 10 = 8 AND contains(txt, 'ring contractor') THEN 1 ELSE 2 END, created_at DESC, lead_id) AS rank FROM hits)
+SELECT request_id, CAST(rank AS BIGINT) AS rank, lead_id FROM ranked WHERE rank <= 1500""")
+def search_all_criteria(e: Entities) -> DataFrame:
+    """Requests that use every criterion: place over all locations, source, state of work, people, contact, time, exclusions."""
+    n = F.col("n_nationkey")
+    asked = e.nation.select(
+        n.cast("bigint").alias("request_id"), F.when(n % 5 != 4, F.element_at(string_array(NATION_STATES), n + 1)).alias("us_state"),
+        F.when(n % 7 == 6, F.lit("company")).alias("record_kind"), F.when(n % 4 == 0, F.lit(" Municipal ")).when(n % 4 == 2, F.lit("R")).alias("source"),
+        F.when(n % 3 == 0, F.lit("New")).alias("status"), F.when(n % 3 == 1, n % 4).alias("assigned_to"), F.when(n % 6 == 2, n % 5).alias("department_id"),
+        (n % 4 == 3).alias("has_email"), (n % 4 == 1).alias("has_phone"), (n % 8 == 5).alias("include_expired"), F.when(n % 9 == 4, F.lit(400)).alias("fresh_within_days"),
+        F.array(n, n + 32, n + 64).alias("exclude_lead_ids"), F.when(n % 10 == 8, F.lit("ring")).alias("category"), F.lit(1500).alias("quantity"))
+    contacts = e.lineitem.select(F.col("l_orderkey").alias("lead_id"), F.when(F.col("l_suppkey") % 4 == 0, F.lit("a@b")).alias("email"),
+                                 F.when(F.col("l_suppkey") % 6 == 0, F.lit("1")).alias("phone"))
+    places = e.organizations.select("org_id", F.col("org_city").alias("city"), F.col("org_state").alias("state"))
+    branches = e.organizations.filter("org_id % 2 = 0").select("org_id", F.lit("Utica").alias("city"), F.element_at(
+        string_array(NATION_STATES), (F.col("org_id") % 25 + 1).cast("int")).alias("state"))
+    leads = S.with_sources(_searchable(e), e.lead_sources)
+    leads = S.with_places(S.with_contact_flags(leads, contacts, e.organizations), places.unionByName(branches))
+    leads = leads.withColumns({"assigned_to": F.col("org_id") % 4, "department_id": F.col("lead_id") % 5})
+    return S.rank_matches(S.match_requests(leads, S.canonical_criteria(asked), as_of())).select("request_id", F.col("rank").cast("bigint").alias("rank"), "lead_id")
 
 
 @plan("search_source_exists", uses="leads lead_sources", sql="""
@@ -115,13 +158,9 @@ SELECT code, count(*) AS leads, sum(CAST(own AS BIGINT))::BIGINT AS own_code FRO
 GROUP BY code""")
 def search_source_exists(e: Entities) -> DataFrame:
     """Own source code, or any sighting from that source."""
-    codes = ["municipal", "a", "n", "r"]
-    own = e.leads.filter(F.col("source_code").isin(codes)).select("lead_id", F.col("source_code").alias("code"), F.lit(1).alias("own"))
-    seen = e.lead_sources.filter(F.col("source_code").isin(codes)).select(
-        "lead_id", F.col("source_code").alias("code")).distinct()
-    seen = seen.join(e.leads.select("lead_id"), "lead_id", "left_semi").withColumn("own", F.lit(0))
-    hit = own.unionByName(seen).groupBy("lead_id", "code").agg(F.max("own").alias("own"))
-    return hit.groupBy("code").agg(F.count(F.lit(1)).alias("leads"), F.sum("own").cast("bigint").alias("own_code"))
+    found = S.with_sources(e.leads, e.lead_sources).select("source_code", F.explode("sources").alias("code"))
+    return found.filter(F.col("code").isin("municipal", "a", "n", "r")).groupBy("code").agg(
+        F.count(F.lit(1)).alias("leads"), F.count_if(F.col("source_code") == F.col("code")).alias("own_code"))
 
 
 @plan("search_has_contact", uses="leads organizations", sql="""
@@ -133,15 +172,9 @@ FROM leads LEFT JOIN contacts USING (lead_id) LEFT JOIN organizations o USING (o
 WHERE coalesce(c_email, FALSE) OR coalesce(c_phone, FALSE) OR (record_kind = 'company' AND (o.email IS NOT NULL OR o.phone IS NOT NULL))""")
 def search_has_contact(e: Entities) -> DataFrame:
     """Email and phone flags from linked contacts or, for companies, from the organisation."""
-    contacts = e.lineitem.select(F.col("l_orderkey").alias("lead_id"), "l_suppkey")
-    leads = S.exists_flag(e.leads, contacts.filter(F.col("l_suppkey") % 4 == 0), ["lead_id"], "c_email")
-    leads = S.exists_flag(leads, contacts.filter(F.col("l_suppkey") % 6 == 0), ["lead_id"], "c_phone")
-    orgs = e.organizations.select("org_id", present(F.col("email")).alias("o_email"), present(F.col("phone")).alias("o_phone"))
-    company = F.col("record_kind") == "company"
-    return leads.join(orgs, "org_id", "left").select(
-        "lead_id", (F.col("c_email") | (company & F.coalesce("o_email", F.lit(False)))).alias("has_email"),
-        (F.col("c_phone") | (company & F.coalesce("o_phone", F.lit(False)))).alias("has_phone"),
-    ).filter("has_email OR has_phone")
+    contacts = e.lineitem.select(F.col("l_orderkey").alias("lead_id"), F.when(F.col("l_suppkey") % 4 == 0, F.lit("a@b")).alias("email"),
+                                 F.when(F.col("l_suppkey") % 6 == 0, F.lit("1")).alias("phone"))
+    return S.with_contact_flags(e.leads, contacts, e.organizations).filter("has_email OR has_phone").select("lead_id", "has_email", "has_phone")
 
 
 @plan("search_unexpired_fresh", uses="leads", sql=f"""
