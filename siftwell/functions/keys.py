@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .contact import normalize_domain, normalize_email, normalize_phone
 from .place import normalize_state
-from .text import blank_to_null, normalize_name, slug
+from .text import blank_to_null, let, normalize_name, slug
 
 
 def _or_blank(c: Column) -> Column:
@@ -16,17 +16,15 @@ def _or_blank(c: Column) -> Column:
 
 def org_key(name: Column, domain: Column, phone: Column, city: Column, state: Column) -> Column:
     """SHA-256 over the normalised parts of an organisation; NULL without a usable name."""
-    norm = normalize_name(name)
     state_part = F.coalesce(normalize_state(state), F.upper(F.trim(state)))
-    parts = F.concat_ws("|", norm, _or_blank(normalize_domain(domain)), _or_blank(normalize_phone(phone)),
-                        _or_blank(F.lower(F.trim(city))), _or_blank(state_part))
-    return F.when(norm.isNotNull(), F.sha2(parts, 256))
+    return let(normalize_name(name, unicode_fold=True), lambda norm: F.when(norm.isNotNull(), F.sha2(F.concat_ws(
+        "|", norm, _or_blank(normalize_domain(domain)), _or_blank(normalize_phone(phone)), _or_blank(F.lower(F.trim(city))), _or_blank(state_part)), 256)))
 
 
 def fingerprint(name: Column, domain: Column, phone: Column, email: Column) -> Column:
     """SHA-256 over normalised name, domain, phone and email; NULL when all four are blank."""
-    parts = [normalize_name(name), normalize_domain(domain), normalize_phone(phone), normalize_email(email)]
-    return F.when(F.coalesce(*parts).isNotNull(), F.sha2(F.concat_ws("|", *[_or_blank(p) for p in parts]), 256))
+    parts = F.array(normalize_name(name, unicode_fold=True), normalize_domain(domain), normalize_phone(phone), normalize_email(email))
+    return let(parts, lambda p: F.when(F.size(F.array_compact(p)) > 0, F.sha2(F.array_join(F.transform(p, _or_blank), "|"), 256)))
 
 
 def lead_identity(kind: Column, source_code: Column, external_id: Column, finger: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import job_outcome
 from ..functions.text import blank_to_null, normalize_person_name, present
-from .ordered import carry_forward, first_rows
+from .ordered import block_bucket, carry_forward, first_rows, previous_values
 
 
 def filled(df: DataFrame, name: str) -> Column:
@@ -104,6 +104,47 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, latest: Sequence[
         outcome.alias("outcome"))
 
 
+def upsert_arrivals(existing: DataFrame, incoming: DataFrame, key: str, ordinal: str, bucket: Column, latest: Sequence[str],
+                    first: Sequence[str], hashed: Sequence[str], as_of: Column) -> DataFrame:
+    """Every arrival applied to the stored row in its order, however the arrivals are cut into batches.
+
+    ``latest`` fields follow the newest non-empty value, ``first`` fields keep the oldest, and the map
+    ``extra`` takes the newest value of each of its keys. The version grows with every arrival that
+    changes a ``hashed`` field or an entry of ``extra``. ``bucket`` must grow with ``ordinal``; no key is
+    gathered. The result has an ``outcome`` of inserted, updated, unchanged or untouched.
+    """
+    kind = incoming.schema[ordinal].dataType
+    turn = F.struct(F.col("_turn").alias("turn"), F.col(ordinal).alias("ordinal"))
+    columns = [key, *latest, *first, "extra"]
+    seeds = existing.select(*columns, F.lit(None).cast(kind).alias(ordinal), F.lit(0).alias("_turn"), F.lit(-(1 << 62)).alias("_block"))
+    fresh = incoming.select(*columns, ordinal, F.lit(1).alias("_turn"), bucket.cast("bigint").alias("_block"))
+    rows = seeds.join(fresh.select(key).distinct(), key, "left_semi").unionByName(fresh).withColumn("_at", turn)
+
+    history = carry_forward(rows, [key], F.col("_block"), [F.col("_at")], {f: filled(rows, f) for f in hashed}, before="_before")
+    same = functools.reduce(operator.and_, [F.col(f).eqNullSafe(F.col("_before")[f]) for f in hashed])
+    changes = history.filter(F.col("_before").isNotNull() & ~same).select(key, "_at")
+    entries = rows.select(key, "_at", "_block", F.explode("extra").alias("_k", "_v")).filter(F.col("_v").isNotNull())
+    told = previous_values(entries, [key, "_k"], F.col("_block"), [F.col("_at")], {"_was": F.col("_v")})
+    begun = rows.groupBy(key).agg(F.min("_at").alias("_begin"), F.max("_turn").alias("_new"), F.min("_turn").alias("_seed"),
+                                  *[F.max_by(filled(rows, f), F.when(filled(rows, f).isNotNull(), F.col("_at"))).alias(f) for f in latest],
+                                  *[F.min_by(filled(rows, f), F.when(filled(rows, f).isNotNull(), F.col("_at"))).alias(f) for f in first])
+    changes = changes.unionByName(told.filter(~F.col("_was").eqNullSafe(F.col("_v"))).select(key, "_at")).distinct()
+    changes = changes.join(begun.select(key, "_begin"), key).filter("_at > _begin").groupBy(key).agg(F.count(F.lit(1)).alias("_changes"))
+    none = F.create_map().cast("map<string,string>")
+    state = begun.join(changes, key, "left").join(merge_maps(entries.withColumnRenamed("_k", "_name").select(
+        key, "_at", F.create_map("_name", "_v").alias("extra")), [key], "_at", "extra"), key, "left")
+    state = state.withColumn("extra", F.coalesce("extra", none)).withColumn("_n", F.coalesce("_changes", F.lit(0)))
+    state = state.join(existing.select(key, F.col("version").alias("_version"), F.col("first_seen_at").alias("_first_seen")), key, "left")
+    listed = F.array_sort(F.map_entries("extra"))
+    outcome = F.when(F.col("_seed") == 1, F.lit("inserted")).when(F.col("_n") > 0, F.lit("updated")).otherwise(F.lit("unchanged"))
+    merged = state.select(
+        key, *latest, *first, "extra", F.sha2(F.to_json(F.struct(*sorted(hashed), listed.alias("extra"))), 256).alias("content_hash"),
+        (F.coalesce("_version", F.lit(1)) + F.col("_n")).cast("bigint").alias("version"),
+        F.coalesce("_first_seen", as_of).alias("first_seen_at"), as_of.alias("last_seen_at"), outcome.alias("outcome"))
+    kept = existing.join(state.select(key), key, "left_anti").withColumn("outcome", F.lit("untouched"))
+    return merged.unionByName(kept.select(merged.columns))
+
+
 def upsert_first_wins(existing: DataFrame, incoming: DataFrame, key: str, ordinal: str, fields: Sequence[str]) -> DataFrame:
     """Organisation rule: stored values are permanent, gaps are filled from the first new value."""
     new = merge_batch(incoming, [key], ordinal, fields).drop("observations")
@@ -185,12 +226,16 @@ def merge_listings(rows: DataFrame, key: str, ordinal: str, fill: Sequence[str],
     at = F.col(ordinal)
 
     def first_filled(name: str) -> Column:
-        return F.min_by(F.col(name), F.when(present(F.col(name)), at))
+        return F.min_by(F.col(name), F.when(present(F.col(name)), F.struct(at.alias("at"), F.col(name).alias("v"))))
+
+    def longest(name: str) -> Column:
+        """Of values of equal length the one listed first, then the smaller one."""
+        rank = F.struct((-F.length(name)).alias("n"), at.alias("at"), F.col(name).alias("v"))
+        return F.min_by(F.col(name), F.when(present(F.col(name)), rank))
 
-    longest_name = F.max_by("name", F.when(present(F.col("name")), F.struct(F.length("name"), F.lit(0))))
     merged = rows.groupBy(key).agg(
         *[first_filled(c).alias(c) for c in fill], first_filled("phone").alias("phone"), first_filled("email").alias("email"),
-        longest_name.alias("name"), F.max_by("url", F.length("url")).alias("url"),
+        longest("name").alias("name"), longest("url").alias("url"),
         F.collect_set("name").alias("_names"), F.collect_set("phone").alias("_phones"), F.collect_set("email").alias("_emails"),
         *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists],
         F.count(F.lit(1)).alias("listed_rows"))
@@ -308,7 +353,7 @@ class LeadStore:
 STORE_SCHEMAS: Mapping[str, str] = {
     "leads": "identity_key string, record_kind string, title string, description string, category string, city string, "
              "us_state string, email string, phone string, website string, organization_name string, contact_name string, "
-             "due_at timestamp_ntz, org_id string, source_code string, content_hash string, version bigint, "
+             "due_at timestamp_ntz, org_id string, source_code string, extra map<string,string>, content_hash string, version bigint, "
              "first_seen_at timestamp_ntz, last_seen_at timestamp_ntz",
     "organizations": "dedup_key string, name string, website string, domain string, industry string",
     "contacts": "org_id string, full_name_key string, full_name string, title string",
@@ -335,9 +380,13 @@ def upsert_store(store: LeadStore, records: DataFrame, as_of: Column, merge: str
         "org_id": F.col("org_dedup"), "email": F.coalesce("norm_email", "email"),
         "phone": F.coalesce("norm_phone", "phone"), "us_state": F.coalesce("norm_state", "us_state")})
     identified = rows.filter(F.col("identity_key").isNotNull())
-    combine = merge_batch if merge == "batch" else merge_latest
-    batch = combine(identified, ["identity_key"], "ordinal", [*LATEST_FIELDS, *FIRST_FIELDS])
-    leads = upsert(store.leads, batch, "identity_key", LATEST_FIELDS, FIRST_FIELDS, HASHED_FIELDS, as_of)
+    arrivals = identified
+    if merge == "batch":  # the batch is one arrival, made of the first non-empty values
+        fields = [*LATEST_FIELDS, *FIRST_FIELDS]
+        extra = merge_maps(identified, ["identity_key"], "ordinal", "extra")
+        arrivals = merge_batch(identified, ["identity_key"], "ordinal", fields).join(extra, "identity_key", "left").select(
+            "identity_key", *fields, F.coalesce("extra", F.create_map().cast("map<string,string>")).alias("extra"), F.lit(0).cast("bigint").alias("ordinal"))
+    leads = upsert_arrivals(store.leads, arrivals, "identity_key", "ordinal", block_bucket(F.col("ordinal")), LATEST_FIELDS, FIRST_FIELDS, HASHED_FIELDS, as_of)
 
     org_rows = identified.filter(F.col("org_id").isNotNull()).select(
         F.col("org_id").alias("dedup_key"), F.col("organization_name").alias("name"), "website",

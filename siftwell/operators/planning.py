@@ -153,13 +153,13 @@ def similar_keys(asked: DataFrame, keys: DataFrame, cutoff: float = 0.78) -> Dat
     return met.drop("_").withColumn("similarity", similarity).filter(F.col("similarity") >= cutoff)
 
 
-def related_trades(resolved: DataFrame, catalog: DataFrame, broad: bool = False) -> DataFrame:
-    """Primary trades plus their neighbours: one step and at most 4, or two steps and at most 10."""
+def related_trades(resolved: DataFrame, catalog: DataFrame, broad: bool = False, most: int = 4, most_broad: int = 10) -> DataFrame:
+    """Primary trades plus their neighbours: one step and at most ``most``, or two steps and at most ``most_broad``."""
     owned = catalog.select(normalize_keyword(F.col("name")).alias("_name"), F.col("code").alias("to"))
     links = catalog.select(F.col("code").alias("from"), F.posexplode("related").alias("_order", "_name")).withColumn(
         "_name", normalize_keyword(F.col("_name"))).join(owned, "_name").select("from", "to", "_order")
     seen = resolved.filter(F.col("code").isNotNull()).select("key", "code", "pos", F.lit(0).alias("depth"))
-    limit, frontier, result = (10 if broad else 4), seen, seen
+    limit, frontier, result = (most_broad if broad else most), seen, seen
     for depth in range(1, 3 if broad else 2):
         step = frontier.join(links, frontier["code"] == links["from"]).select(
             "key", F.col("to").alias("code"), F.struct(F.col("pos"), F.col("_order")).alias("_at"))

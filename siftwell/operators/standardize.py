@@ -174,17 +174,17 @@ def ingest_fields(records: DataFrame) -> DataFrame:
     """
     have = set(records.columns)
 
-    def field(name: str) -> Column:
+    def field(name: str, whole: bool = False) -> Column:
         names = [n for n in FIELD_ALTERNATIVES.get(name, [name]) if n in have]
         if not names:
             return F.lit(None).cast("string")
         value = F.coalesce(*[blank_to_null(F.col(n).cast("string")) for n in names])
-        return blank_to_null(cut(value, FIELD_LENGTHS[name])) if name in FIELD_LENGTHS else blank_to_null(F.trim(value))
+        return blank_to_null(cut(value, FIELD_LENGTHS[name])) if name in FIELD_LENGTHS and not whole else blank_to_null(F.trim(value))
 
     names = list(dict.fromkeys([*FIELD_LENGTHS, "record_kind", "description"]))
     passthrough = [c for c in ("ordinal", "run_id") if c in have]
     out = records.select(
-        *passthrough, *[field(n).alias(n) for n in names],
+        *passthrough, *[field(n).alias(n) for n in names], field("external_id", whole=True).alias("_whole_id"),
         (F.col("extra") if "extra" in have else F.expr("cast(map() as map<string, string>)")).alias("extra"),
         parse_due_date(field("due_at")).alias("due_at"))
     out = out.withColumns({
@@ -201,7 +201,7 @@ def ingest_fields(records: DataFrame) -> DataFrame:
     finger = fingerprint(F.col("organization_name"), F.col("website"), F.col("phone"), F.col("email"))
     out = out.withColumn("fingerprint", finger)
     return out.withColumns({
-        "identity_key": lead_identity(F.col("record_kind"), F.col("source_code"), F.col("external_id"), F.col("fingerprint")),
+        "identity_key": lead_identity(F.col("record_kind"), F.col("source_code"), F.col("_whole_id"), F.col("fingerprint")),
         "org_dedup": org_key(F.col("organization_name"), F.col("website"), F.col("phone"), F.col("city"), F.col("us_state"))})
 
 
@@ -250,5 +250,5 @@ def page_state(text: Column, status: Column | None = None) -> Column:
     blocked = low.rlike("|".join(V.BLOCK_PHRASES))
     if status is not None:
         blocked = blocked | (status == 403)
-    missing = F.contains(low.substr(1, 8000), F.lit("file not found")) | low.contains("profile does not exist")
+    missing = F.contains(low, F.lit("file not found")) | low.contains("profile does not exist")
     return F.when(challenge, F.lit("challenge")).when(blocked, F.lit("blocked")).when(missing, F.lit("not_found"))

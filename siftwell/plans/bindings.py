@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import constant_map, string_array
-from ..session import spread
 
 AS_OF = "1998-06-01 00:00:00"
 NATION_STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS NY".split()
@@ -47,11 +46,11 @@ class Entities:
 
     @functools.cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"))
+        return self.table("documents")
 
     @functools.cached_property
     def pages(self) -> DataFrame:
-        return spread(self.table("pages"))
+        return self.table("pages")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -126,7 +125,7 @@ class Entities:
         """Raw observations of a lead in arrival order, with fields left blank at times."""
         n = F.col("l_linenumber")
         ordinal = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        return spread(self.table("lineitem")).select(
+        return self.table("lineitem").select(
             F.col("l_orderkey").alias("identity"), n.alias("line"), ordinal.alias("ordinal"),
             F.when(F.col("l_partkey") % 4 == 0, F.lit("")).when(F.col("l_partkey") % 4 != 1, F.concat(
                 F.lit("title "), F.col("l_partkey") % 5)).alias("title"),

@@ -40,6 +40,36 @@ def arrival_merge_last(e: Entities) -> DataFrame:
     return M.merge_arrivals(e.arrivals, "identity", "ordinal", _line_bucket(), FIELDS).drop("content_hash")
 
 
+@plan("upsert_rows", uses="arrivals", sql=f"""
+WITH s AS (SELECT identity, ordinal, line, source_code, seen_at, last_value(nullif(title, '') IGNORE NULLS) OVER w AS title, last_value(notes IGNORE NULLS) OVER w AS notes,
+    last_value(category IGNORE NULLS) OVER w AS category, last_value(due_at IGNORE NULLS) OVER w AS due_at,
+    last_value(CASE WHEN line % 2 = 0 THEN line_status END IGNORE NULLS) OVER w AS state, last_value(CASE WHEN line % 3 = 0 THEN source_code END IGNORE NULLS) OVER w AS mark
+  FROM arrivals WINDOW w AS (PARTITION BY identity ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, row_number() OVER v AS rn, row_number() OVER (PARTITION BY identity ORDER BY ordinal DESC) AS back,
+    (lag(title) OVER v IS DISTINCT FROM title OR lag(notes) OVER v IS DISTINCT FROM notes OR lag(category) OVER v IS DISTINCT FROM category
+      OR lag(due_at) OVER v IS DISTINCT FROM due_at OR lag(state) OVER v IS DISTINCT FROM state OR lag(mark) OVER v IS DISTINCT FROM mark) AS differs
+  FROM s WINDOW v AS (PARTITION BY identity ORDER BY ordinal)),
+n AS (SELECT identity, 1 + count(*) FILTER (rn > 1 AND differs) AS version, arg_min(source_code, ordinal) AS source_code,
+  count(*) FILTER (line <= 3) > 0 AS known, count(*) FILTER (line > 3) AS later, count(*) FILTER (line > 3 AND rn > 1 AND differs) AS changed FROM c GROUP BY identity)
+SELECT identity, title, notes, category, due_at, n.source_code, version, coalesce(mark, '') AS mark, coalesce(state, '') AS state,
+  CASE WHEN NOT known THEN 'inserted' WHEN later = 0 THEN 'untouched' WHEN changed > 0 THEN 'updated' ELSE 'unchanged' END AS outcome
+FROM c JOIN n USING (identity) WHERE back = 1""")
+def upsert_rows(e: Entities) -> DataFrame:
+    """Two batches of arrivals: fields, open metadata, version and outcome are those of a single pass."""
+    extra = F.map_filter(F.create_map(F.lit("state"), F.when(F.col("line") % 2 == 0, F.col("line_status")), F.lit("mark"), F.when(F.col("line") % 3 == 0, F.col("source_code"))),
+                         lambda k, v: v.isNotNull())
+    rows = e.arrivals.withColumn("extra", extra).select("identity", "ordinal", "line", *FIELDS, "source_code", "extra")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    empty = e.spark.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in ["identity", *FIELDS, "source_code", "extra"]) + ", version bigint, content_hash string, "
+                                    "first_seen_at timestamp_ntz, last_seen_at timestamp_ntz")
+
+    def apply(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        return M.upsert_arrivals(stored, batch, "identity", "ordinal", _line_bucket(), FIELDS, ["source_code"], FIELDS, as_of())
+
+    done = apply(apply(empty, rows.filter("line <= 3")).drop("outcome"), rows.filter("line > 3"))
+    return done.select("identity", *FIELDS, "source_code", "version", *[F.coalesce(F.try_element_at("extra", F.lit(k)), F.lit("")).alias(k) for k in ("mark", "state")], "outcome")
+
+
 @plan("upsert_outcomes", uses="arrivals", sql=f"""
 WITH old_rows AS (SELECT * FROM arrivals WHERE seen_at < TIMESTAMP '{AS_OF}'),
 new_rows AS (SELECT *, CASE WHEN line = 7 AND notes IS NULL THEN NULL ELSE identity END AS key FROM arrivals WHERE seen_at >= TIMESTAMP '{AS_OF}'),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import deliver as D
 from ..session import scratch_folder
 from ..sources.readers import read_store
 from ..streaming import jobs as T
@@ -60,14 +61,22 @@ def stream_first_deliveries(e: Entities) -> DataFrame:
 @plan("stream_completions", sql="""
 WITH j AS (SELECT o_orderkey AS job_id, o_orderdate AS finished_at, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'Partial' ELSE 'Running' END AS status FROM orders),
 r AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey AS job_id, l_shipdate AS asked_at FROM lineitem)
-SELECT DISTINCT request_id, job_id, status, sha256(job_id || ':' || request_id) AS event_id FROM j JOIN r USING (job_id) WHERE status <> 'Running' AND asked_at BETWEEN finished_at - INTERVAL 30 DAY AND finished_at""")
+SELECT DISTINCT request_id, job_id, status, sha256(job_id || ':' || request_id) AS event_id FROM j JOIN r USING (job_id) WHERE status <> 'Running'""")
 def stream_completions(e: Entities) -> DataFrame:
-    """Completions from two streams that arrive independently."""
+    """Completions from two streams that arrive independently, and those beyond their horizon from the batch twin."""
     status = F.when(F.col("o_orderstatus") == "F", F.lit("Completed")).when(F.col("o_orderstatus") == "P", F.lit("Partial")).otherwise(F.lit("Running"))
-    done = stream(e, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("finished_at"), status.alias("status"))
-    asked = stream(e, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.col("l_orderkey").alias("job_id"),
-                                         F.col("l_shipdate").cast("timestamp").alias("asked_at"))
-    return drained(e, T.completion_events(done, asked), "completions").distinct()
+
+    def jobs(orders: DataFrame) -> DataFrame:
+        return orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("finished_at"), status.alias("status"))
+
+    def requests(lines: DataFrame) -> DataFrame:
+        return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.col("l_orderkey").alias("job_id"),
+                            F.col("l_shipdate").cast("timestamp").alias("asked_at"))
+
+    met = drained(e, T.completion_events(jobs(stream(e, "orders")), requests(stream(e, "lineitem"))), "completions").distinct()
+    waiting = requests(e.lineitem).select("request_id", "job_id", F.lit("request").alias("kind")).distinct()
+    late = D.completion_events(jobs(e.orders), waiting, met)
+    return met.unionByName(late.select("request_id", "job_id", F.col("job_status").alias("status"), "event_id"))
 
 
 @plan("stream_status_changes", sql="""
@@ -83,7 +92,7 @@ def stream_status_changes(e: Entities) -> DataFrame:
 
 
 @plan("stream_ingest", sql="""
-SELECT 'src:' || event_type || ':' || user_id AS identity_key, 'Event ' || arg_max(event_id, event_id) AS title, CAST(1 AS BIGINT) AS version, 'user ' || user_id || '@firm.com' AS contact_name FROM events GROUP BY event_type, user_id""")
+SELECT 'src:' || event_type || ':' || user_id AS identity_key, 'Event ' || arg_max(event_id, event_id) AS title, count(*) AS version, 'user ' || user_id || '@firm.com' AS contact_name FROM events GROUP BY event_type, user_id""")
 def stream_ingest(e: Entities) -> DataFrame:
     """Arriving records standardised and upserted into the canonical tables, then the leads read back."""
     k = F.col("event_id")

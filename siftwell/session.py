@@ -1,4 +1,4 @@
-"""Session defaults, lineage cutting and the broadcast guard."""
+"""Session defaults, lineage cutting and scratch folders."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime settings every job in this package relies on.
 RUNTIME_SETTINGS = {
@@ -45,39 +44,24 @@ def local_session(cores: str = "*", app: str = "siftwell", shuffle_partitions: i
     return configure(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode, where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
 
-    Only when that setting is absent (tests on one machine) a temporary folder is used.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place the cluster names; a temporary one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"spark-{name}-")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work when a table sits in fewer partitions than there are cores.
-
-    Tables of many files are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only after checking that it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. A larger side is returned unmarked, so
-    Spark joins it by shuffle.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

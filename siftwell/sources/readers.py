@@ -11,15 +11,29 @@ from ..operators.merge import STORE_SCHEMAS, LeadStore
 from ..schemas import CANONICAL_SCHEMA, WIDE_SCHEMA
 
 
-def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Records from JSON arrays or JSON lines, read with a fixed schema."""
+def read_records(spark: SparkSession, path: str, schema: str | None = None, form: str = "lines") -> DataFrame:
+    """Records with a fixed schema from JSON lines, which Spark splits, or from files that hold one JSON array each.
+
+    ``form`` is ``lines`` or ``array``. Text that is not of this form raises; an array that is read as
+    lines would lose rows otherwise, and so would lines that are read as an array.
+    """
     wanted = T._parse_datatype_string(schema or CANONICAL_SCHEMA)
-    return spark.read.schema(wanted).option("multiLine", True).json(path)
+    if form not in ("lines", "array"):
+        raise ValueError("form is lines or array")
+    if form == "array":
+        whole = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "^[\\s\\uFEFF]+|\\s+$", "")).alias("value"))
+        checked = F.when(F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.raise_error(F.lit("a file is not a JSON array")))
+        rows = whole.select(F.explode(F.from_json(checked, T.ArrayType(wanted), {"mode": "FAILFAST"})).alias("r"))
+        return rows.select("r.*")
+    return spark.read.schema(wanted).option("mode", "FAILFAST").json(path)
 
 
-def read_wide_export(spark: SparkSession, path: str) -> DataFrame:
-    """Wide directory export: 63 text columns, header, quoted values."""
-    return spark.read.csv(path, schema=WIDE_SCHEMA, header=True, quote='"', escape='"', multiLine=True)
+def read_wide_export(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Wide directory export: 63 text columns, header, quoted values.
+
+    Files are split among tasks unless ``line_breaks`` says that quoted values hold line breaks.
+    """
+    return spark.read.csv(path, schema=WIDE_SCHEMA, header=True, quote='"', escape='"', multiLine=line_breaks)
 
 
 def as_raw(df: DataFrame, source_code: Column, ordinal: Column) -> DataFrame:
@@ -34,8 +48,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         rows = spark.read.csv(path, header=True)
     else:
-        rows = spark.read.option("multiLine", True).schema(
-            "keyword string, trade string, name string, code string, class_code string, aliases string, related string").json(path)
+        rows = read_records(spark, path, "keyword string, trade string, name string, code string, class_code string, aliases string, related string")
     rows = rows.toDF(*[c.lower().strip() for c in rows.columns])
 
     def field(*names: str) -> Column:

@@ -69,11 +69,17 @@ def write_store(store: LeadStore, folder: str, version: int) -> None:
 def record_delivery(requests: DataFrame, records: DataFrame, position: Column, served_at: Column, path: str) -> DataFrame:
     """Freeze displayed values and order once, appended by delivery date.
 
-    Requests that were served before are left alone. ``records`` brings ``request_id, lead_id``
-    and the displayed columns, which become the JSON snapshot.
+    Requests that were served before, or whose rows are already stored below ``path``, are left alone,
+    so a second call or a retry adds nothing. ``records`` brings ``request_id, lead_id`` and the
+    displayed columns, which become the JSON snapshot.
     """
     ranked = delivery_ranks(records, "request_id", "lead_id", position, _bucket)
     fresh = new_deliveries(requests, ranked, "request_id")
+    spark = records.sparkSession
+    fs, target, _ = _files(spark, path)
+    if fs.exists(target):
+        there = spark.read.option("mergeSchema", False).parquet(path).select("request_id").distinct()
+        fresh = fresh.join(there, "request_id", "left_anti")
     shown = [c for c in ranked.columns if c not in ("request_id", "rank")]
     rows = fresh.select("request_id", "lead_id", "rank", F.to_json(F.struct(*shown)).alias("snapshot"), served_at.alias("served_at"),
                         served_at.cast("date").alias("delivery_date"))

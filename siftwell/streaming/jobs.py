@@ -60,15 +60,18 @@ def first_deliveries(deliveries: DataFrame, keys: list[str], ts: str, delay: str
     return deliveries.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def completion_events(jobs: DataFrame, requests: DataFrame, delay: str = "1 hour") -> DataFrame:
+def completion_events(jobs: DataFrame, requests: DataFrame, delay: str = "1 hour", horizon: str = "30 days") -> DataFrame:
     """Finished jobs joined with the requests that wait for them, as both arrive.
 
     ``jobs(job_id, finished_at, status)`` and ``requests(request_id, job_id, asked_at)``. The event
-    id is a hash of job and request, so a rerun produces the same event.
+    id is a hash of job and request, so a rerun produces the same event. ``horizon`` bounds the state:
+    requests asked longer before or after the end of their job are served by the batch twin
+    ``operators.deliver.completion_events``, which takes the events that are there already.
     """
     done = jobs.withWatermark("finished_at", delay).filter(F.col("status").isin("Completed", "Partial", "Failed", "Cancelled"))
     asked = requests.withWatermark("asked_at", delay).withColumnRenamed("job_id", "_job")
-    near = (F.col("_job") == F.col("job_id")) & F.col("asked_at").between(F.col("finished_at") - F.expr("INTERVAL 30 DAYS"), F.col("finished_at"))
+    span = F.expr(f"INTERVAL {horizon}")
+    near = (F.col("_job") == F.col("job_id")) & F.col("asked_at").between(F.col("finished_at") - span, F.col("finished_at") + span)
     return done.join(asked, near).select("request_id", "job_id", "status", joined_hash(F.col("job_id"), F.col("request_id")).alias("event_id"))
 
 

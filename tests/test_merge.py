@@ -42,6 +42,23 @@ def test_same_batch_twice_changes_nothing(spark):
     assert {r.version for r in again.leads.collect()} == {1}
 
 
+def test_versions_do_not_depend_on_the_cut(spark):
+    """One input in one, two and six batches, of which every state is stored and read back."""
+    kinds = "key string, ordinal long, title string, note string, source string, extra map<string,string>"
+    rows = [(f"k{i % 2}", i, f"t{i % 3}" if i % 4 else "", None if i % 5 else "n", f"s{i}", {"step": str(i % 4), "kind": "a"}) for i in range(12)]
+    stored = "key string, title string, note string, source string, extra map<string,string>, version long, content_hash string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz"
+    results = []
+    for size in (12, 6, 2):
+        state = spark.createDataFrame([], stored)
+        for start in range(0, 12, size):
+            batch = spark.createDataFrame(rows[start:start + size], kinds)
+            state = M.upsert_arrivals(state, batch, "key", "ordinal", F.lit(0), ["title", "note"], ["source"], ["title", "note"], at(1))
+            state = spark.createDataFrame(state.select([c.split()[0] for c in stored.split(", ")]).collect(), stored)
+        results.append({r.key: (r.title, r.note, r.source, r.version, r.content_hash, tuple(sorted(r.extra.items()))) for r in state.collect()})
+    assert results[0] == results[1] == results[2]
+    assert {v[2] for v in results[0].values()} == {"s0", "s1"} and all(v[3] > 3 and dict(v[5])["kind"] == "a" for v in results[0].values())
+
+
 def test_overlapping_halves(spark):
     first = records(spark, [opportunity(i, f"x{i}") for i in range(30)])
     second = records(spark, [opportunity(i, f"x{i}", title="New" if i % 2 else "Bid") for i in range(20, 40)])

@@ -30,8 +30,15 @@ def test_wide_export_round_trip(spark, tmp_path):
 
 def test_json_records(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps([{"source_code": "a", "title": "t", "extra": {"k": "v"}, "unknown": 1}, {"title": None}]))
-    rows = readers.read_records(spark, f"{tmp_path}/r.json").collect()
+    rows = readers.read_records(spark, f"{tmp_path}/r.json", form="array").collect()
     assert len(rows) == 2 and rows[0].extra == {"k": "v"} and rows[0].due_at is None
+    (tmp_path / "l.jsonl").write_text("".join(json.dumps({"title": f"t{i}"}) + "\n" for i in range(3)))
+    assert [r.title for r in readers.read_records(spark, f"{tmp_path}/l.jsonl").collect()] == ["t0", "t1", "t2"]
+    (tmp_path / "p.json").write_text(json.dumps([{"title": "a"}, {"title": "b"}], indent=1))
+    assert readers.read_records(spark, f"{tmp_path}/p.json", form="array").count() == 2
+    for path, form in (("p.json", "lines"), ("l.jsonl", "array")):
+        with pytest.raises(Exception):
+            readers.read_records(spark, f"{tmp_path}/{path}", form=form).collect()
 
 
 def test_catalog(spark, tmp_path):
