@@ -24,12 +24,7 @@ def regions_of_state(state: Column) -> Column:
 
 def zip_prefixes(spark: SparkSession) -> DataFrame:
     """The ZIP ranges spelled out as at most 1,000 prefixes, so the lookup is an equi-join."""
-    ranges = []
-    for item in V.ZIP3_RANGES.replace("\n", " ").split(","):
-        span, state = item.split()
-        low, high = span.split("-")
-        ranges.append((int(low), int(high), state))
-    table = spark.createDataFrame(ranges, "low int, high int, zip_state string")
+    table = spark.createDataFrame(V.ZIP3_RANGES, "low int, high int, zip_state string")
     return table.select(F.explode(F.sequence("low", "high")).alias("zip3"), "zip_state")
 
 

@@ -59,7 +59,8 @@ def exists_flag(df: DataFrame, others: DataFrame, on: Sequence[str], name: str)
 
 # --- categories ------------------------------------------------------------------------------
 def _aliases(trade: Column) -> Column:
-    return F.coalesce(F.split(F.try_element_at(constant_map(V.TRADE_ALIASES), trade), ", "), string_array([]))
+    known = F.create_map(*[x for name, others in V.TRADE_ALIASES.items() for x in (F.lit(name), string_array(others))])
+    return F.coalesce(F.try_element_at(known, trade), string_array([]))
 
 
 def _meaningful(words: Column) -> Column:
