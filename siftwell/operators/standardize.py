@@ -48,7 +48,10 @@ def project_with_map(records: DataFrame, field_map: Column | str = "field_map")
             used.append(F.when(mapped.isNull() & F.map_contains_key(raw, F.lit(name)), F.lit(name)))
     columns["due_at"] = blank_to_null(columns["due_at"])
     staged = records.withColumn("_used", F.array_compact(F.array(*used)))
-    extra = F.map_filter(raw, lambda k, v: ~F.array_contains(F.col("_used"), k) & (k != "extra"))
+    left = F.map_filter(raw, lambda k, v: ~F.array_contains(F.col("_used"), k) & (k != "extra"))
+    own = F.from_json(F.try_element_at(raw, F.lit("extra")), "map<string,string>")
+    own = F.map_filter(F.coalesce(own, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(left, k))
+    extra = F.map_concat(own, left)  # the record's own metadata under what no field used
     return staged.withColumns({**columns, "extra": extra}).drop("_used", "raw", *([field_map] if isinstance(field_map, str) else []))
 
 

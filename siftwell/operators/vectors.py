@@ -8,24 +8,20 @@ far faster than expression trees. Spark partitions the corpus, every task keeps
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import top_rows
 
-MAX_TOP_K = 20
 QUERY_BLOCK = 2048
+TILE = 4096  # corpus rows per matrix product
 
 
-def clamp_k(k: int) -> int:
-    return max(1, min(int(k), MAX_TOP_K))
-
-
-def _as_matrix(column) -> np.ndarray:
-    """List column of equal lengths as a matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def clamp_k(k: int, most: int = 20) -> int:
+    """``k`` between 1 and what the calling service allows."""
+    return max(1, min(int(k), most))
 
 
 def _cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -36,74 +32,67 @@ def _cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int):
+    """The ``k`` best columns of every row, ties by id; a partition first cuts what has to be sorted."""
+    if score.shape[1] > 4 * k:
+        limit = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
+        width = int((score >= limit).sum(axis=1).max())
+        place = np.argsort(score < limit, axis=1, kind="stable")[:, :width]
+        score, ids = np.take_along_axis(np.where(score >= limit, score, -np.inf), place, 1), np.take_along_axis(ids, place, 1)
     order = np.lexsort((ids, -score), axis=1)[:, :k]
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _rows(query_ids: np.ndarray, score: np.ndarray, ids: np.ndarray):
-    flat = score.ravel()
-    return [pa.array(np.repeat(query_ids, score.shape[1])), pa.array(ids.ravel()), pa.array(flat, mask=~np.isfinite(flat))]
-
-
 _NAMES = ["query_id", "vec_id", "score"]
 _RESULT = "query_id bigint, vec_id bigint, score double"
 
 
-def _scan_top(query_ids: np.ndarray, matrix: np.ndarray, k: int):
-    """Function over the Arrow batches of a task: the ``k`` best corpus rows for every query row."""
+def _scan_top(blocks: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Function over the Arrow batches of a task: the ``k`` best corpus rows for every query of their dimension."""
 
     def run(batches):
-        score, ids = np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), dtype=np.int64)
+        best = {}
         for batch in batches:
-            if batch.num_rows:
-                fresh = _cosine(matrix, _as_matrix(batch.column(1)))
-                own = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), fresh.shape)
-                score, ids = _best(np.hstack([score, fresh]), np.hstack([ids, own]), k)
-        if score.shape[1]:
-            yield pa.RecordBatch.from_arrays(_rows(query_ids, score, ids), names=_NAMES)
-
-    return run
-
-
-def _block_top(k: int):
-    """Function over one block of queries and one block of the corpus."""
-
-    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        if queries.num_rows == 0 or corpus.num_rows == 0:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        fresh = _cosine(_as_matrix(queries["embedding"]), _as_matrix(corpus["embedding"]))
-        own = np.broadcast_to(corpus["vec_id"].to_numpy(), fresh.shape)
-        return pa.Table.from_arrays(_rows(queries["query_id"].to_numpy(), *_best(fresh, own, k)), names=_NAMES)
+            lists = batch.column(1)
+            sizes, ids = np.diff(lists.offsets.to_numpy()), batch.column(0).to_numpy(zero_copy_only=False)
+            for size, (query_ids, matrix) in blocks.items():
+                rows = np.flatnonzero(sizes == size)
+                for at in range(0, len(rows), TILE):
+                    some = rows[at:at + TILE]
+                    fresh = _cosine(matrix, lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), size))
+                    own = np.broadcast_to(ids[some], fresh.shape)
+                    if size in best:
+                        fresh, own = np.hstack([best[size][0], fresh]), np.hstack([best[size][1], own])
+                    best[size] = _best(fresh, own, k)
+        for size, (score, ids) in best.items():
+            flat = score.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(blocks[size][0], score.shape[1])), pa.array(ids.ravel()), pa.array(flat, mask=~np.isfinite(flat))], names=_NAMES)
 
     return run
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK, corpus_block: int = 200_000) -> DataFrame:
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, vec_id, score, rank)``: the ``k`` nearest corpus vectors of every query vector.
 
-    Up to ``block`` queries are shipped to the tasks that scan the corpus, so there is no
-    shuffle but that of ``k`` rows per query and task. More queries are cut into blocks by a hash
-    of their ids, the corpus likewise, and every pair of blocks is one group of a co-grouped
-    product: nothing passes the driver and no group outgrows its block.
-
-    Vectors of another dimension than the queries are left out; a zero vector has no score and
-    comes last.
+    Queries are dealt to blocks of about ``block`` by a hash of their ids. One block at a time is
+    shipped to the tasks that scan the corpus, so there is no shuffle but that of ``k`` rows per query
+    and task, and the corpus is read once per block. Vectors meet those of their own dimension only; a
+    zero vector has no score and comes last.
     """
-    k = clamp_k(k)
+    k = max(1, int(k))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     stored = corpus.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding"))
-    few = asked.limit(block + 1).collect()
-    if not few:
-        return top_rows(asked.select("query_id", F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("score")), ["query_id"], [F.col("vec_id")], k)
-    usable = stored.filter(F.size("embedding") == len(few[0].embedding))
-    if len(few) <= block:
-        ids, matrix = np.array([r.query_id for r in few], dtype=np.int64), np.array([r.embedding for r in few])
-        result = usable.mapInArrow(_scan_top(ids, matrix, k), _RESULT)
-    else:
-        rows, columns = -(-asked.count() // block), -(-usable.count() // corpus_block)
-        left = asked.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int"), "cb": F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))})
-        right = usable.withColumns({"cb": F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))})
-        result = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_block_top(k), _RESULT)
+    parts = max(1, -(-asked.count() // block))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    result = None
+    for part in range(parts):
+        by_size: dict[int, tuple[list, list]] = {}
+        for r in dealt.filter(F.col("part") == part).collect():
+            ids, rows = by_size.setdefault(len(r.embedding), ([], []))
+            ids.append(r.query_id)
+            rows.append(r.embedding)
+        blocks = {n: (np.array(ids, dtype=np.int64), np.array(rows)) for n, (ids, rows) in by_size.items() if n}
+        found = stored.mapInArrow(_scan_top(blocks, k), _RESULT)
+        result = found if result is None else result.unionByName(found)
     return top_rows(result, ["query_id"], [F.col("score").desc_nulls_last(), F.col("vec_id")], k)
 
 
@@ -114,27 +103,48 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
     return whole.select(F.col(group).cast("bigint").alias("query_id"), F.transform("p", lambda p: p["x"]).alias("embedding"))
 
 
-def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.8, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Candidates that share a hash bucket with the query on unit vectors, ranked by exact cosine.
-
-    The query hashes meet the corpus hashes by an equi-join, so a crowded bucket is spread over
-    all tasks that hold a part of the corpus.
+def cell_centres(vectors: DataFrame, cells: int, sample: int = 8192, rounds: int = 12) -> np.ndarray:
+    """Directions of ``cells`` groups, by spherical k-means on at most ``sample`` vectors first in the order of a hash of their id."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    points = np.array([r.v for r in rows if r.v and any(r.v)])
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    centres = points[np.linspace(0, len(points) - 1, min(cells, len(points))).astype(int)]
+    for _ in range(rounds):
+        nearest = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, points)
+        length = np.linalg.norm(sums, axis=1)[:, None]
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1), centres)
+    return centres
+
+
+def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 64, probes: int = 36, salts: int = 8) -> DataFrame:
+    """The ``k`` nearest vectors among those in the ``probes`` cells nearest to the query, ranked by exact cosine.
+
+    Every corpus vector is in one cell, so about ``probes / cells`` of the corpus are candidates of a
+    query. The default is set for vectors without clusters, which need more than half of the cells for a
+    recall of 0.9; clustered ones need few. Cells meet by an equi-join on cell and salt, so that a cell which holds a large part of the
+    corpus is dealt to ``salts`` tasks; each pair of a query and a vector meets once.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    centres = cell_centres(corpus, cells)
+
+    def near(count: int):
+        def run(values: pd.Series) -> pd.Series:
+            scores = np.array(values.tolist(), dtype=np.float64) @ centres.T
+            return pd.Series(np.argsort(-scores, axis=1, kind="stable")[:, :count].tolist())
 
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        dense = df.select(F.col(key).cast("bigint").alias(key), array_to_vector(F.col("embedding").cast("array<double>")).alias("_v"))
-        return Normalizer(inputCol="_v", outputCol="unit").transform(dense).drop("_v")
+        return F.pandas_udf(run, "array<int>")
 
-    left, right = unit(queries, "query_id"), unit(corpus, "vec_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(right)
+    size = centres.shape[1]
+    left = queries.filter(F.size("embedding") == size).select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("a"))
+    left = left.withColumn("cell", F.explode(near(probes)("a"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = corpus.filter(F.size("embedding") == size).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("b"))
+    right = right.withColumns({"cell": F.get(near(1)("b"), F.lit(0)), "salt": F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")})
 
-    def hashed(df: DataFrame, key: str, name: str) -> DataFrame:
-        rows = model.transform(df).select(key, vector_to_array("unit").alias(name), F.posexplode("hashes").alias("table", "h"))
-        return rows.withColumn("bucket", F.get(vector_to_array("h"), F.lit(0)).cast("bigint")).drop("h")
+    def product(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
-    met = hashed(right, "vec_id", "b").join(hashed(left, "query_id", "a"), ["table", "bucket"])
-    score = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = met.groupBy("query_id", "vec_id").agg(F.first(score).alias("score"))
-    return top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], clamp_k(k))
+    right = right.withColumn("b_length", F.sqrt(product("b", "b"))).filter("b_length > 0")
+    left = left.withColumn("a_length", F.sqrt(product("a", "a"))).filter("a_length > 0")
+    scored = right.join(left, ["cell", "salt"]).select("query_id", "vec_id", (product("a", "b") / F.col("a_length") / F.col("b_length")).alias("score"))
+    return top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], max(1, int(k)))

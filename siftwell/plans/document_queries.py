@@ -79,7 +79,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, rank, round(score, 4) AS score FROM r WHERE rank <= 20""")
 def vector_topk(e: Entities) -> DataFrame:
     """Nearest vectors of the whole table to the mean vector of every label."""
-    top = Q.cosine_top_k(Q.centroids(e.embeddings, "label"), e.embeddings, 20)
+    top = Q.cosine_top_k(Q.centroids(e.embeddings, "label"), e.embeddings, Q.clamp_k(20))
     return top.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
 
 

@@ -79,6 +79,24 @@ def test_approximate_recall(vectors):
     assert len(exact & near) >= 0.8 * len(exact)
 
 
+def test_recall_and_share_of_the_index(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    queries = table.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id) for r in Q.cosine_top_k(queries, table, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in Q.approximate_top_k(queries, table, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    every = Q.approximate_top_k(queries, table, 10_000).count()
+    assert every <= 0.6 * queries.count() * table.count()
+
+
+def test_vectors_of_other_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 1.0, 1.0]), (3, [])], "query_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in Q.cosine_top_k(queries, corpus, 50).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1), (1, 2), (2, 3)]
+
+
 def test_top_k_is_clamped():
     assert [Q.clamp_k(k) for k in (-1, 5, 99)] == [1, 5, 20]
 
