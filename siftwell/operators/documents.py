@@ -80,6 +80,24 @@ def add_chunks(documents: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     return documents.join(counts, key, "left").withColumn("chunk_count", F.col("chunk_count") + F.coalesce("_n", F.lit(0))).drop("_n")
 
 
+def store_documents(incoming: DataFrame, stored_hashes: DataFrame, key: str, text: str, embedder: Callable[[pd.Series], pd.Series], dimension: int,
+                    size: int = 500, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Ingest in one go: find what is new, cut it, embed it, check it.
+
+    Returns the documents with ``status`` and ``chunk_count`` and the usable chunks. A document whose
+    vectors have another dimension is ``failed`` and brings no chunks.
+    """
+    statuses = ingest_documents(incoming, stored_hashes, key, text)
+    fresh = incoming.join(statuses.filter("status = 'ingested'").select(key), key, "left_semi")
+    chunks = check_vectors(embed(chunk_documents(fresh, key, text, size, overlap), "content", embedder), dimension)
+    counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_chunks"), F.count_if(F.col("problem").isNotNull()).alias("_bad"))
+    joined = statuses.join(counts, key, "left")
+    status = F.when(F.col("_bad") > 0, F.lit("failed")).otherwise(F.col("status"))
+    documents = joined.select(key, "content_hash", "document", status.alias("status"), F.when(F.col("_bad") == 0, F.col("_chunks")).otherwise(0).alias("chunk_count"))
+    usable = chunks.join(counts.filter("_bad > 0").select(key), key, "left_anti").drop("problem")
+    return documents, usable
+
+
 def readiness(documents: DataFrame, chunks: DataFrame, dimension: int, model: str | None = None) -> DataFrame:
     """One row: counts and the state ``empty``, ``dimension_mismatch``, ``model_mismatch`` or ``ready``."""
     sizes = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.min(F.size("embedding")).alias("_low"), F.max(F.size("embedding")).alias("_high"))
@@ -103,4 +121,4 @@ def excerpts(hits: DataFrame, text: str, length: int = 300) -> DataFrame:
 
 
 __all__ = ["add_chunks", "check_vectors", "chunk_array", "chunk_documents", "delete_documents", "embed", "excerpts",
-           "ingest_documents", "readiness", "words_of"]
+           "ingest_documents", "readiness", "store_documents", "words_of"]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import job_outcome
 from ..functions.text import blank_to_null, normalize_person_name, present
-from .ordered import block_bucket, carry_forward, first_rows, previous_values
+from .ordered import block_bucket, carry_forward, first_rows, number_rows, previous_values
 
 
 def filled(df: DataFrame, name: str) -> Column:
@@ -165,6 +165,18 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return fresh.join(stored, _null_safe(fresh, stored, keys), "left_anti")
 
 
+def add_members(members: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Memberships ``(dataset_id, lead_id, added_at)`` after an insert that ignores what is there, and the number of new ones per dataset."""
+    fresh = insert_absent(members, incoming, ["dataset_id", "lead_id"], [F.col("added_at")]).select(*members.columns)
+    return members.unionByName(fresh), fresh.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("inserted"))
+
+
+def dataset_rows(members: DataFrame, leads: DataFrame, bucket: Column) -> DataFrame:
+    """The leads of each dataset, numbered by the time they were added; ``bucket`` grows with that time."""
+    joined = members.join(leads, "lead_id")
+    return number_rows(joined, ["dataset_id"], bucket, [F.col("added_at"), F.col("lead_id")], "position")
+
+
 def upsert_sightings(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("source_code", "external_id")) -> DataFrame:
     """Latest ``seen_at`` per sighting, the newest known URL is kept, the lead stays the first one."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))

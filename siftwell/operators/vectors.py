@@ -148,3 +148,16 @@ def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int
     left = left.withColumn("a_length", F.sqrt(product("a", "a"))).filter("a_length > 0")
     scored = right.join(left, ["cell", "salt"]).select("query_id", "vec_id", (product("a", "b") / F.col("a_length") / F.col("b_length")).alias("score"))
     return top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], max(1, int(k)))
+
+
+def semantic_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int, where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """The nearest chunks with their text and the title of their document.
+
+    ``chunks(chunk_id, document_id, content, embedding)``, ``documents(document_id, title, ...)``; ``where``
+    is a condition on the documents, which restricts the search before it ranks.
+    """
+    chosen = documents if where is None else documents.filter(where)
+    searched = chunks if where is None else chunks.join(chosen.select("document_id"), "document_id", "left_semi")
+    top = cosine_top_k(queries, searched.select(F.col("chunk_id").alias("vec_id"), "embedding"), k, block).withColumnRenamed("vec_id", "chunk_id")
+    found = searched.select("chunk_id", "document_id", "content").join(top, "chunk_id")
+    return found.join(chosen.select("document_id", "title"), "document_id").select("query_id", "rank", "chunk_id", "document_id", "title", "content", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +91,41 @@ def vector_topk_ann(e: Entities) -> DataFrame:
     return top.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 4).alias("score"))
 
 
+@plan("semantic_search", sql="""
+WITH c AS (SELECT vec_id AS chunk_id, vec_id % 100 AS document_id, 'chunk ' || vec_id AS content, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, chunk_id, document_id, content, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), c.v) AS score
+  FROM embeddings q, c JOIN documents d ON d.doc_id = c.document_id WHERE q.vec_id % 50 = 0 AND d.lang = 'en'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+SELECT query_id, rank, chunk_id, document_id, 'from ' || source AS title, content, round(score, 4) AS score FROM r JOIN documents ON doc_id = document_id WHERE rank <= 7""")
+def semantic_search(e: Entities) -> DataFrame:
+    """Nearest chunks of English documents with text and title."""
+    chunks = e.embeddings.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 100).alias("document_id"), F.concat(F.lit("chunk "), "vec_id").alias("content"), "embedding")
+    documents = e.documents.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("from "), "source").alias("title"), "lang")
+    queries = e.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = Q.semantic_search(queries, chunks, documents, 7, F.col("lang") == "en")
+    return found.withColumns({"rank": F.col("rank").cast("bigint"), "score": F.round("score", 4)})
+
+
+@plan("document_ingest", sql=r"""
+WITH h AS (SELECT doc_id, sha256(text) AS content_hash, lang, text FROM documents), s AS (SELECT DISTINCT content_hash FROM h WHERE lang = 'de'), f AS (SELECT content_hash, min(doc_id) AS first FROM h GROUP BY 1),
+w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS words FROM documents),
+n AS (SELECT doc_id, words, unnest(range(0, CAST(greatest(1, ceil((len(words) - 20) / 100.0)) AS BIGINT))) AS i FROM w WHERE len(words) > 0),
+k AS (SELECT doc_id, count(*) AS chunks, sum(length(array_to_string(words[i * 100 + 1 : i * 100 + 120], ' '))) AS chars, sum(len(words[i * 100 + 1 : i * 100 + 120])) AS tokens FROM n GROUP BY 1),
+t AS (SELECT doc_id, CASE WHEN s.content_hash IS NOT NULL OR first <> doc_id THEN 'already_exists' WHEN text LIKE '%token = %' THEN 'failed' ELSE 'ingested' END AS status FROM h JOIN f USING (content_hash) LEFT JOIN s USING (content_hash))
+SELECT doc_id, status, CASE WHEN status = 'ingested' THEN chunks ELSE 0 END AS chunk_count, CAST(CASE WHEN status = 'ingested' THEN chars ELSE 0 END AS BIGINT) AS chars,
+  CAST(CASE WHEN status = 'ingested' THEN tokens ELSE 0 END AS BIGINT) AS tokens FROM t JOIN k USING (doc_id)""")
+def document_ingest(e: Entities) -> DataFrame:
+    """New documents cut, embedded, checked and counted; an embedder of two numbers fails on texts with a token."""
+    stored = e.documents.filter("lang = 'de'").select(F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("document"))
+
+    def embedder(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(len(t))] * (2 if "token = " not in t else 3) for t in texts])
+
+    documents, chunks = D.store_documents(e.documents.select("doc_id", "text"), stored, "doc_id", "text", embedder, 2, size=120, overlap=20)
+    sums = chunks.groupBy("doc_id").agg(F.sum(F.get("embedding", F.lit(0)).cast("bigint")).alias("chars"), F.sum("token_count").alias("tokens"))
+    return documents.join(sums, "doc_id", "left").select("doc_id", "status", "chunk_count", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("chars", "tokens")])
+
+
 # --- pages -----------------------------------------------------------------------------------
 @plan("page_main_text", sql=r"""
 WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>|</body>.*$', '', 'g'), '(?s)<nav>.*?</nav>', chr(10), 'g'), '(?s)<footer>.*?</footer>', chr(10), 'g') AS body FROM pages),

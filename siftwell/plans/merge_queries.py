@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
-from ..operators.ordered import block_bucket
+from ..operators.ordered import block_bucket, day_bucket
 from .bindings import AS_OF, Entities, as_of
 from .registry import plan
 
@@ -134,6 +134,23 @@ def child_insert_absent(e: Entities) -> DataFrame:
     return fresh.select("email", "org_id", "first_lead")
 
 
+@plan("dataset_members", uses="leads", sql="""
+WITH m AS (SELECT p_brand AS dataset_id, l_orderkey AS lead_id, l_shipdate AS added_at, l_linenumber <= 3 AS old FROM lineitem JOIN part ON p_partkey = l_partkey),
+o AS (SELECT dataset_id, lead_id, min(added_at) AS added_at FROM m WHERE old GROUP BY ALL),
+f AS (SELECT dataset_id, lead_id, min(added_at) AS added_at FROM m WHERE NOT old AND NOT EXISTS (SELECT 1 FROM o WHERE o.dataset_id = m.dataset_id AND o.lead_id = m.lead_id) GROUP BY ALL),
+a AS (SELECT * FROM o UNION ALL SELECT * FROM f), n AS (SELECT dataset_id, count(*) AS inserted FROM f GROUP BY 1)
+SELECT a.dataset_id, lead_id, added_at, status, row_number() OVER (PARTITION BY a.dataset_id ORDER BY added_at, lead_id) AS position, coalesce(inserted, 0) AS inserted
+FROM a JOIN leads USING (lead_id) LEFT JOIN n ON n.dataset_id = a.dataset_id""")
+def dataset_members(e: Entities) -> DataFrame:
+    """Members added to datasets without repeats, and the rows of each dataset in the order they were added."""
+    brands = e.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("dataset_id"))
+    rows = e.lineitem.join(brands, "l_partkey").select("dataset_id", F.col("l_orderkey").alias("lead_id"), F.col("l_shipdate").alias("added_at"), "l_linenumber")
+    stored = rows.filter("l_linenumber <= 3").groupBy("dataset_id", "lead_id").agg(F.min("added_at").alias("added_at"))
+    members, inserted = M.add_members(stored, rows.filter("l_linenumber > 3").drop("l_linenumber"))
+    listed = M.dataset_rows(members, e.leads.select("lead_id", "status"), day_bucket(F.col("added_at")))
+    return listed.join(inserted, "dataset_id", "left").select("dataset_id", "lead_id", "added_at", "status", "position", F.coalesce("inserted", F.lit(0)).alias("inserted"))
+
+
 @plan("sighting_upsert", uses="lead_sources", sql=f"""
 WITH s AS (SELECT source_code, split_part(external_id, '-', 1) AS external_id, lead_id, seen_at, seen_at >= TIMESTAMP '{AS_OF}' AS fresh,
   CASE WHEN lead_id % 3 <> 0 THEN 'https://s.example.com/' || strftime(seen_at, '%Y%m%d') END AS source_url FROM lead_sources),
