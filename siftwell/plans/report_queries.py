@@ -227,17 +227,14 @@ def trade_keywords(e: Entities) -> DataFrame:
 WITH c AS (SELECT p_name, min(p_partkey) AS pos, split_part(p_name, ' ', 2) AS noun FROM part GROUP BY p_name), first AS (SELECT noun, min(pos) AS pos FROM c GROUP BY noun),
 k AS (SELECT p_partkey % 5 AS m, p_name, split_part(p_name, ' ', 2) AS noun, split_part(p_name, ' ', 1) AS adj FROM part)
 SELECT DISTINCT CASE m WHEN 0 THEN CASE WHEN k.noun = 'rod' THEN k.p_name || 's' ELSE k.p_name END WHEN 1 THEN k.noun || ' ' || adj WHEN 2 THEN 'commercial ' || k.noun || ' service' WHEN 3 THEN 'fastener and fitting' ELSE 'q' END AS key,
-  CASE WHEN m IN (0, 1) AND NOT (m = 0 AND k.noun = 'rod') THEN CAST(c.pos AS VARCHAR) WHEN m = 2 AND k.noun <> 'rod' THEN CAST(first.pos AS VARCHAR) WHEN m = 3 THEN CAST(g.pos AS VARCHAR) END AS code,
-  CASE WHEN m = 0 AND k.noun = 'rod' THEN NULL WHEN m IN (0, 1) THEN 'primary' WHEN m = 2 AND k.noun <> 'rod' THEN 'token_match' WHEN m = 3 THEN 'group_primary' END AS relation
-FROM k LEFT JOIN c ON c.p_name = k.p_name LEFT JOIN first ON first.noun = k.noun LEFT JOIN c g ON k.m = 3 AND g.p_name IN ('red bolt', 'blue ring')
-WHERE NOT (m = 0 AND k.noun = 'rod' AND length(k.p_name) >= 9)""")
+  CASE WHEN m IN (0, 1) AND NOT (m = 0 AND k.noun = 'rod' AND length(k.p_name) < 9) THEN CAST(c.pos AS VARCHAR) WHEN m = 2 AND k.noun <> 'rod' THEN CAST(first.pos AS VARCHAR) WHEN m = 3 THEN CAST(g.pos AS VARCHAR) END AS code,
+  CASE WHEN m = 0 AND k.noun = 'rod' THEN CASE WHEN length(k.p_name) >= 9 THEN 'fuzzy_match' END WHEN m IN (0, 1) THEN 'primary' WHEN m = 2 AND k.noun <> 'rod' THEN 'token_match' WHEN m = 3 THEN 'group_primary' END AS relation
+FROM k LEFT JOIN c ON c.p_name = k.p_name LEFT JOIN first ON first.noun = k.noun LEFT JOIN c g ON k.m = 3 AND g.p_name IN ('red bolt', 'blue ring')""")
 def trade_resolution(e: Entities) -> DataFrame:
-    """Requested keywords to trades by group, name, alias and token overlap."""
+    """Requested keywords to trades by group, name, alias, token overlap and similar spelling."""
     groups = e.part.filter(F.col("p_name").isin("red bolt", "blue ring")).groupBy(F.lit("Fasteners and fittings").alias("keyword")).agg(
         F.array_sort(F.collect_set("p_name")).alias("names"))
-    resolved = P.resolve_keywords(trade_keywords(e), trade_catalog(e), groups)
-    long_rods = F.col("key").endswith(" rods") & (F.length("key") >= 10)  # similar enough for the fuzzy stage, shown in trade_similarity
-    return resolved.filter(~long_rods).select("key", "code", "relation")
+    return P.resolve_keywords(trade_keywords(e), trade_catalog(e), groups).select("key", "code", "relation")
 
 
 @plan("trade_similarity", sql="""
