@@ -96,7 +96,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage:
     docs = docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item_tokens"))
     pairs = seed_pairs(docs, items, seed)
-    rows = docs.join(pairs, KEY).join(items, "item_id").select("doc_id", "item_id", "item_tokens", tokens(F.col("text")).alias("doc_tokens"))
+    found = docs.join(pairs, KEY).withColumnRenamed("item_id", "found_id")
+    rows = found.join(items, F.col("found_id").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "item_tokens", tokens(F.col("text")).alias("doc_tokens"))
 
     def tiled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -136,7 +136,7 @@ def parse(page: str) -> tuple[list[Run], list[int]]:
                 tokens.append(token)
             continue
         if m.group(1) or m.group(4):
-            if name in _BLOCKS or name == "br":
+            if name in _BLOCKS:
                 block += 1
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
@@ -144,8 +144,10 @@ def parse(page: str) -> tuple[list[Run], list[int]]:
                     del stack[k:]
                     break
             continue
-        if name in _BLOCKS or name == "br":
+        if name in _BLOCKS:
             block += 1
+        elif name == "br":
+            runs.append(Run(0, len(tokens), " ", stack[-1].side, stack[-1].main, block, False))
         closes = ({"p"} if name in _ENDS_P else set()) | CLOSES.get(name, set())
         for k in range(len(stack) - 1, 0, -1) if closes else ():
             if stack[k].name in closes:
@@ -199,7 +201,8 @@ def main_text(page: str, template: dict[int, Known]) -> str:
         inside = [run for run in runs if not run.side and run.main >= rank]
         if not any(run.token for run in inside):
             continue
-        own = [run for run in inside if not (run.token and run.place in fixed and (not rank or template[run.token].strict))]
+        varies = {run.block for run in inside if run.token and not (run.place in fixed and (not rank or template[run.token].strict))}
+        own = [run for run in inside if run.block in varies]  # a block goes if all of its text is the template's
         if rank and not any(run.token for run in own):
             own = inside
         if not rank:
