@@ -29,32 +29,69 @@ from pyspark.sql import functions as F
 from .common import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-REMEMBERED = 300_000  # distinct words a worker keeps the ids of
+REMEMBERED = 400_000  # a worker keeps the ids of up to twice as many distinct words
+# Characters whose splitting is plain: ASCII without rare controls, and Latin-1 letters.
+PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
+# Fixed value: the tokenizer's own splitting rule, for these characters in lower case.
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+SPACES = re.compile("[ \\t\\n\\r\\f\\v]+")
+
+
+class Memory:
+    """Ids of words in two generations: what was not asked for during the last one is forgotten."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        unknown = words.difference(self.new)
+        again = unknown.intersection(self.old)
+        self.new.update((w, self.old[w]) for w in again)
+        return list(unknown - again)
 
 
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them.
 
-    The tokenizer splits at white space and drops it before it merges anything, so a text's ids are
-    those of its words in order; ids of words seen before are remembered.
+    The tokenizer splits texts before it merges anything, so a text's ids are those of its parts in
+    order, and ids of parts seen before are remembered. Texts of plain characters are split by the
+    tokenizer's rule; others, and those with the strings of special tokens, only at white space,
+    which the tokenizer drops.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.parts, self.words = Tokenizer.from_file(path), Memory(), Memory()
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Many parts as one text: every part ends with a piece that is marked as a word's end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(parts):
+            return self._encode_words(parts)
+        return [x.tobytes() for x in np.split(ids, ends[:-1])]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [re.split("[ \\t\\n\\r\\f\\v]+", t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for at in range(0, len(new), 5000):
-            part = new[at:at + 5000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4") for words in split]
+        split: list[tuple[Memory, list[str]]] = []
+        for t in texts:
+            plain = PLAIN.fullmatch(t) and "<|" not in t
+            split.append((self.parts, SPLIT.findall(t.lower())) if plain else (self.words, SPACES.split(t)))
+        for memory, encode in ((self.parts, self._encode_parts), (self.words, self._encode_words)):
+            new = memory.missing(set().union(*[words for m, words in split if m is memory]))
+            for at in range(0, len(new), 2000):
+                part = new[at:at + 2000]
+                memory.new.update(zip(part, encode(part)))
+        return [np.frombuffer(b"".join(map(m.new.__getitem__, words)), dtype="<u4") for m, words in split]
 
 
 @functools.cache
@@ -89,11 +126,8 @@ def plan_ranges(counts: dict[int, int], window: int) -> list[tuple[int, int, int
     used = dict.fromkeys(left, 0)
     ranges, sequence = [], 0
     lengths = sorted(left)
-    single = np.zeros(window + 1)
-    single[lengths] = 1
-    # Index of sums: which totals two or three of the lengths can add up to at all.
-    pairs = (np.convolve(single, single) > 0.5)[:window + 1]
-    triples = (np.convolve(single, pairs) > 0.5)[:window + 1]
+    there = np.zeros(2 * window + 2, dtype=bool)  # lengths with pieces left
+    there[lengths] = True
 
     def take(pattern: tuple[int, ...], times: int) -> None:
         nonlocal sequence
@@ -103,6 +137,7 @@ def plan_ranges(counts: dict[int, int], window: int) -> list[tuple[int, int, int
             ranges.append((n, used[n], times, sequence, offset))
             used[n] += times
             left[n] -= times
+            there[n] = left[n] > 0
             offset += n
         sequence += times
 
@@ -111,18 +146,18 @@ def plan_ranges(counts: dict[int, int], window: int) -> list[tuple[int, int, int
 
     def pair(total: int, *others: int) -> tuple[int, int] | None:
         """Two lengths that add up to ``total`` and are left beside ``others``; the longer one as long as possible."""
-        if total < 2 or not pairs[total]:
-            return None
-        for a in reversed(lengths[bisect_left(lengths, (total + 1) // 2):bisect_left(lengths, total)]):
-            if left[a] and left.get(total - a) and times((*others, a, total - a)):
-                return a, total - a
+        low = (total + 1) // 2
+        for k in np.flatnonzero(there[low:total] & there[total - low:0:-1])[::-1].tolist():
+            if times((*others, low + k, total - low - k)):
+                return low + k, total - low - k
         return None
 
     def triple(total: int, first: int) -> tuple[int, ...] | None:
-        if total < 3 or not triples[total]:
-            return None
-        for a in reversed(lengths[:bisect_left(lengths, total)]):
-            if left[a] and (two := pair(total - a, first, a)):
+        """Three lengths; the sums of all pairs come from a convolution of the lengths that are left."""
+        spectrum = np.fft.rfft(there, 4 * window + 4)
+        pairs = np.fft.irfft(spectrum * spectrum, 4 * window + 4) > 0.5
+        for a in (np.flatnonzero(there[1:total] & pairs[total - 1:0:-1])[::-1] + 1).tolist():
+            if two := pair(total - a, first, a):
                 return a, *two
         return None
 
@@ -164,7 +199,7 @@ def plan_ranges(counts: dict[int, int], window: int) -> list[tuple[int, int, int
     return ranges
 
 
-def assign(cut: DataFrame, window: int = 4096, parts: int = 64) -> DataFrame:
+def assign(cut: DataFrame, window: int = 4096, parts: int = 16) -> DataFrame:
     """``cut`` with ``sequence_id`` and ``offset`` for every piece.
 
     Pieces of one length are numbered in ``parts`` blocks, so that a length which a third of all
