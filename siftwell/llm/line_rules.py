@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, WHITE_SPACE, let, row_key, shingles, words
+from .common import KEY, WHITE_SPACE, let, row_key, shingles, stored, words
 
 HAS_WORD = "[^\\x20\\x09-\\x0D]"
 MARK = "line_rules_mark"
@@ -90,7 +90,7 @@ def frequent_lines(lines: DataFrame, most_documents: int, copy_share: float) ->
 
 def depleted(docs: DataFrame, doc_id: str, text: str, host: str, most_documents: int, copy_share: float, least_left: float) -> DataFrame:
     """Keys of the documents that lose too many of their words with the frequent lines."""
-    lines = line_table(docs, doc_id, text, host)
+    lines = stored(line_table(docs, doc_id, text, host), "lines")  # read twice: to count, and to judge by the counts
     frequent = frequent_lines(lines, most_documents, copy_share).select(F.col("host").alias("h"), F.col("line").alias("l"), F.lit(True).alias("above"))
     marked = lines.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left")
     left = marked.groupBy(KEY).agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("above").isNull(), F.col("words")).otherwise(0)).alias("left_words"))
