@@ -96,7 +96,7 @@ class PrefixCounter:
         split = [self.words(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = self.learn({w for words in split for w in words} - self.known.keys())
+        new = self.learn(set().union(*split).difference(self.known))
         self.known |= {w: c for w, c in new.items() if len(w) <= LONGEST_WORD}
         rare = {w: c for w, c in new.items() if len(w) > LONGEST_WORD}
         out = []
