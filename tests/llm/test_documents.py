@@ -107,6 +107,41 @@ def test_keep_one_of_repeated_rows(spark):
     assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [1]
 
 
+def jaccard_groups(texts):
+    """Connected components of all pairs with a similarity of 0.8 or more on sets of five words."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [lowered(t)]}
+    ids = sorted(sets)
+    return groups([(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
+
+
+def test_keep_one_against_all_jaccard_pairs(spark, texts):
+    named = jaccard_groups(texts)
+    prints = {i: fingerprint(t) for i, t in texts.items()}
+    assert any((prints[a] ^ prints[b]).bit_count() > 2 for a, b in named.items())  # what fingerprints would lose
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(named.values())
+
+
+def test_keep_one_of_families(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(3))
+    made = {}
+    for family in range(6):
+        text = [word() for _ in range(120)]
+        for i in range(40):  # chains of edits and stars of edits, so that many pairs of a family are not similar
+            edited = list(text)
+            for _ in range(random.randint(1, 3)):
+                edited[random.randrange(120)] = word()
+            made[100 * family + i] = " ".join(edited)
+            text = edited if family % 2 else text
+    foot = " ".join(word() for _ in range(60))
+    made |= {1000 + i: f"{' '.join(word() for _ in range(20))} {foot}" for i in range(60)}
+    named = jaccard_groups(made)
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(named.values())
+    assert 6 < len(set(named.values())) < len(made)
+
+
 def test_line_frequency_spares_copies_and_rejects_depleted(spark):
     random.seed(8)
     some = lambda n: " ".join("".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(3)) for _ in range(n))
