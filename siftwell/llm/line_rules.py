@@ -1,10 +1,8 @@
 """Quality rules: counts per document, and the frequency of lines across the documents of a host.
 
 Lines are compared after lower-casing and joining white space. A line is above the limit if more
-than ``most_documents`` documents of a host have it, unless most of these documents are copies of
-one text: every document is marked by the smallest hash among its other lines, and a line whose
-commonest mark covers more than ``copy_share`` of its documents is left to the duplicate stage.
-A document is depleted if less than ``least_left`` of its words are outside such lines.
+than ``most_documents`` documents of a host have it, where copies, documents with the same set of
+lines, count once: they are left to the duplicate stage. A document is depleted if less than ``least_left`` of its words are outside such lines.
 
 Results for odd input: null and empty texts have no words and fail the base rules; a null host is a
 host of its own; repeated rows count as one document in line frequencies and are all returned; an
@@ -68,49 +66,46 @@ def line_hash(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per line with words: document key, host, hash, words, and the mark of the other lines."""
+    """One row per line with words: document key, host, hash, words, and the mark of the document's set of lines."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09\\x0B-\\x0D]+", " "))
     parts = F.filter(F.split(plain, " ?\n ?"), lambda x: x != "")
     hashed = F.transform(parts, lambda x: F.struct(line_hash(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
     rows = docs.select(*row_key(doc_id, text), F.col(host).alias("host"), hashed.alias("lines"))
-    least = F.slice(F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"]))), 1, 2)
-    rows = rows.select(*KEY, "host", "lines", least.alias("least"))
-    line = F.explode("lines").alias("x")
-    other = F.when(F.get("least", F.lit(0)) != F.col("x.line"), F.get("least", F.lit(0))).otherwise(F.get("least", F.lit(1)))
-    return rows.select(*KEY, "host", "least", line).select(*KEY, "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"), other.alias("mark"))
+    mark = F.xxhash64(F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"]))))
+    rows = rows.select(*KEY, "host", "lines", mark.alias("mark"))
+    return rows.select(*KEY, "host", "mark", F.explode("lines").alias("x")).select(*KEY, "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"), "mark")
 
 
-def frequent_lines(lines: DataFrame, most_documents: int, copy_share: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, most_documents: int) -> DataFrame:
     """``(host, line)`` above the limit."""
-    once = lines.groupBy("host", "line", "mark", *KEY).agg(F.lit(1).alias("one"))
-    marks = once.groupBy("host", "line", "mark").agg(F.count("*").alias("n"))
-    totals = marks.groupBy("host", "line").agg(F.sum("n").alias("documents"), F.max("n").alias("largest"))
-    return totals.filter((F.col("documents") > most_documents) & (F.col("largest") <= copy_share * F.col("documents"))).select("host", "line")
+    once = lines.groupBy("host", "line", "mark").agg(F.lit(1).alias("one"))
+    totals = once.groupBy("host", "line").agg(F.count("*").alias("documents"))
+    return totals.filter(F.col("documents") > most_documents).select("host", "line")
 
 
-def depleted(docs: DataFrame, doc_id: str, text: str, host: str, most_documents: int, copy_share: float, least_left: float) -> DataFrame:
+def depleted(docs: DataFrame, doc_id: str, text: str, host: str, most_documents: int, least_left: float) -> DataFrame:
     """Keys of the documents that lose too many of their words with the frequent lines."""
     lines = stored(line_table(docs, doc_id, text, host), "lines")  # read twice: to count, and to judge by the counts
-    frequent = frequent_lines(lines, most_documents, copy_share).select(F.col("host").alias("h"), F.col("line").alias("l"), F.lit(True).alias("above"))
+    frequent = frequent_lines(lines, most_documents).select(F.col("host").alias("h"), F.col("line").alias("l"), F.lit(True).alias("above"))
     marked = lines.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left")
     left = marked.groupBy(KEY).agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("above").isNull(), F.col("words")).otherwise(0)).alias("left_words"))
     return left.filter(F.col("left_words") < least_left * F.col("all_words")).select(KEY)
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-                  most_documents: int = 20, copy_share: float = 0.5, least_left: float = 0.2) -> DataFrame:
+                  most_documents: int = 20, least_left: float = 0.2) -> DataFrame:
     """Counts and verdict of every row."""
     counts = base_counts(docs, doc_id, text)
-    emptied = depleted(docs, doc_id, text, host, most_documents, copy_share, least_left).withColumn("depleted", F.lit(True))
+    emptied = depleted(docs, doc_id, text, host, most_documents, least_left).withColumn("depleted", F.lit(True))
     return counts.join(emptied, KEY, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("depleted").isNull()).alias("kept"))
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-              most_documents: int = 20, copy_share: float = 0.5, least_left: float = 0.2) -> DataFrame:
+              most_documents: int = 20, least_left: float = 0.2) -> DataFrame:
     """The documents that the rules accept, all columns unchanged."""
-    emptied = depleted(docs, doc_id, text, host, most_documents, copy_share, least_left).select(F.concat_ws("/", *KEY).alias(MARK))
+    emptied = depleted(docs, doc_id, text, host, most_documents, least_left).select(F.concat_ws("/", *KEY).alias(MARK))
     counts = text_counts(F.col(text))
     n, repeated = counts["n_words"], counts["n_repeat_words"]
     good = docs.filter(let(n, lambda c: (c >= 50) & (100 * repeated <= 50 * c)))

@@ -157,6 +157,19 @@ def test_line_frequency_spares_copies_and_rejects_depleted(spark):
     assert {r.doc_id for r in line_rules.keep_good(docs).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_line_frequency_of_blocks_and_a_dominant_copy(spark):
+    random.seed(9)
+    some = lambda n: " ".join("".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(3)) for _ in range(n))
+    block, licence = [some(12) for _ in range(8)], some(60)
+    blocks = [(i, "\n".join([*block, some(8)]), "block") for i in range(200)]
+    story = "\n".join([licence, some(10)])
+    held = [(1000 + i, story, "skew") for i in range(80)] + [(2000 + i, "\n".join([licence, some(8)]), "skew") for i in range(40)]
+    held += [(3000 + i, "\n".join([some(40), some(40)]), "skew") for i in range(5)]
+    docs = spark.createDataFrame(blocks + held, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in line_rules.keep_good(docs).collect()}
+    assert kept == set(range(3000, 3005))
+
+
 def test_line_rules_odd_input(odd_docs, no_docs):
     rows = line_rules.quality_rules(odd_docs).collect()
     assert len(rows) == odd_docs.count() and [r.n_words for r in rows if r.doc_id in (3, 4, 7)] == [0, 0, 0]
