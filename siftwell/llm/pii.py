@@ -41,7 +41,10 @@ ENDINGS = {
     ("cyrillic", "female"): ["на", "рия", "лия", "са"], ("cyrillic", "male"): ["мон", "нас", "тон", "рд"],
     ("cyrillic", "any"): ["ли", "ри", "ра", "ла"], ("cyrillic", "family"): ["ко", "ев", "ин", "ук"],
 }
-HINT = r"@|\d[\d .()-]{6,}\d|[0-9a-fA-F]{24}|\b(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + r")\b"
+# Wider than the patterns below: digits of any script, also such as Java doesn't know yet, and no word boundaries, on which Java and Python differ.
+_DIGIT = r"[\p{Nd}\p{Cn}]"
+HINT = (rf"@|{_DIGIT}[\p{{Nd}}\p{{Cn}} .()-]{{6,}}{_DIGIT}|{_DIGIT}{{1,3}}(?:\.{_DIGIT}{{1,3}}){{3}}|[0-9a-fA-F]{{24}}"
+        r"|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + r")\.?[ \t]")
 
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 PATTERNS = [

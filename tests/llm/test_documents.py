@@ -264,6 +264,14 @@ def test_surrogates_in_the_documents(spark, texts):
             assert r.text == texts[r.doc_id]
 
 
+def test_every_entity_alone_in_a_text_is_found(spark):
+    alone = ["a@b.co", "0123456789abcdef01234567", "8.8.8.8", "1.1.1.1", "192.168.10.20", "٨.٨.٨.٨", "4111111111111", "12 345678", "(12)345678", "+12345678",
+             "٠٣٠ ٣٤٥ ٦٧٨٩", *[f"{t} Rolana" for t in pii.FEMALE_TITLES + pii.MALE_TITLES + pii.OTHER_TITLES]]
+    assert all(pii.find_entities(t) for t in alone)
+    docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    assert {r.doc_id for r in pii.replace_entities(docs, "k").collect() if r.pii_spans} == set(range(len(alone)))
+
+
 def test_pii_odd_input(odd_docs, no_docs):
     done = pii.replace_entities(odd_docs, "k")
     assert done.columns == odd_docs.columns + ["pii_spans"]
