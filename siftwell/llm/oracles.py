@@ -35,3 +35,25 @@ q AS (SELECT source, line FROM s WHERE documents > 20 AND largest <= 0.5 * docum
 e AS (SELECT doc_id FROM h LEFT JOIN (SELECT source, line, true AS above FROM q) z USING (source, line) GROUP BY doc_id
   HAVING sum(CASE WHEN above IS NULL THEN words ELSE 0 END) < 0.2 * sum(words))
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND e.doc_id IS NULL AS kept FROM f LEFT JOIN e ON f.doc_id = e.doc_id"""
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row_number() OVER () AS k, lang, source, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM d),
+o AS (SELECT k, lang, source, unnest(terms) AS term FROM w),
+kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, g.source, count(kept.term) AS v, coalesce(sum(kept.n), 0) AS lang_total FROM g LEFT JOIN kept USING (lang) GROUP BY 1, 2),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT v.*, coalesce(x.total, 0) AS total FROM v LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) x USING (lang, source)),
+p AS (SELECT t.lang, t.source, kept.term, coalesce(c.n, 0) AS n,
+  CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2) // (t.total + 2 * t.v) AS HUGEINT) AS p, CAST(1 + 1000000000 * (kept.n + 2) // (t.lang_total + 2 * t.v) AS HUGEINT) AS q
+  FROM t JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 10"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, html_template, line_rules, oracles, packing, passages, pii, quality_model, simhash, token_counts
+from . import chat, decontaminate, divergence, html_template, line_rules, oracles, packing, passages, pii, quality_model, simhash, token_counts
 
 PII_KEY = "surrogates"
 
@@ -75,9 +75,15 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of sources of a language by divergence, and the terms each source prefers."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii_surrogates, op2_prefix_target, op3_compact_windows, op4_prefix_counts, op5_complement_packing, op6_template_classes,
-                            op7_line_frequency, op8_simhash_vantage, op9_attention_quality, op10_string_tiling)
+                            op7_line_frequency, op8_simhash_vantage, op9_attention_quality, op10_string_tiling, op11_source_divergence)
 }
 
-SQL: dict[str, str] = {"op2_prefix_target": oracles.PREFIX_TARGET, "op7_line_frequency": oracles.LINE_FREQUENCY}
+SQL: dict[str, str] = {"op2_prefix_target": oracles.PREFIX_TARGET, "op7_line_frequency": oracles.LINE_FREQUENCY,
+                       "op11_source_divergence": oracles.SOURCE_DIVERGENCE}
