@@ -57,3 +57,18 @@ term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS valu
 SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
 UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value,
   CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 10"""
+
+RANKED_SEARCH = r"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms)) AS length FROM w WHERE len(terms) > 0),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM w) GROUP BY 1, 2),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+x AS (SELECT q.item_id, q.term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM q JOIN df USING (term), s),
+m AS (SELECT k, doc_id, CAST(10 + (90 * len(terms) * docs) // length AS BIGINT) AS m FROM w, s),
+r AS (SELECT x.item_id, m.k, m.doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM x JOIN tf USING (term) JOIN m USING (k) GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+WHERE rank <= 10"""

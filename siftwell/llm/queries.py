@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, divergence, html_template, line_rules, oracles, packing, passages, pii, quality_model, simhash, token_counts
+from . import chat, decontaminate, divergence, html_template, line_rules, oracles, packing, passages, pii, quality_model, ranked_search, simhash, substring_dedup, token_counts
 
 PII_KEY = "surrogates"
 
@@ -80,10 +80,23 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the bytes that repeated strings of 400 bytes cover, and a digest of the rest."""
+    done = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii_surrogates, op2_prefix_target, op3_compact_windows, op4_prefix_counts, op5_complement_packing, op6_template_classes,
-                            op7_line_frequency, op8_simhash_vantage, op9_attention_quality, op10_string_tiling, op11_source_divergence)
+                            op7_line_frequency, op8_simhash_vantage, op9_attention_quality, op10_string_tiling, op11_source_divergence,
+                            op12_suffix_dedup, op13_ranked_search)
 }
 
 SQL: dict[str, str] = {"op2_prefix_target": oracles.PREFIX_TARGET, "op7_line_frequency": oracles.LINE_FREQUENCY,
-                       "op11_source_divergence": oracles.SOURCE_DIVERGENCE}
+                       "op11_source_divergence": oracles.SOURCE_DIVERGENCE, "op13_ranked_search": oracles.RANKED_SEARCH}
