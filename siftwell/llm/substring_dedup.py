@@ -37,7 +37,7 @@ from .deep_shallow import deep_shallow
 
 GRAM = 8
 PIECE = 1 << 18  # bytes looked at together
-SORTED_ROWS, HOT_CLASSES = 20_000, 2_000
+SORTED_ROWS, HOT_CLASSES = 20_000, 50_000  # rows sorted together; contexts of one key that one task takes, some 35 MB
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
