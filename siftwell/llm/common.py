@@ -86,15 +86,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())
 
 
-def with_bitmap(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``there``: whether their key is set in a bitmap of the wanted keys, as it is for all of these and a few others.
+def with_bitmap(rows: DataFrame, wanted: DataFrame, key: str, flag: str = "there") -> DataFrame:
+    """``rows`` with a flag: whether their key is set in a bitmap of the wanted keys, as it is for all of these and a few others.
 
     The bitmap has 2^23 bits whatever the corpus, one megabyte to broadcast; it spares most texts the
     shuffle of the exact join that follows.
     """
+    bucket, bitmap = f"{flag}_bucket", f"{flag}_bitmap"
     slot = F.pmod(F.col(key), F.lit(1 << 23)) + 1
-    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(place).alias(bitmap))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     there = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket", "left").withColumn("there", there).drop("bucket", "bits")
+    return rows.withColumn(bucket, F.bitmap_bucket_number(slot)).join(F.broadcast(bits), bucket, "left").withColumn(flag, there).drop(bucket, bitmap)

@@ -1,13 +1,19 @@
 """Groups of near copies: texts whose sets of word runs have a Jaccard similarity of at least 4/5.
 
-Two such sets share a run among the first fifth (and one more) of each, in any order that is the same
-for all texts (prefix filter), so no pair is missed. The order puts runs that many texts of a bounded
-sample have last, then goes by hash; it decides how many pairs meet, never which are found. In every
-meeting leads are compared with the later members, twice as many in each round. Only pairs whose ends
-are linked already are left out, so a family of copies is mostly settled after the first lead, and once
-the pairs left are few per row all of them are compared.
-
-Texts without words form one group; fewer words than a run's size are one run.
+Candidates come from two sketches of a text's set of runs, both taken in one pass. SimHash fingerprints
+that differ by at most ``radius`` bits are met through the vantage-point tree (``simhash.close_links``);
+they settle copies and most near copies, but a pair at a similarity of 0.8 differs by some ten bits, where no
+tree over 64 bits can prune. So the texts meet in bands of min-hashes as well: 24 bands of 4 functions each
+miss a pair of similarity 0.8 with a probability of 3 in a million, nearer ones less. Every link is
+verified on the whole sets.
+
+In a band leads are compared with members that come later in the order of a hash, twice as many leads in
+each round. Only pairs whose ends are linked already are left out, so a family of copies is mostly settled
+after the first lead, and once the pairs left are few per row all of them are compared. Nothing is done
+per band in one task but joins, which split.
+
+Texts without words form one group; fewer words than a run's size are one run. Rows with one key are one
+text; a null key is a text of its own and linked to nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, components, shingles, stored, words
-from .passages import _likely
+from .common import LOWER, UPPER, components, shingles, stored, with_bitmap, words
+from .simhash import close_links, majority_bits, text_key
 
-SAMPLE, COMMON, PAIRS_PER_ROW = 20_000, 50_000, 8
+BANDS, FUNCTIONS, PAIRS_PER_ROW = 24, 4, 8
+SLICE = 1 << 20  # runs sketched at once
+MARK, FLAG = "near_copies_row_mark", "near_copies_row_flag"
 
 
 def run_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -31,74 +39,119 @@ def run_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("key", runs.alias("runs")).select("key", F.when(F.size("runs") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("runs")).alias("runs"))
 
 
-def common_runs(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that several texts of a sample have, sorted, and how many have them."""
-    share = max(1, -(-texts.count() // SAMPLE))
-    part = texts.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
-    counts = run_sets(part, size).select(F.explode("runs").alias("run")).groupBy("run").count().filter("count > 2")
-    rows = counts.orderBy(F.desc("count"), "run").limit(COMMON).toPandas().sort_values("run")
-    return rows["run"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
+def _mixed(x: np.ndarray, seed: np.uint64, factor: np.uint64) -> np.ndarray:
+    x = (x ^ seed) * factor
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xFF51AFD7ED558CCD)
 
 
-def prefix_rows(sets: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``(run, key, n)``: the first runs of every set in the common order, of which similar sets share one."""
+def min_hash_bands(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``(text, band)``: for each band a hash of the min-hashes of its functions."""
+    seeds = np.random.default_rng(20240).integers(1, 1 << 63, size=(BANDS * FUNCTIONS, 2), dtype=np.uint64)
+    out = np.empty((len(starts), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        together = np.full(len(starts), band + 1, dtype=np.uint64)
+        for seed, factor in seeds[band * FUNCTIONS:(band + 1) * FUNCTIONS]:
+            least = np.minimum.reduceat(_mixed(runs, seed, factor | np.uint64(1)), starts)
+            together = _mixed(together ^ least, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC4CEB9FE1A85EC53))
+        out[:, band] = together
+    return out
 
-    def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """``(key, n, bits, bands)``: number of runs, SimHash fingerprint and bands of every text."""
+    def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lists = part.column("runs")
-            n, runs = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
-            if not len(n):
-                continue
-            rank = np.zeros(len(runs), dtype=np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, runs), len(common) - 1)
-                rank = np.where(common[at] == runs, counts[at], 0)
-            doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((runs, rank, doc))
-            first = np.cumsum(n) - n
-            taken = np.arange(len(runs)) - first[doc] < (n - (4 * n + 4) // 5 + 1)[doc]
-            chosen, of = order[taken], doc[taken]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[chosen]), part.column("key").take(pa.array(of)), pa.array(n[of])], names=["run", "key", "n"])
-
-    return sets.mapInArrow(prefixes, "run long, key long, n long")
+            lists, at = part.column("runs"), 0
+            ends = lists.offsets.to_numpy()
+            while at < part.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+                some = lists.slice(at, stop - at)
+                n = np.diff(ends[at:stop + 1]).astype(np.int64)
+                bands = min_hash_bands(some.flatten().to_numpy().view(np.uint64), np.cumsum(n) - n)
+                bits = majority_bits(pa.ListArray.from_arrays(pa.array(ends[at:stop + 1] - ends[at], pa.int32()), some.flatten()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key").slice(at, stop - at), pa.array(n), pa.array(bits.view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(stop - at + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))],
+                    names=["key", "n", "bits", "bands"])
+                at = stop
+
+    return run_sets(texts, size).mapInArrow(sketch, "key long, n long, bits long, bands array<long>")
 
 
 def similar_links(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The ``(a, b)`` among the pairs whose sets are similar, counted exactly; only texts of pairs are dealt."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    likely = _likely(texts.withColumnRenamed("key", "doc"), ends).join(ends, "doc").withColumnRenamed("doc", "key")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    likely = with_bitmap(texts, ends, "key").filter("there").drop("there").join(ends, "key")
     sets = stored(run_sets(likely.dropDuplicates(["key"]), size), "sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("runs").alias("x")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("runs").alias("y")), "b")
     return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def near_copy_roots(texts: DataFrame, size: int = 5) -> DataFrame:
+def fingerprint_pairs(sketched: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: one text for each fingerprint with the others of it, and with those of close fingerprints."""
+    lead = stored(sketched.groupBy("bits").agg(F.min("key").alias("lead")), "leads")
+    same = sketched.join(lead, "bits").filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    links = close_links(lead.select("bits"), radius).toDF("x", "y")
+    close = links.join(lead.select(F.col("bits").alias("x"), F.col("lead").alias("a")), "x").join(
+        lead.select(F.col("bits").alias("y"), F.col("lead").alias("b")), "y").select("a", "b").filter("a <> b")
+    return same.union(close)
+
+
+def near_copy_roots(texts: DataFrame, size: int = 5, radius: int = 2) -> DataFrame:
     """``(node, root)`` for the keys of ``(key, text)`` that have a near copy; rows of one key have one text."""
-    rows = prefix_rows(run_sets(texts, size), *common_runs(texts, size))
-    order = Window.partitionBy("run").orderBy(F.xxhash64("key"), "key")
-    met = rows.withColumns({"place": F.row_number().over(order), "last": F.lag("key").over(order), "next": F.lead("key").over(order)})
-    met = stored(met.filter("last <> key OR last IS NULL AND next IS NOT NULL").drop("last", "next"), "meetings")
-    n_rows, links, roots, start, width = met.count(), None, None, 1, 1
+    texts = texts.filter(F.col("key").isNotNull())
+    sketched = stored(sketches(texts, size).dropDuplicates(["key"]), "sketches")
+    pairs = stored(fingerprint_pairs(sketched, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    roots = stored(components(similar_links(pairs, texts, size)), "roots")
+
+    rows = sketched.select("key", "n", F.explode("bands").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    order = (F.shiftrightunsigned(F.xxhash64("key"), 1) / F.lit(float(1 << 63))).alias("order")  # even in [0, 1)
+    met = stored(rows.join(sizes, "band").select("band", "key", "n", "size", order), "meetings")
+    n_rows, start, width = met.count(), 0, 1
     while True:
-        members = met.withColumn("root", F.col("key"))
-        if roots is not None:
-            members = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        members = stored(members, "members")
-        sizes = members.groupBy("run", "root").agg(F.count("*").alias("c")).groupBy("run").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("c"))
-        left = (sizes.agg(F.sum("c")).first()[0] or 0) // 2
+        known = roots.withColumnRenamed("node", "key")
+        members = stored(met.join(known, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
+        apart = members.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("c"))
+        left = (apart.agg(F.sum("c")).first()[0] or 0) // 2
         last = left <= PAIRS_PER_ROW * n_rows
         if left:
-            lead = members.filter(F.col("place") >= start).filter(F.lit(True) if last else F.col("place") < start + width).select(
-                "run", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "place", "root")])
-            pairs = members.join(lead, (members.run == lead.run) & (F.col("place") > F.col("lead_place")) & (F.col("root") != F.col("lead_root"))
+            place = F.col("order") * F.col("size")  # about the place in the band's order
+            lead = members.filter(place >= start).filter(F.lit(True) if last else place < start + width).select(
+                "band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "order", "root")])
+            pairs = members.join(lead, (members.band == lead.band) & (F.struct("order", "key") > F.struct("lead_order", "lead_key")) & (F.col("root") != F.col("lead_root"))
                                  & (5 * F.col("n") >= 4 * F.col("lead_n")) & (5 * F.col("lead_n") >= 4 * F.col("n")))
             pairs = stored(pairs.select(F.least("key", "lead_key").alias("a"), F.greatest("key", "lead_key").alias("b")).distinct(), "pairs")
             found = stored(similar_links(pairs, texts, size), "found")
             # A component so far is its members' links to the root.
-            links = found if roots is None else found.union(roots.select("node", "root"))
-            roots = stored(components(links), "roots")
+            roots = stored(components(found.union(roots.select("node", "root"))), "roots")
         if last:
-            return roots if roots is not None else texts.sparkSession.createDataFrame([], "node long, root long")
+            return roots
         start, width = start + width, 2 * width
+
+
+def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The document with the smallest id of each group of near copies, all columns unchanged.
+
+    Of rows that repeat this id with the same text one stays. Rows without an id stay, as no id
+    can name them.
+    """
+    key = ["doc_id", "key_text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key_text"), "text")
+    roots = near_copy_roots(rows.select(F.col("key_text").alias("key"), "text"), size)
+    groups = rows.select(key).join(roots.withColumnRenamed("node", "key_text"), "key_text", "left").withColumn("root", F.coalesce("root", "key_text"))
+    groups = stored(groups.filter("doc_id IS NOT NULL").groupBy("root", *key).agg(F.count("*").alias("copies")), "groups")
+    groups = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("first")), "root")
+    surplus = groups.filter("first <> doc_id").select(key)
+    repeated = groups.filter("first = doc_id AND copies > 1").select(key)
+
+    def marks(side: DataFrame) -> DataFrame:
+        return side.select(F.xxhash64(*key).alias(MARK))
+
+    rows = docs.withColumn(MARK, F.xxhash64(F.col("doc_id").cast("long"), text_key("text")))
+    rows = with_bitmap(rows, marks(surplus.union(repeated)), MARK, FLAG)
+    once = rows.filter(FLAG).join(marks(surplus.union(repeated)), MARK, "left_anti")
+    first = rows.filter(FLAG).join(marks(repeated), MARK, "left_semi").dropDuplicates([MARK])
+    return rows.filter(f"NOT {FLAG}").select(docs.columns).union(once.select(docs.columns)).union(first.select(docs.columns))

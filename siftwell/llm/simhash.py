@@ -21,16 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, components, shingles, stored, words
-from .near_copies import near_copy_roots
 
 BLOCK = 1 << 18
 SHARD_ROWS = 200_000
 SHELLS = 14  # how many shells a vantage point divides evenly spread fingerprints into, in effect
 
 
-MARK = "simhash_row_mark"
-
-
 def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -166,28 +162,3 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     """
     return grouped_prints(docs, doc_id, text, size, radius).select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The document with the smallest id of each group of near copies, all columns unchanged.
-
-    Near copies are found on exact sets of word runs (``near_copies``), as fingerprints lose most of
-    them. Of rows that repeat this id with the same text one stays. Rows without an id stay, as no id
-    can name them.
-    """
-    key = ["doc_id", "key_text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key_text"), "text")
-    roots = near_copy_roots(rows.select(F.col("key_text").alias("key"), "text"), size)
-    groups = rows.select(key).join(roots.withColumnRenamed("node", "key_text"), "key_text", "left").withColumn("root", F.coalesce("root", "key_text"))
-    groups = stored(groups.filter("doc_id IS NOT NULL").groupBy("root", *key).agg(F.count("*").alias("copies")), "groups")
-    groups = groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("first")), "root")
-    surplus = groups.filter("first <> doc_id").select(key)
-    repeated = groups.filter("first = doc_id AND copies > 1").select(key)
-    rows = docs.withColumn(MARK, F.concat_ws("/", F.col("doc_id"), text_key("text")))
-
-    def marks(side: DataFrame) -> DataFrame:
-        return side.select(F.concat_ws("/", *key).alias(MARK))
-
-    once = rows.join(marks(surplus.union(repeated)), MARK, "left_anti")
-    first = rows.join(marks(repeated), MARK, "left_semi").dropDuplicates([MARK])
-    return once.unionByName(first).select(docs.columns)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, line_rules, packing, passages, pii, quality_model, simhash, token_counts
+from siftwell.llm import decontaminate, line_rules, near_copies, packing, passages, pii, quality_model, simhash, token_counts
 from siftwell.llm.common import components, scratch
 from siftwell.llm.queries import QUERIES
 from tests.llm.conftest import LONG, PROSE
@@ -95,16 +95,16 @@ def test_simhash_odd_input(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     empty = [r for r in rows if r.fingerprint == "0" * 16]
     assert {r.doc_id for r in empty} == {3, 4, 7, None} and {r.component_id for r in empty} == {3}
-    kept = simhash.keep_one(odd_docs)
+    kept = near_copies.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[1] == 1 and ids[2] == 0 and ids[3] == 1 and ids[4] == 0 and ids[6] == 2 and ids[None] == 2
-    assert simhash.near_groups(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+    assert simhash.near_groups(no_docs).count() == 0 and near_copies.keep_one(no_docs).count() == 0
 
 
 def test_keep_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, PROSE), (1, PROSE), (9, PROSE)], "doc_id long, text string")
-    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [1]
+    assert [r.doc_id for r in near_copies.keep_one(docs).collect()] == [1]
 
 
 def jaccard_groups(texts):
@@ -119,7 +119,7 @@ def test_keep_one_against_all_jaccard_pairs(spark, texts):
     prints = {i: fingerprint(t) for i, t in texts.items()}
     assert any((prints[a] ^ prints[b]).bit_count() > 2 for a, b in named.items())  # what fingerprints would lose
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(named.values())
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == set(named.values())
 
 
 def test_keep_one_of_families(spark):
@@ -138,7 +138,7 @@ def test_keep_one_of_families(spark):
     made |= {1000 + i: f"{' '.join(word() for _ in range(20))} {foot}" for i in range(60)}
     named = jaccard_groups(made)
     docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
-    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(named.values())
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == set(named.values())
     assert 6 < len(set(named.values())) < len(made)
 
 

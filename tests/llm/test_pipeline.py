@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from siftwell.llm import decontaminate, pii
 from siftwell.llm.common import stored
-from tests.llm.test_documents import check_sequences, fingerprint, groups, texts  # noqa: F401
+from tests.llm.test_documents import check_sequences, jaccard_groups, texts  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,10 +38,7 @@ def test_stages(spark, stages, texts):  # noqa: F811
 
     base = {i for i, w in words.items() if len(w) >= 50 and 100 * repeated(w) <= 50 * len(w)}
     assert set(quality) == base  # no line of these small tables is above the limit
-    prints = {i: fingerprint(t) for i, t in quality.items()}
-    ids = sorted(prints)
-    named = groups([(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 2], ids)
-    assert set(near) == set(named.values())
+    assert set(near) == set(jaccard_groups(quality).values())
     items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     split = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     held = {i for i, t in near.items() for x in items if sum(n for _, _, n in decontaminate.tile(split(x), split(t), 5)) >= 0.6 * len(split(x))}
