@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, line_rules, packing, pii, simhash
+from siftwell.llm import decontaminate, line_rules, near_copies, packing, pii
 from siftwell.llm.common import stored
 from siftwell.session import configure
 
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: close fingerprints and min-hash bands, verified on 5-word sets."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
