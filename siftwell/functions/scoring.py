@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 from .text import constant_map, present
 
+FINISHED = ("Completed", "Partial", "Failed", "Cancelled")  # states that a job ends in
+
 
 def lead_priority(email: Column, phone: Column, city: Column, profile_url: Column) -> Column:
     score = (F.when(present(email), 2).otherwise(0) + F.when(present(phone), 2).otherwise(0)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import joined_hash
+from ..functions.scoring import FINISHED
+from .govern import root_ancestors
 from .ordered import number_rows
 
 
@@ -54,13 +56,46 @@ def fulfilment(requests: DataFrame, matches: DataFrame, request: str) -> DataFra
 
 def completion_events(jobs: DataFrame, requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Exactly one event per finished job and subscribed request; a rerun adds nothing."""
-    done = jobs.filter(F.col("status").isin("Completed", "Partial", "Failed", "Cancelled")).select(
+    done = jobs.filter(F.col("status").isin(*FINISHED)).select(
         "job_id", F.col("status").alias("job_status"))
     asked = requests.filter(F.coalesce("kind", F.lit("request")).isin("confirmation", "event") == F.lit(False))
     events = asked.join(done, "job_id").withColumn("event_id", joined_hash(F.col("job_id"), F.col("request_id")))
     return events.join(existing.select("event_id"), "event_id", "left_anti") if existing is not None else events
 
 
+def resolved_completions(jobs: DataFrame, requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``(request_id, job_id, status, event_id)``: one completion per finished job and original request.
+
+    ``requests(session_id, request_id, parent_id, follow_up, job_id)``: a follow-up that subscribes to a
+    job speaks for the request at the root of its chain; requests without session and chains without an
+    original give nothing. Completions in ``existing`` are not repeated.
+    """
+    roots = root_ancestors(requests.withColumn("_original", ~F.col("follow_up")), "request_id", "parent_id", "_original")
+    done = jobs.filter(F.col("status").isin(*FINISHED)).select("job_id", "status")
+    asked = requests.filter(F.col("job_id").isNotNull() & F.col("session_id").isNotNull()).select("request_id", "job_id")
+    found = asked.join(roots.filter(F.col("root_id").isNotNull()), "request_id").join(done, "job_id").select(
+        F.col("root_id").alias("request_id"), "job_id", "status").distinct()
+    events = found.withColumn("event_id", joined_hash(F.col("job_id"), F.col("request_id")))
+    return events.join(existing.select("event_id"), "event_id", "left_anti").select(events.columns) if existing is not None else events
+
+
+def completion_rows(requests: DataFrame, matches: DataFrame, served: DataFrame, bucket: Column) -> DataFrame:
+    """The rows a completion delivers: ``(request_id, lead_id, position)``.
+
+    ``requests(request_id, quantity, new_only, served_at, records_returned)``, ``matches(request_id,
+    lead_id, place)``. A request for new records only leaves out the rows it was served before
+    (``served(request_id, lead_id)``), also if they have changed since, and asks for what is still wanted.
+    ``bucket`` must grow with ``place``.
+    """
+    target = completion_target(F.col("quantity"), F.col("new_only"), F.col("served_at"), F.col("records_returned"))
+    wanted = requests.select("request_id", "new_only", target.alias("_target"))
+    before = served.select("request_id", "lead_id").distinct().withColumn("_served", F.lit(True))
+    fresh = matches.join(wanted, "request_id").join(before, ["request_id", "lead_id"], "left").filter(
+        (F.col("_target") > 0) & ~(F.col("new_only") & F.col("_served").isNotNull()))
+    numbered = number_rows(fresh, ["request_id"], bucket, [F.col("place"), F.col("lead_id")], "position")
+    return numbered.filter(F.col("position") <= F.col("_target")).select("request_id", "lead_id", "position")
+
+
 def user_deliveries(requests: DataFrame, bucket: Column, page: int = 1, page_size: int = 50) -> DataFrame:
     """One page of deliveries per user, newest first, with the user's total.
 

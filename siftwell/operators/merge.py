@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import joined_hash
 from ..functions.scoring import job_outcome
 from ..functions.text import blank_to_null, normalize_person_name, present
 from .ordered import block_bucket, carry_forward, first_rows, number_rows, previous_values
@@ -105,12 +106,12 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, latest: Sequence[
 
 
 def upsert_arrivals(existing: DataFrame, incoming: DataFrame, key: str, ordinal: str, bucket: Column, latest: Sequence[str],
-                    first: Sequence[str], hashed: Sequence[str], as_of: Column) -> DataFrame:
+                    first: Sequence[str], hashed: Sequence[str], as_of: Column, context: Sequence[str] = ()) -> DataFrame:
     """Every arrival applied to the stored row in its order, however the arrivals are cut into batches.
 
     ``latest`` fields follow the newest non-empty value, ``first`` fields keep the oldest, and the map
     ``extra`` takes the newest value of each of its keys. The version grows with every arrival that
-    changes a ``hashed`` field or an entry of ``extra``. ``bucket`` must grow with ``ordinal``; no key is
+    changes a ``hashed`` field or an entry of ``extra`` that is not named in ``context``. ``bucket`` must grow with ``ordinal``; no key is
     gathered. The result has an ``outcome`` of inserted, updated, unchanged or untouched.
     """
     kind = incoming.schema[ordinal].dataType
@@ -124,7 +125,7 @@ def upsert_arrivals(existing: DataFrame, incoming: DataFrame, key: str, ordinal:
     same = functools.reduce(operator.and_, [F.col(f).eqNullSafe(F.col("_before")[f]) for f in hashed])
     changes = history.filter(F.col("_before").isNotNull() & ~same).select(key, "_at")
     entries = rows.select(key, "_at", "_block", F.explode("extra").alias("_k", "_v")).filter(F.col("_v").isNotNull())
-    told = previous_values(entries, [key, "_k"], F.col("_block"), [F.col("_at")], {"_was": F.col("_v")})
+    told = previous_values(entries.filter(~F.col("_k").isin(list(context))), [key, "_k"], F.col("_block"), [F.col("_at")], {"_was": F.col("_v")})
     begun = rows.groupBy(key).agg(F.min("_at").alias("_begin"), F.max("_turn").alias("_new"), F.min("_turn").alias("_seed"),
                                   *[F.max_by(filled(rows, f), F.when(filled(rows, f).isNotNull(), F.col("_at"))).alias(f) for f in latest],
                                   *[F.min_by(filled(rows, f), F.when(filled(rows, f).isNotNull(), F.col("_at"))).alias(f) for f in first])
@@ -135,7 +136,7 @@ def upsert_arrivals(existing: DataFrame, incoming: DataFrame, key: str, ordinal:
         key, "_at", F.create_map("_name", "_v").alias("extra")), [key], "_at", "extra"), key, "left")
     state = state.withColumn("extra", F.coalesce("extra", none)).withColumn("_n", F.coalesce("_changes", F.lit(0)))
     state = state.join(existing.select(key, F.col("version").alias("_version"), F.col("first_seen_at").alias("_first_seen")), key, "left")
-    listed = F.array_sort(F.map_entries("extra"))
+    listed = F.array_sort(F.filter(F.map_entries("extra"), lambda e: ~e["key"].isin(list(context))))
     outcome = F.when(F.col("_seed") == 1, F.lit("inserted")).when(F.col("_n") > 0, F.lit("updated")).otherwise(F.lit("unchanged"))
     merged = state.select(
         key, *latest, *first, "extra", F.sha2(F.to_json(F.struct(*sorted(hashed), listed.alias("extra"))), 256).alias("content_hash"),
@@ -360,12 +361,14 @@ class LeadStore:
     phones: DataFrame
     locations: DataFrame
     lead_sources: DataFrame
+    dataset_records: DataFrame
 
 
 STORE_SCHEMAS: Mapping[str, str] = {
     "leads": "identity_key string, record_kind string, title string, description string, category string, city string, "
              "us_state string, email string, phone string, website string, organization_name string, contact_name string, "
-             "due_at timestamp_ntz, org_id string, source_code string, extra map<string,string>, content_hash string, version bigint, "
+             "due_at timestamp_ntz, contact_id string, run_id string, source_url string, org_id string, source_code string, "
+             "department_id string, dataset_id string, extra map<string,string>, content_hash string, version bigint, "
              "first_seen_at timestamp_ntz, last_seen_at timestamp_ntz",
     "organizations": "dedup_key string, name string, website string, domain string, industry string",
     "contacts": "org_id string, full_name_key string, full_name string, title string",
@@ -373,61 +376,89 @@ STORE_SCHEMAS: Mapping[str, str] = {
     "phones": "phone string, org_id string, contact_key string, phone_type string",
     "locations": "org_id string, city string, state string, postal_code string, country string",
     "lead_sources": "source_code string, external_id string, identity_key string, source_url string, seen_at timestamp_ntz",
+    "dataset_records": "dataset_id string, identity_key string",
 }
-LATEST_FIELDS = ["record_kind", "title", "description", "category", "city", "us_state", "email", "phone", "website",
-                 "organization_name", "contact_name", "due_at"]
-FIRST_FIELDS = ["org_id", "source_code"]
-# Search context and the URL do not make a record a different one.
-HASHED_FIELDS = [f for f in LATEST_FIELDS if f != "record_kind"]
+CONTENT_FIELDS = ["title", "description", "category", "city", "us_state", "email", "phone", "website", "organization_name", "contact_name", "due_at"]
+# The links of a lead to its contact and to the last run follow the newest arrival; organisation, source, department and
+# dataset stay those of the first that has one.
+LATEST_FIELDS = ["record_kind", *CONTENT_FIELDS, "contact_id", "run_id", "source_url"]
+FIRST_FIELDS = ["org_id", "source_code", "department_id", "dataset_id"]
+# Search context, links and the URL do not make a record a different one.
+HASHED_FIELDS = CONTENT_FIELDS
+CONTEXT_ENTRIES = ["search_keyword", "search_location", "source_url"]
+LINKS = ["run_id", "department_id", "dataset_id"]  # columns that the caller of an ingest may add
 
 
-def upsert_store(store: LeadStore, records: DataFrame, as_of: Column, merge: str = "arrival") -> tuple[LeadStore, DataFrame]:
-    """Upsert ingest rows (see ``ingest_fields``) into all tables; returns the new tables and outcomes.
+STORE_KEYS: Mapping[str, Sequence[str]] = {
+    "leads": ["identity_key"], "organizations": ["dedup_key"], "contacts": ["org_id", "full_name_key"],
+    "emails": ["email", "org_id", "contact_key"], "phones": ["phone", "org_id", "contact_key"],
+    "locations": ["org_id", "city", "state"], "lead_sources": ["source_code", "external_id"],
+    "dataset_records": ["dataset_id", "identity_key"]}
 
-    ``merge`` says how repeated observations inside this batch are combined: ``batch`` keeps the
-    first non-empty value, ``arrival`` the latest.
+
+def contact_link(org_id: Column, full_name_key: Column) -> Column:
+    """How a lead names a row of the contacts."""
+    return joined_hash(F.coalesce(org_id, F.lit("")), full_name_key)
+
+
+def arriving_rows(sightings: DataFrame, records: DataFrame, as_of: Column) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All ingest rows with their identity, and for each table of the store the rows that arrive, with its keys.
+
+    ``sightings`` needs the known sightings of these records only.
     """
-    known = store.lead_sources.select("source_code", "external_id", "identity_key")
+    known = sightings.select("source_code", "external_id", "identity_key")
+    contact_key = F.lower(F.trim("contact_name"))
     rows = resolve_aliases(records, known).withColumns({
         "org_id": F.col("org_dedup"), "email": F.coalesce("norm_email", "email"),
-        "phone": F.coalesce("norm_phone", "phone"), "us_state": F.coalesce("norm_state", "us_state")})
+        "phone": F.coalesce("norm_phone", "phone"), "us_state": F.coalesce("norm_state", "us_state"),
+        "contact_id": F.when(present(F.col("contact_name")), contact_link(F.col("org_dedup"), contact_key)),
+        **{c: F.col(c).cast("string") if c in records.columns else F.lit(None).cast("string") for c in LINKS}})
     identified = rows.filter(F.col("identity_key").isNotNull())
-    arrivals = identified
+    placed = F.coalesce("city", "us_state", "postal_code").isNotNull()
+    return rows, {
+        "leads": identified,
+        "organizations": identified.filter(F.col("org_id").isNotNull()).select(
+            F.col("org_id").alias("dedup_key"), F.col("organization_name").alias("name"), "website",
+            F.col("norm_domain").alias("domain"), F.col("category").alias("industry"), "ordinal"),
+        "contacts": identified.filter(present(F.col("contact_name"))).select(
+            "org_id", contact_key.alias("full_name_key"), F.trim("contact_name").alias("full_name"), F.col("contact_title").alias("title"), "ordinal"),
+        "emails": identified.filter(F.col("norm_email").isNotNull()).select(
+            F.col("norm_email").alias("email"), "org_id", contact_key.alias("contact_key"), "email_type", "ordinal"),
+        "phones": identified.filter(F.col("norm_phone").isNotNull()).select(
+            F.col("norm_phone").alias("phone"), "org_id", contact_key.alias("contact_key"), "phone_type", "ordinal"),
+        "locations": identified.filter(placed).select(
+            "org_id", "city", F.col("us_state").alias("state"), "postal_code", "country", "ordinal"),
+        "lead_sources": identified.filter(F.col("source_code").isNotNull() & F.col("external_id").isNotNull()).select(
+            "source_code", "external_id", F.col("identity_key").alias("lead_id"), "source_url", as_of.alias("seen_at")),
+        "dataset_records": identified.filter(F.col("dataset_id").isNotNull()).select("dataset_id", "identity_key", "ordinal")}
+
+
+def upsert_store(store: LeadStore, records: DataFrame, as_of: Column, merge: str = "arrival") -> tuple[LeadStore, DataFrame]:
+    """Upsert ingest rows (see ``ingest_fields``) into all tables; returns the new tables and outcomes.
+
+    ``merge`` says how repeated observations inside this batch are combined: ``batch`` keeps the
+    first non-empty value, ``arrival`` the latest. The tables may be parts of a larger store, if they
+    hold all rows stored under the keys of the records.
+    """
+    rows, arriving = arriving_rows(store.lead_sources, records, as_of)
+    identified = arrivals = arriving["leads"]
     if merge == "batch":  # the batch is one arrival, made of the first non-empty values
         fields = [*LATEST_FIELDS, *FIRST_FIELDS]
         extra = merge_maps(identified, ["identity_key"], "ordinal", "extra")
         arrivals = merge_batch(identified, ["identity_key"], "ordinal", fields).join(extra, "identity_key", "left").select(
             "identity_key", *fields, F.coalesce("extra", F.create_map().cast("map<string,string>")).alias("extra"), F.lit(0).cast("bigint").alias("ordinal"))
-    leads = upsert_arrivals(store.leads, arrivals, "identity_key", "ordinal", block_bucket(F.col("ordinal")), LATEST_FIELDS, FIRST_FIELDS, HASHED_FIELDS, as_of)
-
-    org_rows = identified.filter(F.col("org_id").isNotNull()).select(
-        F.col("org_id").alias("dedup_key"), F.col("organization_name").alias("name"), "website",
-        F.col("norm_domain").alias("domain"), F.col("category").alias("industry"), "ordinal")
-    organizations = upsert_first_wins(store.organizations, org_rows, "dedup_key", "ordinal", ["name", "website", "domain", "industry"])
+    leads = upsert_arrivals(store.leads, arrivals, "identity_key", "ordinal", block_bucket(F.col("ordinal")), LATEST_FIELDS, FIRST_FIELDS, HASHED_FIELDS, as_of, CONTEXT_ENTRIES)
+    organizations = upsert_first_wins(store.organizations, arriving["organizations"], "dedup_key", "ordinal", ["name", "website", "domain", "industry"])
 
-    def grown(table: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-        fresh = insert_absent(table, incoming, keys, [F.col("ordinal")])
+    def grown(name: str) -> DataFrame:
+        table = getattr(store, name)
+        fresh = insert_absent(table, arriving[name], STORE_KEYS[name], [F.col("ordinal")])
         return table.unionByName(fresh.select(*table.columns))
 
-    contact_key = F.lower(F.trim("contact_name"))
-    contacts = grown(store.contacts, identified.filter(present(F.col("contact_name"))).select(
-        "org_id", contact_key.alias("full_name_key"), F.trim("contact_name").alias("full_name"),
-        F.col("contact_title").alias("title"), "ordinal"), ["org_id", "full_name_key"])
-    emails = grown(store.emails, identified.filter(F.col("norm_email").isNotNull()).select(
-        F.col("norm_email").alias("email"), "org_id", contact_key.alias("contact_key"), "email_type", "ordinal"),
-        ["email", "org_id", "contact_key"])
-    phones = grown(store.phones, identified.filter(F.col("norm_phone").isNotNull()).select(
-        F.col("norm_phone").alias("phone"), "org_id", contact_key.alias("contact_key"), "phone_type", "ordinal"),
-        ["phone", "org_id", "contact_key"])
-    placed = F.coalesce("city", "us_state", "postal_code").isNotNull()
-    locations = grown(store.locations, identified.filter(placed).select(
-        "org_id", "city", F.col("us_state").alias("state"), "postal_code", "country", "ordinal"), ["org_id", "city", "state"])
-    seen = identified.filter(F.col("source_code").isNotNull() & F.col("external_id").isNotNull()).select(
-        "source_code", "external_id", F.col("identity_key").alias("lead_id"), "source_url", as_of.alias("seen_at"))
+    seen = arriving["lead_sources"]
     stored = store.lead_sources.withColumnRenamed("identity_key", "lead_id").select(*seen.columns)
     sightings = upsert_sightings(stored, seen).withColumnRenamed("lead_id", "identity_key")
-    run = rows.withColumn("run", F.lit("run"))
-    outcomes = batch_outcomes(run, leads, "identity_key", "run")
-    new_store = LeadStore(leads.drop("outcome"), organizations, contacts, emails, phones, locations,
-                          sightings.select(*store.lead_sources.columns))
+    outcomes = batch_outcomes(rows.withColumn("run", F.lit("run")), leads, "identity_key", "run")
+    new_store = LeadStore(leads.drop("outcome"), organizations, grown("contacts"), grown("emails"), grown("phones"), grown("locations"),
+                          sightings.select(*store.lead_sources.columns), grown("dataset_records"))
     return new_store, outcomes

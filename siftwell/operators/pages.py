@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -331,23 +333,41 @@ def listing_rows(pages: DataFrame, card_class: str = "card", marker: str = "prof
 
 
 def people_from_lines(lines: Column) -> Column:
-    """``struct(name, title, department, phone, email)`` from lines such as ``Estimator: Jane Doe``."""
-    front, back = rf"(?i)^({V.ROLE_PATTERN})\s*[:\-–—]\s*(.+)$", rf"(?i)^(.+?)\s*(?:,|[-–—]|\|)\s*({V.ROLE_PATTERN})\b.*$"
-    either = rf"(?i)^({V.ROLE_PATTERN})\s*[:\-–—]|(?:,|[-–—]|\|)\s*({V.ROLE_PATTERN})\b"
+    """``struct(name, title, department, phone, email)`` of everybody whom the lines name with a role.
 
-    def named(bare: Column) -> Column:
-        return F.when(bare.rlike(front), F.struct(F.regexp_extract(bare, front, 1).alias("label"), F.regexp_extract(bare, front, 2).alias("name"))).when(
-            bare.rlike(back), F.struct(F.regexp_extract(bare, back, 2).alias("label"), F.regexp_extract(bare, back, 1).alias("name")))
+    Read are lines such as ``Estimator: Jane Doe`` or ``Jane Doe - Estimator``, and a line that is a role
+    with the name on the line after it, unless that one has a phone or an address. Several names of
+    one role are joined by ``;``, ``&`` or ``and``; each is a person of its own with the line's phone and email.
+    """
+    front, back = rf"(?i)^({V.ROLE_PATTERN})\s*[:\-–—]\s*(.+)$", rf"(?i)^(.+?)\s*(?:,|[-–—]|\|)\s*({V.ROLE_PATTERN})\b.*$"
+    alone = rf"(?i)^(?:{V.ROLE_PATTERN})$"
+    maybe = rf"(?i)^({V.ROLE_PATTERN})\s*[:\-–—]|(?:,|[-–—]|\|)\s*({V.ROLE_PATTERN})\b|^\W*({V.ROLE_PATTERN})\W*$"
 
-    def read(line: Column) -> Column:
+    def stripped(line: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(line, V.EMAIL_PATTERN, ""), GUARDED_PHONE, "")
-        bare = F.regexp_replace(collapse(bare), r"[ ,\-–—]+$", "")
-        return let(let(bare, named), lambda n: F.struct(
-            collapse(n["name"]).alias("name"), n["label"].alias("title"), department_for_role(n["label"]).alias("department"),
-            directory_phone(line)["e164"].alias("phone"), clean_email(line, []).alias("email")))
+        return F.regexp_replace(collapse(bare), r"^[ ,\-–—]+|[ ,\-–—]+$", "")
+
+    def named(bare: Column, after: Column) -> Column:
+        told = ~after.rlike(V.EMAIL_PATTERN) & ~after.rlike(GUARDED_PHONE)
+        return F.when(bare.rlike(front), F.struct(F.regexp_extract(bare, front, 1).alias("label"), F.regexp_extract(bare, front, 2).alias("names"), F.lit(True).alias("own"))).when(
+            bare.rlike(back), F.struct(F.regexp_extract(bare, back, 2).alias("label"), F.regexp_extract(bare, back, 1).alias("names"), F.lit(True).alias("own"))).when(
+            bare.rlike(alone) & told, F.struct(bare.alias("label"), after.alias("names"), F.lit(False).alias("own")))
+
+    def people(at: Column) -> Column:
+        line = at["line"]
+
+        def each(n: Column) -> Column:
+            phone, email = F.when(n["own"], directory_phone(line)["e164"]), F.when(n["own"], clean_email(line, []))
+            return F.transform(F.split(n["names"], r"\s*;\s*|\s+(?:&|(?i:and))\s+"), lambda name: F.struct(
+                collapse(F.regexp_replace(name, r"(?i)^\s*contact\s+", "")).alias("name"), n["label"].alias("title"), department_for_role(n["label"]).alias("department"),
+                phone.alias("phone"), email.alias("email")))
+
+        return let(let(stripped(line), lambda bare: named(bare, F.coalesce(at["after"], F.lit("")))), each)
 
-    short = F.filter(lines, lambda t: t.rlike(either))
-    return F.filter(F.transform(short, read), lambda p: p["title"].isNotNull() & looks_like_person(p["name"]))
+    placed = let(lines, lambda every: F.transform(every, lambda t, i: F.struct(t.alias("line"), F.get(every, i + 1).alias("after"))))
+    short = F.filter(placed, lambda at: at["line"].rlike(maybe) & (F.length(at["line"]) <= 220))
+    found = F.flatten(F.filter(F.transform(short, people), lambda p: p.isNotNull()))
+    return F.filter(found, lambda p: p["title"].isNotNull() & looks_like_person(p["name"]))
 
 
 def section_records(html: Column, heading: str) -> Column:
@@ -418,6 +438,116 @@ def text_section(text: Column, name: str, headings: Sequence[str] = V.SECTION_HE
     return F.filter(section, lambda t: (t != "") & ~F.lower(t).isin(list(nothing)))
 
 
+def text_blocks(html: Column, section: str, level: str = "[34]") -> Column:
+    """``struct(label, html, lines)`` of the blocks below the headings inside a section named by a heading above them."""
+    body = F.regexp_extract(html, rf"(?is)<h[12][^>]*>\s*(?:{section})\s*</h[12]>(.*?)(?=<h[12]\b|</body>|$)", 1)
+    heads = F.regexp_extract_all(body, F.lit(rf"(?is)<h{level}[^>]*>(.*?)</h{level}>"), F.lit(1))
+    parts = let(F.split(body, rf"(?is)<h{level}[^>]*>.*?</h{level}>"), lambda p: F.slice(p, F.lit(2), F.size(p)))
+    blocks = F.zip_with(heads, parts, lambda h, p: F.struct(collapse(strip_tags(h, " ")).alias("label"), p.alias("html"), unique_lines(strip_tags(p)).alias("lines")))
+    return F.filter(blocks, lambda b: b["label"] != "")
+
+
+def first_group(lines: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first line that the pattern fits."""
+    return F.regexp_extract(F.get(F.filter(lines, lambda t: t.rlike(pattern)), F.lit(0)), pattern, group)
+
+
+def location_records(html: Column, section: str = "Locations") -> Column:
+    """The blocks of a section of places as ``struct(label, street, city, state, zip, phone, fax, website, contact_name, contact_title, is_main)``.
+
+    A block without address, phone or website is left out.
+    """
+    place = V.ADDRESS_LINE
+
+    def street(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda t: t.rlike(place)), F.lit(True)).cast("int")
+        above = F.slice(lines, F.greatest(at - 2, F.lit(1)), F.greatest(F.least(at - 1, F.lit(2)), F.lit(0)))
+        likely = F.filter(above, lambda t: t.rlike(V.STREET_LINE) & ~t.rlike(r"@|www\.|^https?:") & ~t.rlike(GUARDED_PHONE) & F.length(t).between(3, 100))
+        return F.when(at > 0, blank_to_null(F.array_join(likely, ", ")))
+
+    def record(b: Column) -> Column:
+        def number(phones: Column, fax: bool) -> Column:
+            return F.get(F.filter(phones, lambda p: p["is_fax"] == F.lit(fax)), F.lit(0))["e164"]
+
+        strong = F.transform(F.regexp_extract_all(b["html"], F.lit(r"(?is)<(?:strong|b|button)\b[^>]*>(.*?)</(?:strong|b|button)>"), F.lit(1)), lambda t: collapse(strip_tags(t, " ")))
+        person = F.get(F.filter(strong, looks_like_person), F.lit(0))
+        after = F.get(b["lines"], F.array_position(b["lines"], person).cast("int"))
+        text = F.lower(F.array_join(b["lines"], " "))
+        return let(page_phones(b["html"]), lambda phones: F.struct(
+            b["label"].alias("label"), street(b["lines"]).alias("street"), blank_to_null(first_group(b["lines"], place)).alias("city"),
+            blank_to_null(first_group(b["lines"], place, 2)).alias("state"), blank_to_null(first_group(b["lines"], place, 3)).alias("zip"),
+            number(phones, False).alias("phone"), number(phones, True).alias("fax"), website_and_socials(b["html"], [])["website"].alias("website"),
+            person.alias("contact_name"), F.when(person.isNotNull() & (F.lower(after) != "main location"), after).alias("contact_title"), text.contains("main location").alias("is_main")))
+
+    rows = F.transform(text_blocks(html, section), record)
+    return F.filter(rows, lambda r: F.coalesce(r["city"], r["phone"], r["website"]).isNotNull())
+
+
+def project_records(html: Column, section: str = "Completed Projects|Project Experience|Projects") -> Column:
+    """The blocks of a section of projects as ``struct(name, location, type, status, date, gc_name, url)``, each name once."""
+    place = V.CITY_STATE
+
+    def record(b: Column) -> Column:
+        def field(names: str) -> Column:
+            return blank_to_null(first_group(b["lines"], rf"(?i)^(?:{names})\s*[:\-]\s*(.+)$"))
+
+        where = first_group(b["lines"], place), first_group(b["lines"], place, 2)
+        return F.struct(b["label"].alias("name"), F.when(F.coalesce(where[1], F.lit("")) != "", F.concat_ws(", ", *where)).alias("location"), field("type").alias("type"),
+                        field("status").alias("status"), field("date|year|completed").alias("date"), field("general contractor|gc").alias("gc_name"),
+                        F.get(anchors(b["html"]), F.lit(0))["href"].alias("url"))
+
+    rows = F.transform(text_blocks(html, section), record)
+    return let(rows, lambda all_rows: F.filter(all_rows, lambda r, i: F.array_position(F.transform(all_rows, lambda x: x["name"]), r["name"]) == i + 1))
+
+
+def json_ld_nodes(pages: DataFrame) -> DataFrame:
+    """``(page_id, place, node)``: every object with a name, phone, email or address in a page's JSON-LD, however deep it lies.
+
+    Blocks are parsed as VARIANT and opened level by level until no object or array is left; blocks that
+    are no JSON are left out. ``place`` is the path of the node, which keeps the order of the page.
+    """
+    blocks = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    spark = pages.sparkSession
+    level = pages.select("page_id", F.posexplode(blocks).alias("pos", "block")).select(
+        "page_id", F.array(F.col("pos").cast("int")).alias("place"), F.try_parse_json("block").alias("node")).filter(F.col("node").isNotNull())
+    open_, levels = F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)"), []
+    while True:
+        level = level.filter(open_)
+        levels.append(level)
+        if level.isEmpty():
+            break
+        below = spark.tvf.variant_explode(F.col("node").outer())
+        level = level.lateralJoin(below).select("page_id", F.concat("place", F.array(F.col("pos").cast("int"))).alias("place"), F.col("value").alias("node"))
+    every = functools.reduce(DataFrame.unionByName, levels)
+    told = F.coalesce(*[F.try_variant_get("node", f"$.{k}", "string") for k in ("name", "telephone", "email", "address")])
+    return every.filter(F.schema_of_variant("node").startswith("OBJECT") & (F.coalesce(told, F.lit("")) != ""))
+
+
+def business_nodes(pages: DataFrame, name: Column, identity: Column) -> DataFrame:
+    """``(page_id, name, url, telephone, email, street, city, state, zip)``: the first node of each page that has the
+    expected id in its URLs or the expected name."""
+    def norm(c: Column) -> Column:
+        return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+    def get(path: str) -> Column:
+        return F.try_variant_get("node", path, "string")
+
+    def first(path: str) -> Column:
+        """The value, or the first of several."""
+        return blank_to_null(F.coalesce(F.try_variant_get("node", f"{path}[0]", "string"), get(path)))
+
+    expected = pages.select("page_id", name.alias("_name"), identity.alias("_id"))
+    rows = json_ld_nodes(pages).join(expected, "page_id")
+    urls = F.concat_ws(" ", get("$.url"), get("$['@id']"), get("$.sameAs"))
+    fits = F.coalesce(F.contains(urls, F.col("_id")), F.lit(False)) | F.coalesce(norm(get("$.name")) == norm(F.col("_name")), F.lit(False))
+    address = {n: F.coalesce(get(f"$.address[0].{p}"), get(f"$.address.{p}")) for n, p in (("street", "streetAddress"), ("city", "addressLocality"), ("state", "addressRegion"), ("zip", "postalCode"))}
+    found = rows.filter(fits).select("page_id", "place", get("$.name").alias("name"), get("$.url").alias("url"), first("$.telephone").alias("telephone"),
+                                     F.regexp_replace(first("$.email"), "^mailto:", "").alias("email"), *[blank_to_null(c).alias(n) for n, c in address.items()])
+    rest = [c for c in found.columns if c not in ("page_id", "place")]
+    best = found.groupBy("page_id").agg(F.min_by(F.struct(*rest), "place").alias("_b"))
+    return best.select("page_id", *[F.col(f"_b.{c}") for c in rest])
+
+
 def awardee(line: Column) -> Column:
     """What follows the first colon, ``is`` or ``to`` of an award line, else the line itself."""
     shape = r"^.*?(?::|\b(?:is|to)\b)\s*(.*)$"

@@ -185,7 +185,7 @@ def ingest_fields(records: DataFrame) -> DataFrame:
         return blank_to_null(cut(value, FIELD_LENGTHS[name])) if name in FIELD_LENGTHS and not whole else blank_to_null(F.trim(value))
 
     names = list(dict.fromkeys([*FIELD_LENGTHS, "record_kind", "description"]))
-    passthrough = [c for c in ("ordinal", "run_id") if c in have]
+    passthrough = [c for c in ("ordinal", "run_id", "department_id", "dataset_id") if c in have]
     out = records.select(
         *passthrough, *[field(n).alias(n) for n in names], field("external_id", whole=True).alias("_whole_id"),
         (F.col("extra") if "extra" in have else F.expr("cast(map() as map<string, string>)")).alias("extra"),

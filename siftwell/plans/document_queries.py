@@ -279,3 +279,85 @@ def contact_info(e: Entities) -> DataFrame:
     text = F.concat("text", F.lit(" see https://facebook.com/x, www.firm"), "doc_id", F.lit(".com/a."))
     found = e.documents.select("doc_id", X.contact_info(text).alias("c"))
     return found.filter(F.col("c.email").isNotNull()).select("doc_id", "c.email", "c.website")
+
+
+# --- pages whose template varies by key ------------------------------------------------------
+def people_pages(e: Entities) -> DataFrame:
+    """Roles and names in one line in either order, on lines that follow each other, several names of a role, and lines that name nobody."""
+    k = F.col("org_id")
+    line = (F.when(k % 5 == 0, F.concat(F.lit("<p>President</p><p>Jane Doe and Bob Ray</p><p>(212) 555-0"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("</p>")))
+            .when(k % 5 == 1, F.lit("<div>Estimator: Ann Lee; Carl Orr &amp; Dora Poe</div>"))
+            .when(k % 5 == 2, F.concat(F.lit("<li>Eve Fox - Project Manager, eve"), k, F.lit("@firm.com</li>")))
+            .when(k % 5 == 3, F.concat(F.lit("<p>Owner</p><p>(212) 555-0"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("</p>")))
+            .otherwise(F.lit("<p>President of nothing</p><p>Owner</p><p>Gil Hay</p><p>Sales</p>")))
+    return rendered(e.organizations, k.alias("page_id"), F.concat(F.lit("<html><body><main><h1>Team</h1>"), line, F.lit("</main></body></html>")).alias("html"))
+
+
+@plan("page_people_lines", uses="organizations", sql="""
+WITH p AS (SELECT org_id AS page_id, CASE org_id % 5 WHEN 0 THEN [{'n': 'Jane Doe', 't': 'President', 'm': NULL}, {'n': 'Bob Ray', 't': 'President', 'm': NULL}]
+  WHEN 1 THEN [{'n': 'Ann Lee', 't': 'Estimator', 'm': NULL}, {'n': 'Carl Orr', 't': 'Estimator', 'm': NULL}, {'n': 'Dora Poe', 't': 'Estimator', 'm': NULL}]
+  WHEN 2 THEN [{'n': 'Eve Fox', 't': 'Project Manager', 'm': 'eve' || org_id || '@firm.com'}] WHEN 4 THEN [{'n': 'Gil Hay', 't': 'Owner', 'm': NULL}] ELSE [] END AS people FROM organizations)
+SELECT page_id, x.n AS name, x.t AS title, x.m AS email FROM (SELECT page_id, unnest(people) AS x FROM p)""")
+def page_people_lines(e: Entities) -> DataFrame:
+    """Everybody named with a role, over pages of five shapes."""
+    people = X.people_from_lines(X.unique_lines(X.main_text(F.col("html"))))
+    return people_pages(e).select("page_id", F.inline(people)).select("page_id", "name", "title", "email")
+
+
+def section_pages(e: Entities) -> DataFrame:
+    """Places and projects of an organisation: one to three blocks each, with fields that come and go."""
+    k = F.col("org_id")
+    main = F.concat(F.lit("<h3>Head Office</h3><div><p>"), k, F.lit(" Main Street</p><p>"), "org_city", F.lit(", "), "org_state", F.lit(" 12345</p><a href='tel:212-555-"), F.lpad((k % 10000).cast("string"), 4, "0"),
+                    F.lit("'>call</a><strong>Jane Doe</strong><p>Manager</p><p>Main Location</p></div>"))
+    yard = F.when(k % 2 == 0, F.concat(F.lit("<h4>Yard</h4><div><a href='https://yard"), k, F.lit(".com/?utm_source=x'>Visit site</a><a href='tel:212-555-0001' title='fax'>fax</a></div>"))).otherwise(F.lit("<h4>Empty</h4><p>nothing here</p>"))
+    project = F.concat(F.lit("<h3>Bridge "), k, F.lit("</h3><ul><li>Albany, NY</li><li>Type: Road</li>"), F.when(k % 3 == 0, F.lit("<li>Year - 2019</li>")).otherwise(F.lit("<li>General Contractor: Acme</li>")), F.lit("</ul>"))
+    again = F.concat(F.lit("<h3>Bridge "), k, F.lit("</h3><p>Type: Rail</p><h3>Dam</h3><p>Status: Done</p>"))
+    html = F.concat(F.lit("<html><body><h2>Locations</h2>"), main, yard, F.lit("<h2>Project Experience</h2>"), project, again, F.lit("</body></html>"))
+    return rendered(e.organizations, k.alias("page_id"), html.alias("html"))
+
+
+@plan("page_section_records", uses="organizations", sql="""
+SELECT org_id AS page_id, 'location' AS kind, 'Head Office' AS label, org_id || ' Main Street' AS street, org_city AS city, org_state AS state, '12345' AS zip, '+1212555' || lpad(CAST(org_id % 10000 AS VARCHAR), 4, '0') AS phone,
+  NULL AS fax, NULL AS website, 'Jane Doe' AS contact_name, 'Manager' AS contact_title, true AS is_main, NULL AS type, NULL AS status, NULL AS date, NULL AS gc_name FROM organizations
+UNION ALL SELECT org_id, 'location', 'Yard', NULL, NULL, NULL, NULL, NULL, '+12125550001', 'https://yard' || org_id || '.com/', NULL, NULL, false, NULL, NULL, NULL, NULL FROM organizations WHERE org_id % 2 = 0
+UNION ALL SELECT org_id, 'project', 'Bridge ' || org_id, NULL, 'Albany', 'NY', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Road', NULL, CASE WHEN org_id % 3 = 0 THEN '2019' END, CASE WHEN org_id % 3 <> 0 THEN 'Acme' END FROM organizations
+UNION ALL SELECT org_id, 'project', 'Dam', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Done', NULL, NULL FROM organizations""")
+def page_section_records(e: Entities) -> DataFrame:
+    """Places with their contact and projects with their fields, over pages whose blocks vary."""
+    pages = section_pages(e)
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("street", "zip", "phone", "fax", "website", "contact_name", "contact_title", "type", "status", "date", "gc_name")}
+    places = pages.select("page_id", F.inline(X.location_records(F.col("html"))))
+    places = places.select("page_id", F.lit("location").alias("kind"), "label", "street", "city", "state", "zip", "phone", "fax", "website", "contact_name", "contact_title", "is_main",
+                           none["type"], none["status"], none["date"], none["gc_name"])
+    projects = pages.select("page_id", F.inline(X.project_records(F.col("html"))))
+    where = F.split("location", ", ")
+    projects = projects.select("page_id", F.lit("project").alias("kind"), F.col("name").alias("label"), none["street"], F.get(where, F.lit(0)).alias("city"), F.get(where, F.lit(1)).alias("state"), none["zip"],
+                               none["phone"], none["fax"], none["website"], none["contact_name"], none["contact_title"], F.lit(None).cast("boolean").alias("is_main"), "type", "status", "date", "gc_name")
+    return places.unionByName(projects)
+
+
+def structured_pages(e: Entities) -> DataFrame:
+    """JSON-LD of four shapes: a plain object, an array, a graph with the business deep inside, and a broken block before a good one."""
+    k = F.col("org_id")
+
+    def node(*parts):
+        return F.concat(F.lit('{"@type":"LocalBusiness","name":"'), "org_name", F.lit('","telephone":"212-555-'), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit('"'), *parts, F.lit("}"))
+
+    address = F.concat(F.lit('"streetAddress":"'), k, F.lit(' Main St","addressLocality":"'), "org_city", F.lit('","addressRegion":"'), "org_state", F.lit('"'))
+    other = F.lit('{"@type":"WebSite","name":"Directory","url":"https://books.example.com"}')
+    body = (F.when(k % 4 == 0, node(F.lit(',"address":{'), address, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit("["), other, F.lit(","), node(F.lit(',"email":["mailto:a@firm.com","b@firm.com"]')), F.lit("]")))
+            .when(k % 4 == 2, F.concat(F.lit('{"@graph":['), other, F.lit(',{"@type":"ItemPage","mainEntity":{"about":['), node(F.lit(',"address":[{'), address, F.lit("}]")), F.lit("]}}]}")))
+            .otherwise(F.concat(F.lit('{"@id":"https://books.example.com/profile/'), k, F.lit('/x","name":"Renamed","telephone":["212-555-0009","212-555-0010"]}'))))
+    html = F.concat(F.lit("<html><head>"), F.when(k % 3 == 0, F.lit('<script type="application/ld+json">{"name": broken</script>')).otherwise(F.lit("")),
+                    F.lit('<script type="application/ld+json">'), body, F.lit("</script></head></html>"))
+    return rendered(e.organizations, k.alias("page_id"), "org_name", html.alias("html"))
+
+
+@plan("page_structured_data", uses="organizations", sql="""
+SELECT org_id AS page_id, CASE WHEN org_id % 4 = 3 THEN 'Renamed' ELSE org_name END AS name, CASE WHEN org_id % 4 = 3 THEN '212-555-0009' ELSE '212-555-' || lpad(CAST(org_id % 10000 AS VARCHAR), 4, '0') END AS telephone,
+  CASE WHEN org_id % 4 = 1 THEN 'a@firm.com' END AS email, CASE WHEN org_id % 2 = 0 THEN org_id || ' Main St' END AS street, CASE WHEN org_id % 2 = 0 THEN org_city END AS city, CASE WHEN org_id % 2 = 0 THEN org_state END AS state FROM organizations""")
+def page_structured_data(e: Entities) -> DataFrame:
+    """The business of each page, found in nested, repeated and partly broken JSON-LD by name or id."""
+    pages = structured_pages(e)
+    found = X.business_nodes(pages, F.col("org_name"), F.concat(F.lit("/profile/"), "page_id", F.lit("/")))
+    return found.select("page_id", "name", "telephone", "email", "street", "city", "state")

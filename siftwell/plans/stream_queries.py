@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import deliver as D
 from ..session import scratch_folder
-from ..sources.readers import read_store
+from ..sources.store import read_store
 from ..streaming import jobs as T
+from ..streaming import stateful as S
 from .bindings import Entities, as_of
 from .registry import plan
 
@@ -103,3 +104,90 @@ def stream_ingest(e: Entities) -> DataFrame:
     folder = scratch_folder(e.spark, "store")
     T.ingest_stream(records, f"{folder}/tables", as_of(), f"{folder}/checkpoint")
     return read_store(e.spark, f"{folder}/tables").leads.select("identity_key", "title", "version", "contact_name")
+
+
+JOB_LOG_STALE = 12 * 3600
+
+
+@plan("stream_job_lives", sql=f"""
+WITH o AS (SELECT *, lag(ts) OVER w AS before, lag(event_type) OVER w AS kind_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, CASE WHEN before IS NULL OR kind_before = 'purchase' OR kind_before <> 'signup' AND ts - before > INTERVAL {JOB_LOG_STALE} SECOND THEN 1 ELSE 0 END AS begins FROM o),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM s),
+l AS (SELECT user_id AS job_id, life, min(ts) AS started_at, max(ts) AS last, arg_max(event_type, (ts, event_id)) AS kind, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS records,
+  count(*) AS entries, count(*) FILTER (event_type = 'error') AS errors, list('error ' || event_id ORDER BY ts, event_id) FILTER (event_type = 'error') AS texts FROM n GROUP BY 1, 2),
+e AS (SELECT *, CASE WHEN kind = 'purchase' THEN last ELSE last + INTERVAL {JOB_LOG_STALE} SECOND END AS completed_at FROM l
+  WHERE kind = 'purchase' OR kind <> 'signup' AND (life < (SELECT max(life) FROM l x WHERE x.job_id = l.job_id) OR last + INTERVAL {JOB_LOG_STALE} SECOND < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)),
+t AS (SELECT job_id, completed_at, CASE WHEN kind = 'purchase' THEN 'Completed' ELSE 'Failed' END AS status, started_at, records, entries, errors,
+  CASE WHEN kind = 'purchase' THEN coalesce(array_to_string(texts[1:5], '; '), '') ELSE 'stalled: heartbeat timeout' END AS error_message FROM e)
+SELECT entity, entity || ' ' || job_id AS id, status, completed_at, error_message, started_at, records, entries, errors, epoch_us(completed_at) - epoch_us(started_at) AS duration_us
+FROM t, (SELECT unnest(['job', 'run', 'dataset']) AS entity)""")
+def stream_job_lives(e: Entities) -> DataFrame:
+    """Logs of jobs folded into their ends, by status or by silence, and what each end sets for job, run and dataset."""
+    S.use_rocksdb(e.spark)
+    kind, user = F.col("event_type"), F.col("user_id")
+    status = F.when(kind == "purchase", F.lit("Completed")).when(kind == "signup", F.lit("Queued")).when(kind == "view", F.lit("WaitingForUser")).otherwise(F.lit("Running"))
+    log = stream(e, "events").select(
+        user.alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), status.alias("status"), F.floor("value").alias("records"),
+        F.when(kind == "error", F.concat(F.lit("error "), "event_id")).alias("error"), F.concat(F.lit("run "), user).alias("run_id"), F.concat(F.lit("dataset "), user).alias("dataset_id"))
+    ends = drained(e, S.job_lives(log, JOB_LOG_STALE), "lives")
+    told = S.end_cascade(ends).withColumn("job_id", F.substring_index("id", " ", -1).cast("bigint"))
+    facts = ends.select("job_id", F.col("completed_at").alias("_at"), "started_at", "records", "entries", "errors")
+    whole = told.join(facts, (told.job_id == facts.job_id) & (F.col("completed_at") == F.col("_at")))
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("completed_at", "started_at")}
+    duration = F.unix_micros("completed_at") - F.unix_micros("started_at")
+    return whole.select("entity", F.concat_ws(" ", "entity", told.job_id).alias("id"), "status", times["completed_at"].alias("completed_at"), F.coalesce("error_message", F.lit("")).alias("error_message"),
+                        times["started_at"].alias("started_at"), "records", "entries", "errors", duration.alias("duration_us"))
+
+
+FOLLOW_UPS = """
+r AS (SELECT l_orderkey AS session_id, l_orderkey * 10 + l_linenumber AS request_id, l_linenumber > 1 OR l_orderkey % 5 = 0 AS follow_up, l_orderkey AS job_id, min(l_shipdate) AS asked_at,
+  CASE WHEN l_linenumber = 1 AND l_orderkey % 10 = 0 THEN l_orderkey * 10 + 2 WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 3 AND l_orderkey % 7 = 0 THEN l_orderkey * 10 + 9 ELSE l_orderkey * 10 + l_linenumber - 1 END AS parent_id
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+j AS (SELECT o_orderkey AS job_id, o_orderdate AS finished_at, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'Partial' ELSE 'Running' END AS status FROM orders)"""
+
+
+def follow_up_requests(lines: DataFrame) -> DataFrame:
+    """Lines of an order as requests that follow up each other; some chains break, some run in a circle, some have no original."""
+    key, n = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
+    parent = F.when((n == 1) & (key % 10 == 0), key * 10 + 2).when((n == 3) & (key % 7 == 0), key * 10 + 9).when(n != 1, key * 10 + n - 1)
+    return lines.select(key.alias("session_id"), (key * 10 + n).alias("request_id"), parent.alias("parent_id"), ((n > 1) | (key % 5 == 0)).alias("follow_up"),
+                        key.alias("job_id"), F.col("l_shipdate").cast("timestamp").alias("asked_at"))
+
+
+def finished_orders(orders: DataFrame) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", F.lit("Completed")).when(F.col("o_orderstatus") == "P", F.lit("Partial")).otherwise(F.lit("Running"))
+    return orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("finished_at"), status.alias("status"))
+
+
+_ROOTS = """
+w AS (SELECT request_id, request_id AS cur, 0 AS d FROM r UNION ALL SELECT w.request_id, r.parent_id, d + 1 FROM w JOIN r ON r.request_id = w.cur WHERE r.follow_up AND r.parent_id IS NOT NULL AND d < 20),
+a AS (SELECT w.request_id, r.request_id AS root FROM w JOIN r ON r.request_id = w.cur WHERE NOT r.follow_up)"""
+
+
+@plan("stream_resolved_completions", sql=f"""
+WITH RECURSIVE {FOLLOW_UPS}, {_ROOTS}
+SELECT DISTINCT a.root AS request_id, j.job_id, j.status, sha256(j.job_id || ':' || a.root) AS event_id FROM j JOIN r USING (job_id) JOIN a ON a.request_id = r.request_id WHERE j.status <> 'Running'""")
+def stream_resolved_completions(e: Entities) -> DataFrame:
+    """Completions of finished jobs for the originals behind their follow-ups, from two streams."""
+    S.use_rocksdb(e.spark)
+    found = S.resolved_completions(finished_orders(stream(e, "orders")), follow_up_requests(stream(e, "lineitem")), horizon_seconds=4000 * 86400)
+    return drained(e, found, "resolved")
+
+
+@plan("resolved_completions", sql=f"""
+WITH RECURSIVE {FOLLOW_UPS}, {_ROOTS},
+e AS (SELECT DISTINCT a.root AS request_id, j.job_id, j.status FROM j JOIN r USING (job_id) JOIN a ON a.request_id = r.request_id WHERE j.status <> 'Running'),
+q AS (SELECT request_id, job_id, status, request_id % 6 + 1 AS quantity, request_id % 3 <> 0 AS new_only, request_id % 4 <> 0 AS served, request_id % 3 AS returned FROM e),
+t AS (SELECT *, greatest(0, quantity - CASE WHEN new_only AND served THEN returned ELSE 0 END) AS target FROM q),
+m AS (SELECT t.request_id, l_partkey AS lead_id, min(l_linenumber) AS place, any_value(target) AS target, any_value(new_only) AS new_only FROM t JOIN lineitem ON l_orderkey = job_id GROUP BY 1, 2),
+f AS (SELECT request_id, lead_id, target, row_number() OVER (PARTITION BY request_id ORDER BY place, lead_id) AS position FROM m WHERE NOT (new_only AND lead_id % 4 = 0))
+SELECT t.request_id, t.job_id, t.status, f.lead_id, f.position FROM t JOIN f USING (request_id) WHERE f.position <= f.target""")
+def resolved_completions(e: Entities) -> DataFrame:
+    """The batch twin, with the rows each completion delivers: those served before are left out where only new ones are wanted."""
+    events = D.resolved_completions(finished_orders(e.orders), follow_up_requests(e.lineitem).dropDuplicates(["request_id"]))
+    k = F.col("request_id")
+    asked = events.select("request_id", "job_id", "status", (k % 6 + 1).alias("quantity"), (k % 3 != 0).alias("new_only"),
+                          F.when(k % 4 != 0, as_of()).alias("served_at"), (k % 3).alias("records_returned"))
+    matches = asked.join(e.lineitem, asked.job_id == F.col("l_orderkey")).groupBy("request_id", F.col("l_partkey").alias("lead_id")).agg(F.min("l_linenumber").alias("place"))
+    rows = D.completion_rows(asked, matches, matches.filter("lead_id % 4 = 0"), F.lit(0))
+    return rows.join(asked.select("request_id", "job_id", "status"), "request_id").select("request_id", "job_id", "status", "lead_id", "position")

@@ -1,65 +1,130 @@
-"""Source adapters: a Spark data source over collected record files, and standardiser settings.
+"""Source adapters: a Spark data source over collected record files.
 
-``spark.read.format("collected")`` and ``readStream`` give ``(ordinal, source_code, raw)`` rows
-from files of JSON lines in a folder all executors can see. Nothing is fetched from the network.
+``spark.read.format("collected")`` and ``readStream`` give ``(ordinal, source_code, raw)`` rows from
+folders of JSON lines. The folder may be on any file system that Arrow opens (a local path,
+``file://``, ``hdfs://``, ``s3://``, ...). Nothing is fetched from the network.
+
+The ordinal puts records in order of arrival: the number of the file in the order in which files came,
+and the byte at which the line begins. Large files are read in ranges of ``range_bytes`` by several tasks.
+
+A stream keeps a log of the files it has seen, in the folder named by the option ``log``, which must be
+as lasting as the checkpoint. An entry has path, modification time and size; the offset is the number of
+entries, so late files get later offsets whatever their names are, and a replayed batch reads the same
+files. A file that has changed is a new arrival. Files should be moved into the folder whole.
 """
 
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import RAW_SCHEMA
 
+LINE_BITS = 36  # of the ordinal, for the place in a file
+RANGE_BYTES = 64 << 20
+
+
+def _opened(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _listed(folder: str) -> list[tuple[str, int, int]]:
+    """``(path, modification time in ns, size)`` of the record files of a folder by time and name."""
+    from pyarrow import fs
+
+    system, root = _opened(folder)
+    infos = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    found = [(i.path, int(i.mtime_ns or 0), i.size) for i in infos if i.type == fs.FileType.File and i.path.endswith(".jsonl")]
+    return sorted(found, key=lambda f: (f[1], f[0]))
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
 
+class _Range(InputPartition):
+    def __init__(self, number: int, path: str, start: int, end: int):
+        self.number, self.path, self.start, self.end = number, path, start, end
 
-def _files(folder: str) -> list[str]:
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".jsonl"))
 
+def _ranges(number: int, path: str, size: int, range_bytes: int) -> list[_Range]:
+    return [_Range(number, path, at, min(at + range_bytes, size)) for at in range(0, size, range_bytes)]
 
-def _rows(path: str, source: str):
-    with open(path, encoding="utf-8") as lines:
-        for number, line in enumerate(lines):
+
+def _rows(folder: str, source: str, part: _Range) -> Iterator[tuple[int, str, dict]]:
+    """The records whose lines begin inside the range."""
+    system, _ = _opened(folder)
+    with system.open_input_file(part.path) as raw:
+        at = max(part.start - 1, 0)
+        raw.seek(at)
+        if part.start:
+            at += len(raw.readline())  # the rest of a line that begins before the range, or just its end
+        while at < part.end:
+            line = raw.readline()
+            if not line:
+                return
             if line.strip():
                 record = json.loads(line)
-                raw = {k: v if isinstance(v, str) or v is None else json.dumps(v, sort_keys=True) for k, v in record.items()}
-                yield number, raw.get("source_code") or source, raw
+                fields = {k: v if isinstance(v, str) or v is None else json.dumps(v, sort_keys=True) for k, v in record.items()}
+                yield (part.number << LINE_BITS) + at, fields.get("source_code") or source, fields
+            at += len(line)
 
 
-class _Reader(DataSourceReader):
+class _Options:
     def __init__(self, options):
         self.folder, self.source = options["path"], options.get("source", "unknown")
-
-    def partitions(self):
-        return [_File(p) for p in _files(self.folder)]
+        self.range_bytes, self.log = int(options.get("range_bytes", RANGE_BYTES)), options.get("log")
 
     def read(self, partition):
-        return _rows(partition.path, self.source)
+        return _rows(self.folder, self.source, partition)
+
 
+class _Reader(_Options, DataSourceReader):
+    def partitions(self):
+        return [r for n, (path, _, size) in enumerate(_listed(self.folder)) for r in _ranges(n, path, size, self.range_bytes)]
 
-class _StreamReader(DataSourceStreamReader):
-    """Files in name order; the offset is the number of files already read. Executors read the files."""
 
+class _StreamReader(_Options, DataSourceStreamReader):
     def __init__(self, options):
-        self.folder, self.source = options["path"], options.get("source", "unknown")
+        super().__init__(options)
+        if not self.log:
+            raise ValueError("a stream of collected files needs the option log, a folder that lasts as long as the checkpoint")
+        self.entries = self._read_log()
+
+    def _read_log(self) -> list[tuple[str, int, int]]:
+        """All entries in order. Every file of the log is named by the number of its first entry."""
+        from pyarrow import fs
+
+        system, root = _opened(self.log)
+        system.create_dir(root, recursive=True)
+        names = sorted(i.path for i in system.get_file_info(fs.FileSelector(root)) if i.path.endswith(".json"))
+        entries: list[tuple[str, int, int]] = []
+        for name in names:
+            with system.open_input_stream(name) as part:
+                entries += [tuple(e) for e in json.loads(part.read())]
+        return entries
 
     def initialOffset(self):
         return {"files": 0}
 
     def latestOffset(self):
-        return {"files": len(_files(self.folder))}
+        seen = set(self.entries)
+        fresh = [f for f in _listed(self.folder) if f not in seen]
+        if fresh:
+            system, root = _opened(self.log)
+            name = f"{root}/{len(self.entries):012d}"
+            with system.open_output_stream(f"{name}.writing") as part:
+                part.write(json.dumps(fresh).encode())
+            system.move(f"{name}.writing", f"{name}.json")
+            self.entries += fresh
+        return {"files": len(self.entries)}
 
     def partitions(self, start, end):
-        return [_File(p) for p in _files(self.folder)[start["files"]:end["files"]]]
-
-    def read(self, partition):
-        return _rows(partition.path, self.source)
+        if end["files"] > len(self.entries):
+            self.entries = self._read_log()
+        return [r for n in range(start["files"], end["files"])
+                for r in _ranges(n, self.entries[n][0], self.entries[n][2], self.range_bytes)]
 
     def commit(self, end):
         pass

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_keyword
-from ..operators.merge import STORE_SCHEMAS, LeadStore
 from ..schemas import CANONICAL_SCHEMA, WIDE_SCHEMA
 
 
@@ -79,17 +78,3 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str, key: str, low: in
     """Canonical table from a database, read in parallel by key ranges."""
     return (spark.read.format("jdbc").option("url", url).option("dbtable", table).option("partitionColumn", key)
             .option("lowerBound", low).option("upperBound", high).option("numPartitions", partitions).load())
-
-
-def read_store(spark: SparkSession, folder: str, below: int | None = None) -> LeadStore:
-    """The canonical tables below ``folder`` in their newest versions; absent tables are empty.
-
-    ``below`` asks for the state before that version, whatever was written since.
-    """
-    from .sinks import current_version
-
-    tables = {}
-    for name, schema in STORE_SCHEMAS.items():
-        path = current_version(spark, f"{folder}/{name}", below)
-        tables[name] = spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
-    return LeadStore(**tables)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.deliver import delivery_ranks, new_deliveries
-from ..operators.merge import LeadStore
 
 
 def _files(spark: SparkSession, path: str):
@@ -55,17 +53,6 @@ def write_version(df: DataFrame, table: str, version: int, unique: Sequence[str]
     return path
 
 
-STORE_KEYS = {"leads": ["identity_key"], "organizations": ["dedup_key"], "contacts": ["org_id", "full_name_key"],
-              "emails": ["email", "org_id", "contact_key"], "phones": ["phone", "org_id", "contact_key"],
-              "locations": ["org_id", "city", "state"], "lead_sources": ["source_code", "external_id"]}
-
-
-def write_store(store: LeadStore, folder: str, version: int) -> None:
-    """All canonical tables under one version number."""
-    for field in dataclasses.fields(store):
-        write_version(getattr(store, field.name), f"{folder}/{field.name}", version, STORE_KEYS[field.name])
-
-
 def record_delivery(requests: DataFrame, records: DataFrame, position: Column, served_at: Column, path: str) -> DataFrame:
     """Freeze displayed values and order once, appended by delivery date.
 
@@ -113,4 +100,4 @@ def merge_into(target_table: str, source: DataFrame, key: str) -> None:
 
 
 __all__ = ["current_version", "merge_into", "record_delivery", "upsert_field_maps", "versions", "write_csv",
-           "write_log_lines", "write_store", "write_version"]
+           "write_log_lines", "write_version"]

@@ -11,27 +11,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.keys import joined_hash
 from ..operators.jobs import state_changes
-from ..operators.merge import upsert_store
 from ..operators.ordered import last_rows
 from ..operators.standardize import ingest_fields
-from ..sources.readers import read_store
-from ..sources.sinks import current_version, write_store, write_version
+from ..sources import store
+from ..sources.sinks import current_version, write_version
 
 
-def ingest_stream(records: DataFrame, folder: str, as_of: Column, checkpoint: str):
-    """Upsert every micro-batch into the versioned tables below ``folder``.
+def ingest_stream(records: DataFrame, folder: str, as_of: Column, checkpoint: str, buckets: int = 64):
+    """Upsert every micro-batch into the bucketed store below ``folder`` (see ``sources.store``).
 
-    The version number is the batch id plus one. A batch that is replayed after a failure reads
-    the version before it again and writes the same version, so nothing is counted twice. On
-    tables with row-level changes ``sources.sinks.merge_into`` replaces the rewrite.
+    The version number is the batch id plus one. A batch reads and writes the buckets of its own keys
+    only. One that is replayed before its commit writes the same version again from the state before
+    it; one that is replayed after its commit changes nothing.
     """
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        before = read_store(batch.sparkSession, folder, below=version)
         rows = ingest_fields(batch).persist()  # read by every table
-        store, _ = upsert_store(before, rows, as_of)
-        write_store(store, folder, version)
+        store.upsert_records(rows, folder, batch_id + 1, as_of, buckets=buckets)
         rows.unpersist()
 
     return drain(records, upsert_batch, checkpoint)

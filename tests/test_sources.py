@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.fixed_values import WIDE_COLUMNS
 from siftwell.operators import govern, planning
 from siftwell.operators.standardize import ingest_fields, project_source, reindex, schema_errors, split_valid, wide_record_errors
-from siftwell.sources import readers, sinks
+from siftwell.sources import readers, sinks, store
 from siftwell.sources.adapter import CollectedRecords
 from siftwell.streaming import jobs as T
 from tests.test_merge import RAW, at, empty_store, opportunity
@@ -76,10 +76,62 @@ def test_store_round_trip(spark, tmp_path):
     from siftwell.operators.merge import upsert_store
 
     rows = ingest_fields(spark.createDataFrame([opportunity(1, "a"), opportunity(2, "b")], RAW))
-    store, _ = upsert_store(empty_store(spark), rows, at(1))
-    sinks.write_store(store, str(tmp_path), 1)
-    again = readers.read_store(spark, str(tmp_path))
+    whole, _ = upsert_store(empty_store(spark), rows, at(1))
+    store.write_store(whole, str(tmp_path), 1, buckets=4)
+    again = store.read_store(spark, str(tmp_path))
     assert again.leads.count() == 2 and again.lead_sources.count() == 2
+    with pytest.raises(FileExistsError):
+        store.commit(spark, str(tmp_path), store.manifest(spark, str(tmp_path)))
+
+
+def tables_of(found):
+    return {name: sorted(repr(r) for r in getattr(found, name).drop("last_seen_at", "first_seen_at", "seen_at").collect()) for name in store.STORE_SCHEMAS}
+
+
+def test_batches_write_only_their_buckets(spark, tmp_path):
+    """Three batches into buckets give the tables that one store in memory gives; the third one touches few buckets."""
+    from siftwell.operators.merge import upsert_store
+
+    folder, whole = str(tmp_path / "s"), empty_store(spark)
+    batches = [[opportunity(i, f"x{i}", contact=f"Jane {i % 7}", email=f"j{i}@acme.com", org=f"Org {i % 9}") for i in range(60)],
+               [opportunity(i, f"x{i}", title="changed", org=f"Org {i % 9}") for i in range(50, 80)], [opportunity(1, "x1", title="third", org="Org 1")]]
+    for number, rows in enumerate(batches, 1):
+        made = ingest_fields(spark.createDataFrame(rows, RAW)).withColumns({"run_id": F.lit(f"r{number}"), "dataset_id": F.lit(f"d{number}")})
+        outcomes = store.upsert_records(made, folder, number, at(number), buckets=16)
+        whole, expected = upsert_store(whole, made, at(number))
+        assert outcomes.collect() == expected.collect()
+    assert tables_of(store.read_store(spark, folder)) == tables_of(whole)
+    assert tables_of(store.read_store(spark, folder, below=2)) != tables_of(whole)
+    written = {name: len(list((tmp_path / "s" / name).glob("v=00000003/bucket=*"))) for name in store.STORE_SCHEMAS}
+    assert written["leads"] == written["lead_sources"] == written["organizations"] == 1 and sum(written.values()) <= 7
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / "s" / "leads").glob(f"v={v:08d}/*/part-*"))
+    assert 0 < 5 * size(3) < size(1)
+    lead = store.read_store(spark, folder).leads.filter("title = 'third'").collect()[0]
+    assert (lead.version, lead.run_id, lead.dataset_id, lead.contact_id is not None) == (2, "r3", "d1", True)
+    assert store.read_store(spark, folder).dataset_records.filter(F.col("identity_key") == lead.identity_key).count() == 2
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "s")
+    made = lambda n, title="Bid": ingest_fields(spark.createDataFrame([opportunity(i, f"x{i}", title=title) for i in range(n)], RAW))
+    store.upsert_records(made(10), folder, 1, at(1), buckets=4)
+    before = tables_of(store.read_store(spark, folder))
+
+    def fall(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "commit", fall)
+    with pytest.raises(RuntimeError):
+        store.upsert_records(made(20, "new"), folder, 2, at(2))
+    monkeypatch.undo()
+    assert tables_of(store.read_store(spark, folder)) == before
+    assert store.upsert_records(made(20, "new"), folder, 2, at(2)).collect()[0].updated == 10
+    after = tables_of(store.read_store(spark, folder))
+    assert store.upsert_records(made(20, "new"), folder, 2, at(3)) is None  # a replay
+    assert tables_of(store.read_store(spark, folder)) == after
+    store.upsert_records(made(1, "newest"), folder, 3, at(3))
+    assert store.vacuum(spark, folder, keep=1) > 0 and store.vacuum(spark, folder, keep=1) == 0
+    assert store.read_store(spark, folder).leads.count() == 20 and store.committed(spark, folder) == [3]
 
 
 def test_delivery_is_frozen_once(spark, tmp_path):
@@ -103,22 +155,56 @@ def write_lines(folder, name, rows):
     (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
 
 
-def test_collected_records_batch_and_stream(spark, tmp_path):
+def test_collected_records_in_ranges(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     write_lines(folder, "1.jsonl", [{"source_code": "a", "title": "t1", "tags": ["x"]}, {"title": "t2"}])
+    write_lines(folder, "0.jsonl", [{"title": f"é{i}", "pad": "x" * (i % 50)} for i in range(200)])
+    (folder / "notes.txt").write_text("no record")
+    spark.dataSource.register(CollectedRecords)
+    whole = spark.read.format("collected").option("source", "dflt").load(str(folder)).collect()
+    assert len(whole) == 202 and {(r.source_code, r.raw["title"]) for r in whole} >= {("a", "t1"), ("dflt", "t2"), ("dflt", "é7")}
+    for size in (1, 37, 100):
+        parts = spark.read.format("collected").option("source", "dflt").option("range_bytes", size).load(f"file://{folder}").collect()
+        assert sorted(parts) == sorted(whole)
+    lines = [r.raw["title"] for r in sorted(whole)]
+    assert lines == ["t1", "t2"] + [f"é{i}" for i in range(200)]
+
+
+def test_collected_stream_reads_late_names_and_changed_files(spark, tmp_path):
+    """An earlier name that comes late, two files in one batch, a file written again, a restart, a replay."""
+    import os
+
+    folder = tmp_path / "in"
+    folder.mkdir()
     spark.dataSource.register(CollectedRecords)
-    rows = spark.read.format("collected").option("source", "dflt").load(str(folder)).collect()
-    assert sorted((r.source_code, r.raw["title"]) for r in rows) == [("a", "t1"), ("dflt", "t2")]
-    seen = []
-    stream = spark.readStream.format("collected").option("source", "dflt").load(str(folder))
-    query = stream.writeStream.foreachBatch(lambda df, i: seen.extend(r.raw["title"] for r in df.collect())).option(
-        "checkpointLocation", f"{tmp_path}/cp").start()
-    query.processAllAvailable()
-    write_lines(folder, "2.jsonl", [{"title": "t3"}])
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(seen) == ["t1", "t2", "t3"]
+    batches: list[tuple[int, list[str]]] = []
+
+    def run(fail=False):
+        def sink(df, i):
+            batches.append((i, [r.raw["title"] for r in sorted(df.collect())]))
+            if fail:
+                raise RuntimeError("lost")
+
+        stream = spark.readStream.format("collected").option("log", f"{tmp_path}/log").load(str(folder))
+        T.drain(stream, sink, f"{tmp_path}/cp")
+
+    write_lines(folder, "b.jsonl", [{"title": "b1"}, {"title": "b2"}])
+    os.utime(folder / "b.jsonl", (100, 100))
+    write_lines(folder, "c.jsonl", [{"title": "c1"}])
+    os.utime(folder / "c.jsonl", (90, 90))
+    run()
+    write_lines(folder, "a.jsonl", [{"title": "a1"}])
+    with pytest.raises(Exception):
+        run(fail=True)
+    write_lines(folder, "0.jsonl", [{"title": "late"}])  # comes between the failure and the replay
+    run()
+    write_lines(folder, "b.jsonl", [{"title": "b1"}, {"title": "b2"}, {"title": "b3"}])
+    run()
+    told = [b for b in batches if b[1]]
+    assert told[0] == (0, ["c1", "b1", "b2"])
+    assert [t for _, t in told[1:3]] == [["a1"], ["a1"]] and told[1][0] == told[2][0]
+    assert [t for _, t in told[3:]] == [["late"], ["b1", "b2", "b3"]]
 
 
 def test_ingest_stream_over_two_files_and_a_replay(spark, tmp_path):
@@ -131,9 +217,9 @@ def test_ingest_stream_over_two_files_and_a_replay(spark, tmp_path):
     T.ingest_stream(stream, f"{tmp_path}/store", at(1), f"{tmp_path}/cp")
     write("2.json", [opportunity(i, f"x{i}", title="changed") for i in range(3, 8)])
     T.ingest_stream(stream, f"{tmp_path}/store", at(2), f"{tmp_path}/cp")
-    first = {r.identity_key: r.version for r in readers.read_store(spark, f"{tmp_path}/store").leads.collect()}
+    first = {r.identity_key: r.version for r in store.read_store(spark, f"{tmp_path}/store").leads.collect()}
     assert len(first) == 8 and sorted(first.values()) == [1] * 6 + [2] * 2
-    assert readers.read_store(spark, f"{tmp_path}/store", below=2).leads.count() == 5
+    assert store.read_store(spark, f"{tmp_path}/store", below=2).leads.count() == 5
 
 
 def test_heartbeat_reaper(spark, tmp_path):
