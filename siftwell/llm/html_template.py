@@ -7,8 +7,8 @@ sums combine before the shuffle. Classes of at least two tokens on enough of the
 valid; ordered by place they nest into the host's template, which is bounded by the length of a page.
 Extraction removes the template's text, drops the slots whose surroundings say that they are menus,
 headers, footers, side bars, notices, adverts, forms or comments, and joins what is left. Text inside
-an ``article`` counts as template only under stricter limits, so that copies of one article on a small
-host stay whole.
+an ``article`` counts as template only under stricter limits, and only where the template makes up the
+lesser part of the article, so that near copies of one article stay whole on a host of any size.
 
 Results for odd input: a null page counts as empty and has the empty text; pages without a host share
 one; repeated rows are all returned, and count as pages of their host; an empty table gives an empty
@@ -183,8 +183,9 @@ class Known(NamedTuple):
 def main_text(page: str, template: dict[int, Known]) -> str:
     """The text of the page's slots, without those beside the main text.
 
-    Template tokens are followed in their order; what lies between two of them is a slot. Where a
-    page marks no article, slots that consist of links are taken for menus, whatever they are called.
+    Template tokens are followed in their order; what lies between two of them is a slot. If most of the
+    text inside an article is on most pages of the host, the page is a near copy of others, and all of its
+    article stays: only a lesser part of an article counts as template. Where a page marks no article, slots that consist of links are taken for menus, whatever they are called.
     """
     runs, tokens = parse(page)
     slot_of, fixed, slot, reached = [0] * (len(tokens) + 1), set(), 0, -1.0
@@ -203,7 +204,7 @@ def main_text(page: str, template: dict[int, Known]) -> str:
             continue
         varies = {run.block for run in inside if run.token and not (run.place in fixed and (not rank or template[run.token].strict))}
         own = [run for run in inside if run.block in varies]  # a block goes if all of its text is the template's
-        if rank and not any(run.token for run in own):
+        if rank and 2 * sum(len(run.text.strip()) for run in own) < sum(len(run.text.strip()) for run in inside):
             own = inside
         if not rank:
             linked: dict[tuple, bool] = {}

@@ -48,6 +48,19 @@ def test_copies_of_an_article_stay_whole(spark):
     assert {r.text for r in html_template.extract(pages).collect()} == {"A Same text"}
 
 
+@pytest.mark.parametrize("copies, others", [(9, 0), (10, 0), (20, 0), (200, 3)])
+def test_near_copies_of_an_article_stay_whole(spark, copies, others):
+    """Heading, date and a block in the middle differ; a host of any size keeps what the copies share, and other articles lose its line."""
+    same = [f"Paragraph {k} of the report tells what everybody has read in all the other papers as well." for k in range(6)]
+    parts = lambda i: [f"Title number {i}", f"On day {i}", *same[:3], f"Our own words {i} and some more of them {i * 7}", *same[3:], "Published by the press"]
+    page = lambda texts: "<body><nav>menu</nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article><footer>foot</footer></body>"
+    rows = [(i, f"http://h.example/{i}", page(parts(i))) for i in range(copies)]
+    rows += [(1000 + i, f"http://h.example/o{i}", page([f"Another story {i} with {i} own words of its own kind and length {i * 3}", "Published by the press"])) for i in range(others)]
+    got = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(parts(i)) for i in range(copies))
+    assert all("Published" not in got[1000 + i] and "Another story" in got[1000 + i] for i in range(others))
+
+
 def test_pages_odd_input(spark):
     rows = [(1, None, None), (2, "no url", ""), (None, "http://a/", "plain text"), (3, "http://a/", "<p>a<b"), (3, "http://a/", "<p>a<b"),
             (4, "http://a/", "<p title='x>unclosed"), (5, "http://a/", "<script>never ends"), (6, "http://a/", "</div></p>x < y &bogus; &#x41;"), (7, "http://a/", "<p>" + "w " * 100_000)]
