@@ -27,11 +27,8 @@ b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 l AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM d)),
 h AS (SELECT doc_id, source, md5(line) AS line, len(string_split(line, ' ')) AS words FROM l WHERE line <> ''),
-m AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM (SELECT DISTINCT doc_id, line FROM h)),
-u AS (SELECT DISTINCT h.doc_id, h.source, h.line, CASE WHEN a.line <> h.line THEN a.line ELSE b2.line END AS mark
-  FROM h LEFT JOIN m a ON a.doc_id = h.doc_id AND a.k = 1 LEFT JOIN m b2 ON b2.doc_id = h.doc_id AND b2.k = 2),
-s AS (SELECT source, line, sum(n) AS documents, max(n) AS largest FROM (SELECT source, line, mark, count(*) AS n FROM u GROUP BY ALL) GROUP BY ALL),
-q AS (SELECT source, line FROM s WHERE documents > 20 AND largest <= 0.5 * documents),
+m AS (SELECT doc_id, md5(string_agg(line, ',' ORDER BY line)) AS mark FROM (SELECT DISTINCT doc_id, line FROM h) GROUP BY doc_id),
+q AS (SELECT source, line FROM h JOIN m USING (doc_id) GROUP BY ALL HAVING count(DISTINCT mark) > 20),
 e AS (SELECT doc_id FROM h LEFT JOIN (SELECT source, line, true AS above FROM q) z USING (source, line) GROUP BY doc_id
   HAVING sum(CASE WHEN above IS NULL THEN words ELSE 0 END) < 0.2 * sum(words))
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND e.doc_id IS NULL AS kept FROM f LEFT JOIN e ON f.doc_id = e.doc_id"""

@@ -157,6 +157,27 @@ def test_line_frequency_spares_copies_and_rejects_depleted(spark):
     assert {r.doc_id for r in line_rules.keep_good(docs).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_line_sql_where_the_rule_bites(spark):
+    """Blocks of shared lines, copies, and hosts apart: Spark and SQL reject the same documents, some of them."""
+    import duckdb
+
+    from siftwell.llm.oracles import LINE_FREQUENCY
+    from tests.compare import differences
+
+    random.seed(12)
+    some = lambda n: " ".join("".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(3)) for _ in range(n))
+    feet, tale = {h: [some(12) for _ in range(9)] for h in "ab"}, "\n".join(some(11) for _ in range(9))
+    rows = [(100 * k + i, "\n".join([*random.sample(feet[h], 8), some(random.choice([5, 60]))]), h) for k, h in enumerate("ab") for i in range(30 if h == "a" else 15)]
+    rows += [(1000 + i, tale, "a") for i in range(40)] + [(2000, None, "a"), (2001, "", None), (2002, f"  {tale.upper()} ", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    verdicts = line_rules.quality_rules(docs)
+    assert differences(verdicts, con, LINE_FREQUENCY) == []
+    kept = {r.doc_id for r in verdicts.collect() if r.kept}
+    assert 0 < len(kept & set(range(30))) < 30 and kept >= set(range(100, 115)) and kept >= set(range(1000, 1040))
+
+
 def test_line_frequency_of_blocks_and_a_dominant_copy(spark):
     random.seed(9)
     some = lambda n: " ".join("".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(3)) for _ in range(n))
