@@ -401,21 +401,23 @@ def contact_link(org_id: Column, full_name_key: Column) -> Column:
     return joined_hash(F.coalesce(org_id, F.lit("")), full_name_key)
 
 
-def arriving_rows(sightings: DataFrame, records: DataFrame, as_of: Column) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """All ingest rows with their identity, and for each table of the store the rows that arrive, with its keys.
-
-    ``sightings`` needs the known sightings of these records only.
-    """
+def resolved_rows(sightings: DataFrame, records: DataFrame) -> DataFrame:
+    """All ingest rows with their identity, organisation and links. ``sightings`` needs the known ones of these records only."""
     known = sightings.select("source_code", "external_id", "identity_key")
     contact_key = F.lower(F.trim("contact_name"))
-    rows = resolve_aliases(records, known).withColumns({
+    return resolve_aliases(records, known).withColumns({
         "org_id": F.col("org_dedup"), "email": F.coalesce("norm_email", "email"),
         "phone": F.coalesce("norm_phone", "phone"), "us_state": F.coalesce("norm_state", "us_state"),
         "contact_id": F.when(present(F.col("contact_name")), contact_link(F.col("org_dedup"), contact_key)),
         **{c: F.col(c).cast("string") if c in records.columns else F.lit(None).cast("string") for c in LINKS}})
+
+
+def arriving_rows(rows: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """For each table of the store the resolved rows that arrive, with its keys."""
     identified = rows.filter(F.col("identity_key").isNotNull())
+    contact_key = F.lower(F.trim("contact_name"))
     placed = F.coalesce("city", "us_state", "postal_code").isNotNull()
-    return rows, {
+    return {
         "leads": identified,
         "organizations": identified.filter(F.col("org_id").isNotNull()).select(
             F.col("org_id").alias("dedup_key"), F.col("organization_name").alias("name"), "website",
@@ -440,7 +442,13 @@ def upsert_store(store: LeadStore, records: DataFrame, as_of: Column, merge: str
     first non-empty value, ``arrival`` the latest. The tables may be parts of a larger store, if they
     hold all rows stored under the keys of the records.
     """
-    rows, arriving = arriving_rows(store.lead_sources, records, as_of)
+    rows = resolved_rows(store.lead_sources, records)
+    leads, new_store = upsert_arriving(store, arriving_rows(rows, as_of), as_of, merge)
+    return new_store, batch_outcomes(rows.withColumn("run", F.lit("run")), leads, "identity_key", "run")
+
+
+def upsert_arriving(store: LeadStore, arriving: Mapping[str, DataFrame], as_of: Column, merge: str = "arrival") -> tuple[DataFrame, LeadStore]:
+    """The same for rows that ``arriving_rows`` has made; returns the leads with their outcomes, and the new tables."""
     identified = arrivals = arriving["leads"]
     if merge == "batch":  # the batch is one arrival, made of the first non-empty values
         fields = [*LATEST_FIELDS, *FIRST_FIELDS]
@@ -458,7 +466,5 @@ def upsert_store(store: LeadStore, records: DataFrame, as_of: Column, merge: str
     seen = arriving["lead_sources"]
     stored = store.lead_sources.withColumnRenamed("identity_key", "lead_id").select(*seen.columns)
     sightings = upsert_sightings(stored, seen).withColumnRenamed("lead_id", "identity_key")
-    outcomes = batch_outcomes(rows.withColumn("run", F.lit("run")), leads, "identity_key", "run")
-    new_store = LeadStore(leads.drop("outcome"), organizations, grown("contacts"), grown("emails"), grown("phones"), grown("locations"),
-                          sightings.select(*store.lead_sources.columns), grown("dataset_records"))
-    return new_store, outcomes
+    return leads, LeadStore(leads.drop("outcome"), organizations, grown("contacts"), grown("emails"), grown("phones"), grown("locations"),
+                            sightings.select(*store.lead_sources.columns), grown("dataset_records"))

@@ -191,10 +191,11 @@ def candidates(queries: DataFrame, folder: str, probes: int, rerank: int) -> Dat
     return top_rows(near, ["query_id"], [F.col("near").desc(), F.col("vec_id")], rerank).drop("rank")
 
 
-def search(queries: DataFrame, folder: str, k: int, probes: int = 8, rerank: int | None = None) -> DataFrame:
+def search(queries: DataFrame, folder: str, k: int, probes: int = 40, rerank: int | None = None) -> DataFrame:
     """``(query_id, vec_id, score, rank)``: the ``k`` best of the candidates by exact cosine.
 
-    ``rerank`` candidates are scored exactly for each query (by default eight for each of the ``k``).
+    ``rerank`` candidates are scored exactly for each query (by default eight for each of the ``k``). The
+    default of ``probes`` is for 64 cells and vectors without clusters; where there are clusters a few do.
     """
     k = max(1, int(k))
     found = candidates(queries, folder, probes, max(rerank or 8 * k, k)).select("query_id", "vec_id", "cell")

@@ -102,7 +102,7 @@ def stream_ingest(e: Entities) -> DataFrame:
         F.concat(F.lit("Event "), k).alias("title"), F.concat(F.lit("user "), "user_id", F.lit("@firm.com")).alias("contact_name"),
         F.concat(F.lit("Org "), F.col("user_id") % 20).alias("organization_name"), F.lit("NY").alias("us_state"))
     folder = scratch_folder(e.spark, "store")
-    T.ingest_stream(records, f"{folder}/tables", as_of(), f"{folder}/checkpoint")
+    T.ingest_stream(records, f"{folder}/tables", as_of(), f"{folder}/checkpoint", buckets=16)
     return read_store(e.spark, f"{folder}/tables").leads.select("identity_key", "title", "version", "contact_name")
 
 

@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import STORE_KEYS, STORE_SCHEMAS, LeadStore, arriving_rows, upsert_store
+from ..operators.merge import STORE_KEYS, STORE_SCHEMAS, LeadStore, arriving_rows, batch_outcomes, resolved_rows, upsert_arriving
 from .sinks import _files
 
 
@@ -73,11 +73,11 @@ def bucket(name: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*STORE_KEYS[name]), F.lit(buckets)).cast("int")
 
 
-def touched(rows: Mapping[str, DataFrame], buckets: int) -> dict[str, list[int]]:
-    """Per table the buckets that the keys of its ``rows`` fall into: at most ``buckets`` numbers each, in one job."""
-    numbers = [df.select(F.lit(name).alias("name"), bucket(name, buckets).alias("bucket")) for name, df in rows.items()]
+def touched(arriving: Mapping[str, DataFrame], buckets: int) -> dict[str, list[int]]:
+    """Per table the buckets that the keys of the arriving rows fall into: at most ``buckets`` numbers each, in one job."""
+    numbers = [rows.select(F.lit(name).alias("name"), bucket(name, buckets).alias("bucket")) for name, rows in arriving.items()]
     found = functools.reduce(DataFrame.union, numbers).distinct().collect()
-    return {name: sorted(r.bucket for r in found if r.name == name) for name in rows}
+    return {name: sorted(r.bucket for r in found if r.name == name) for name in arriving}
 
 
 def read_table(spark: SparkSession, folder: str, name: str, state: Manifest | None, only: list[int] | None = None) -> DataFrame:
@@ -93,13 +93,13 @@ def read_store(spark: SparkSession, folder: str, below: int | None = None) -> Le
     return LeadStore(**{name: read_table(spark, folder, name, state) for name in STORE_SCHEMAS})
 
 
-def _write(table: DataFrame, folder: str, name: str, version: int, buckets: int) -> list[int]:
-    """Write rows by bucket below a version and return the buckets written. The keys of the table are checked on what was written."""
+def _write(table: DataFrame, folder: str, name: str, version: int, buckets: int, check: bool) -> list[int]:
+    """Write rows by bucket below a version and return the buckets written; ``check`` looks for keys that are there twice."""
     path, spark = f"{folder}/{name}/v={version:08d}", table.sparkSession
     table.withColumn("bucket", bucket(name, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
     fs, root, _ = _files(spark, path)
     written = sorted(int(n[7:]) for n in (s.getPath().getName() for s in fs.listStatus(root)) if n.startswith("bucket="))
-    if written:
+    if check and written:
         double = spark.read.schema(STORE_SCHEMAS[name]).parquet(path).groupBy(*STORE_KEYS[name]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         if not double.isEmpty():
             raise ValueError(f"{path}: {list(STORE_KEYS[name])} is not unique")
@@ -108,14 +108,16 @@ def _write(table: DataFrame, folder: str, name: str, version: int, buckets: int)
 
 def write_store(store: LeadStore, folder: str, version: int, buckets: int = 64) -> None:
     """Whole tables as one version, in place of whatever was there."""
-    tables = {name: dict.fromkeys(_write(getattr(store, name), folder, name, version, buckets), version) for name in STORE_SCHEMAS}
+    tables = {name: dict.fromkeys(_write(getattr(store, name), folder, name, version, buckets, True), version) for name in STORE_SCHEMAS}
     commit(store.leads.sparkSession, folder, Manifest(version, buckets, tables))
 
 
-def upsert_records(records: DataFrame, folder: str, version: int, as_of: Column, merge: str = "arrival", buckets: int = 64) -> DataFrame | None:
+def upsert_records(records: DataFrame, folder: str, version: int, as_of: Column, merge: str = "arrival", buckets: int = 64,
+                   check: bool = False) -> DataFrame | None:
     """Upsert ingest rows (see ``ingest_fields``) as one version and return the outcomes, None if it is committed already.
 
-    ``buckets`` counts for a new store only.
+    ``buckets`` counts for a new store only. Keys are unique by the way rows are merged; ``check`` looks
+    at what was written as well.
     """
     spark = records.sparkSession
     if version in committed(spark, folder):
@@ -125,17 +127,23 @@ def upsert_records(records: DataFrame, folder: str, version: int, as_of: Column,
     told = records.filter(F.col("source_code").isNotNull() & F.col("external_id").isNotNull())
     asked = touched({"lead_sources": told}, buckets)["lead_sources"]
     sightings = read_table(spark, folder, "lead_sources", before, asked)
-    _, arriving = arriving_rows(sightings, records, as_of)
+    rows = resolved_rows(sightings, records).persist()  # read by every table
+    arriving = arriving_rows(rows, as_of)
     own = touched(arriving, buckets) | {"lead_sources": asked}
     part = LeadStore(**{name: read_table(spark, folder, name, before, own[name]) for name in STORE_SCHEMAS})
-    new, outcomes = upsert_store(part, records, as_of, merge)
+    leads, new = upsert_arriving(part, arriving, as_of, merge)
+    leads = leads.persist()  # written, and counted by outcome
+    new = dataclasses.replace(new, leads=leads.drop("outcome"))
     tables = {}
     for name in STORE_SCHEMAS:
         kept = dict(before.tables.get(name, {})) if before else {}
-        written = _write(getattr(new, name), folder, name, version, buckets) if own[name] else []
+        written = _write(getattr(new, name), folder, name, version, buckets, check) if own[name] else []
         tables[name] = kept | dict.fromkeys(written, version)
+    outcomes = batch_outcomes(rows.withColumn("run", F.lit("run")), leads, "identity_key", "run")
     outcomes = spark.createDataFrame(outcomes.collect(), outcomes.schema)  # one row, before what it was made from changes
     commit(spark, folder, Manifest(version, buckets, tables))
+    leads.unpersist()
+    rows.unpersist()
     return outcomes
 
 
