@@ -7,6 +7,10 @@ tree over 64 bits can prune. So the texts meet in bands of min-hashes as well: 2
 miss a pair of similarity 0.8 with a probability of 3 in a million, nearer ones less. Every link is
 verified on the whole sets.
 
+Most texts that share a band by chance or by a lesser likeness are told apart without their sets: a parity
+bitmap has a bit turned over by every run, so two of them differ in at most as many bits as the sets differ
+in runs, and a pair whose bitmaps differ in more than a ninth of both sizes cannot be similar.
+
 In a band leads are compared with members that come later in the order of a hash, twice as many leads in
 each round. Only pairs whose ends are linked already are left out, so a family of copies is mostly settled
 after the first lead, and once the pairs left are few per row all of them are compared. Nothing is done
@@ -18,6 +22,8 @@ text; a null key is a text of its own and linked to nothing; an empty table give
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, components, shingles, stored, with_bitmap, words
 from .simhash import close_links, majority_bits, text_key
 
-BANDS, FUNCTIONS, PAIRS_PER_ROW = 24, 4, 8
+BANDS, FUNCTIONS, PAIRS_PER_ROW = 24, 4, 100
+PARITY = [f"parity_{k}" for k in range(8)]  # a bitmap of 512 bits
 SLICE = 1 << 20  # runs sketched at once
 MARK, FLAG = "near_copies_row_mark", "near_copies_row_flag"
 
@@ -58,8 +65,15 @@ def min_hash_bands(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_bitmaps(runs: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """For each text a bitmap in which every run turns one bit over, as one array per 64 bits."""
+    place = _mixed(runs, np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)
+    bit, word = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6)
+    return [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), starts) for k in range(len(PARITY))]
+
+
 def sketches(texts: DataFrame, size: int) -> DataFrame:
-    """``(key, n, bits, bands)``: number of runs, SimHash fingerprint and bands of every text."""
+    """``(key, n, bits, bands)`` and a parity bitmap: number of runs, SimHash fingerprint and bands of every text."""
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             lists, at = part.column("runs"), 0
@@ -68,15 +82,17 @@ def sketches(texts: DataFrame, size: int) -> DataFrame:
                 stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
                 some = lists.slice(at, stop - at)
                 n = np.diff(ends[at:stop + 1]).astype(np.int64)
-                bands = min_hash_bands(some.flatten().to_numpy().view(np.uint64), np.cumsum(n) - n)
+                runs, starts = some.flatten().to_numpy().view(np.uint64), np.cumsum(n) - n
+                bands, parity = min_hash_bands(runs, starts), parity_bitmaps(runs, starts)
                 bits = majority_bits(pa.ListArray.from_arrays(pa.array(ends[at:stop + 1] - ends[at], pa.int32()), some.flatten()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").slice(at, stop - at), pa.array(n), pa.array(bits.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(stop - at + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))],
-                    names=["key", "n", "bits", "bands"])
+                     pa.ListArray.from_arrays(pa.array(np.arange(stop - at + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel())),
+                     *[pa.array(p.view(np.int64)) for p in parity]],
+                    names=["key", "n", "bits", "bands", *PARITY])
                 at = stop
 
-    return run_sets(texts, size).mapInArrow(sketch, "key long, n long, bits long, bands array<long>")
+    return run_sets(texts, size).mapInArrow(sketch, "key long, n long, bits long, bands array<long>, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def similar_links(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -106,10 +122,10 @@ def near_copy_roots(texts: DataFrame, size: int = 5, radius: int = 2) -> DataFra
     pairs = stored(fingerprint_pairs(sketched, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     roots = stored(components(similar_links(pairs, texts, size)), "roots")
 
-    rows = sketched.select("key", "n", F.explode("bands").alias("band"))
+    rows = sketched.select("key", "n", *PARITY, F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     order = (F.shiftrightunsigned(F.xxhash64("key"), 1) / F.lit(float(1 << 63))).alias("order")  # even in [0, 1)
-    met = stored(rows.join(sizes, "band").select("band", "key", "n", "size", order), "meetings")
+    met = stored(rows.join(sizes, "band").select("band", "key", "n", "size", order, *PARITY), "meetings")
     n_rows, start, width = met.count(), 0, 1
     while True:
         known = roots.withColumnRenamed("node", "key")
@@ -120,9 +136,11 @@ def near_copy_roots(texts: DataFrame, size: int = 5, radius: int = 2) -> DataFra
         if left:
             place = F.col("order") * F.col("size")  # about the place in the band's order
             lead = members.filter(place >= start).filter(F.lit(True) if last else place < start + width).select(
-                "band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "order", "root")])
+                "band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "order", "root", *PARITY)])
+            apart_bits = functools.reduce(operator.add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"lead_{p}"))) for p in PARITY])
             pairs = members.join(lead, (members.band == lead.band) & (F.struct("order", "key") > F.struct("lead_order", "lead_key")) & (F.col("root") != F.col("lead_root"))
-                                 & (5 * F.col("n") >= 4 * F.col("lead_n")) & (5 * F.col("lead_n") >= 4 * F.col("n")))
+                                 & (5 * F.col("n") >= 4 * F.col("lead_n")) & (5 * F.col("lead_n") >= 4 * F.col("n"))
+                                 & (9 * apart_bits <= F.col("n") + F.col("lead_n")))
             pairs = stored(pairs.select(F.least("key", "lead_key").alias("a"), F.greatest("key", "lead_key").alias("b")).distinct(), "pairs")
             found = stored(similar_links(pairs, texts, size), "found")
             # A component so far is its members' links to the root.
