@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import deliver as D
+from ..schemas import RAW_SCHEMA
 from ..session import scratch_folder
+from ..sources.adapter import CollectedRecords
 from ..sources.store import read_store
 from ..streaming import jobs as T
 from ..streaming import stateful as S
@@ -106,6 +108,27 @@ def stream_ingest(e: Entities) -> DataFrame:
     return read_store(e.spark, f"{folder}/tables").leads.select("identity_key", "title", "version", "contact_name")
 
 
+@plan("stream_collected", sql="""
+SELECT CAST(event_id AS VARCHAR) AS external_id, event_type AS source_code, 'Event ' || event_id AS title, CAST(event_id % 2 AS INTEGER) AS arrival, true AS in_order FROM events""")
+def stream_collected(e: Entities) -> DataFrame:
+    """Record files read as they arrive: the second half comes after the first was read, and its ordinals come after."""
+    e.spark.dataSource.register(CollectedRecords)
+    folder, k = scratch_folder(e.spark, "collected"), F.col("event_id")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("arrival", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    for half in (0, 1):
+        records = e.events.filter(k % 2 == half).select(k.cast("string").alias("external_id"), F.col("event_type").alias("source_code"), F.concat(F.lit("Event "), k).alias("title"))
+        records.write.mode("append").json(f"{folder}/in")
+        files = e.spark.readStream.format("collected").option("suffix", ".json").option("log", f"{folder}/log").load(f"{folder}/in")
+        T.drain(files, write, f"{folder}/checkpoint")
+    rows = e.spark.read.schema(f"{RAW_SCHEMA}, arrival INT").parquet(f"{folder}/out")
+    last_of_first = rows.filter("arrival = 0").agg(F.max("ordinal")).scalar()
+    return rows.select(F.col("raw")["external_id"].alias("external_id"), "source_code", F.col("raw")["title"].alias("title"), "arrival",
+                       ((F.col("arrival") == 0) | (F.col("ordinal") > last_of_first)).alias("in_order"))
+
+
 JOB_LOG_STALE = 12 * 3600
 
 

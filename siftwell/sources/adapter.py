@@ -1,7 +1,7 @@
 """Source adapters: a Spark data source over collected record files.
 
 ``spark.read.format("collected")`` and ``readStream`` give ``(ordinal, source_code, raw)`` rows from
-folders of JSON lines. The folder may be on any file system that Arrow opens (a local path,
+folders of JSON lines, whose files end in ``suffix`` (``.jsonl``). The folder may be on any file system that Arrow opens (a local path,
 ``file://``, ``hdfs://``, ``s3://``, ...). Nothing is fetched from the network.
 
 The ordinal puts records in order of arrival: the number of the file in the order in which files came,
@@ -39,7 +39,7 @@ def _listed(folder: str) -> list[tuple[str, int, int]]:
 
     system, root = _opened(folder)
     infos = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    found = [(i.path, int(i.mtime_ns or 0), i.size) for i in infos if i.type == fs.FileType.File and i.path.endswith(".jsonl")]
+    found = [(i.path, int(i.mtime_ns or 0), i.size) for i in infos if i.type == fs.FileType.File and i.path.endswith(suffix)]
     return sorted(found, key=lambda f: (f[1], f[0]))
 
 
@@ -75,6 +75,7 @@ class _Options:
     def __init__(self, options):
         self.folder, self.source = options["path"], options.get("source", "unknown")
         self.range_bytes, self.log = int(options.get("range_bytes", RANGE_BYTES)), options.get("log")
+        self.suffix = options.get("suffix", ".jsonl")
 
     def read(self, partition):
         return _rows(self.folder, self.source, partition)
@@ -82,7 +83,7 @@ class _Options:
 
 class _Reader(_Options, DataSourceReader):
     def partitions(self):
-        return [r for n, (path, _, size) in enumerate(_listed(self.folder)) for r in _ranges(n, path, size, self.range_bytes)]
+        return [r for n, (path, _, size) in enumerate(_listed(self.folder, self.suffix)) for r in _ranges(n, path, size, self.range_bytes)]
 
 
 class _StreamReader(_Options, DataSourceStreamReader):
@@ -110,7 +111,7 @@ class _StreamReader(_Options, DataSourceStreamReader):
 
     def latestOffset(self):
         seen = set(self.entries)
-        fresh = [f for f in _listed(self.folder) if f not in seen]
+        fresh = [f for f in _listed(self.folder, self.suffix) if f not in seen]
         if fresh:
             system, root = _opened(self.log)
             name = f"{root}/{len(self.entries):012d}"
