@@ -1,8 +1,8 @@
 """Source adapters: a Spark data source over collected record files.
 
 ``spark.read.format("collected")`` and ``readStream`` give ``(ordinal, source_code, raw)`` rows from
-folders of JSON lines, whose files end in ``suffix`` (``.jsonl``). The folder may be on any file system that Arrow opens (a local path,
-``file://``, ``hdfs://``, ``s3://``, ...). Nothing is fetched from the network.
+folders of JSON lines, whose files end in ``suffix`` (``.jsonl``). The folder may be
+mounted or on any store that Arrow opens (``hdfs://``, ``s3://``, ...). Nothing is fetched from the network.
 
 The ordinal puts records in order of arrival: the number of the file in the order in which files came,
 and the byte at which the line begins. Large files are read in ranges of ``range_bytes`` by several tasks.
@@ -15,7 +15,9 @@ files. A file that has changed is a new arrival. Files should be moved into the
 
 from __future__ import annotations
 
+import io
 import json
+import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -26,21 +28,59 @@ LINE_BITS = 36  # of the ordinal, for the place in a file
 RANGE_BYTES = 64 << 20
 
 
-def _opened(path: str):
-    """The file system of a path, and the path in it."""
-    from pyarrow import fs
+class _LocalFiles:
+    """Files of a folder that driver and executors have mounted."""
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    def __init__(self, folder: str):
+        self.root = folder.removeprefix("file://").replace("file:", "", 1)
 
+    def listed(self) -> list[tuple[str, int, int]]:
+        if not os.path.isdir(self.root):
+            return []
+        with os.scandir(self.root) as entries:
+            return [(e.path, e.stat().st_mtime_ns, e.stat().st_size) for e in entries if e.is_file()]
 
-def _listed(folder: str) -> list[tuple[str, int, int]]:
-    """``(path, modification time in ns, size)`` of the record files of a folder by time and name."""
-    from pyarrow import fs
+    def open(self, path: str):
+        return open(path, "rb")
+
+    def write(self, name: str, content: bytes) -> None:
+        """A file that appears as a whole."""
+        os.makedirs(self.root, exist_ok=True)
+        with open(f"{self.root}/{name}.writing", "wb") as out:
+            out.write(content)
+        os.replace(f"{self.root}/{name}.writing", f"{self.root}/{name}")
+
+
+class _RemoteFiles:
+    """Files of any store that Arrow opens."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.fs = fs
+        self.system, self.root = fs.FileSystem.from_uri(folder)
+
+    def listed(self) -> list[tuple[str, int, int]]:
+        infos = self.system.get_file_info(self.fs.FileSelector(self.root, allow_not_found=True))
+        return [(i.path, int(i.mtime_ns or 0), i.size) for i in infos if i.type == self.fs.FileType.File]
 
-    system, root = _opened(folder)
-    infos = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    found = [(i.path, int(i.mtime_ns or 0), i.size) for i in infos if i.type == fs.FileType.File and i.path.endswith(suffix)]
-    return sorted(found, key=lambda f: (f[1], f[0]))
+    def open(self, path: str):
+        return io.BufferedReader(self.system.open_input_file(path), 1 << 20)
+
+    def write(self, name: str, content: bytes) -> None:
+        self.system.create_dir(self.root, recursive=True)
+        with self.system.open_output_stream(f"{self.root}/{name}.writing") as out:
+            out.write(content)
+        self.system.move(f"{self.root}/{name}.writing", f"{self.root}/{name}")
+
+
+def _files(folder: str) -> _LocalFiles | _RemoteFiles:
+    return _RemoteFiles(folder) if "://" in folder and not folder.startswith("file:") else _LocalFiles(folder)
+
+
+def _listed(folder: str, suffix: str) -> list[tuple[str, int, int]]:
+    """``(path, modification time in ns, size)`` of the record files of a folder by time and name."""
+    return sorted((f for f in _files(folder).listed() if f[0].endswith(suffix)), key=lambda f: (f[1], f[0]))
 
 
 class _Range(InputPartition):
@@ -54,14 +94,13 @@ def _ranges(number: int, path: str, size: int, range_bytes: int) -> list[_Range]
 
 def _rows(folder: str, source: str, part: _Range) -> Iterator[tuple[int, str, dict]]:
     """The records whose lines begin inside the range."""
-    system, _ = _opened(folder)
-    with system.open_input_file(part.path) as raw:
+    with _files(folder).open(part.path) as lines:
         at = max(part.start - 1, 0)
-        raw.seek(at)
+        lines.seek(at)
         if part.start:
-            at += len(raw.readline())  # the rest of a line that begins before the range, or just its end
+            at += len(lines.readline())  # the rest of a line that begins before the range, or just its end
         while at < part.end:
-            line = raw.readline()
+            line = lines.readline()
             if not line:
                 return
             if line.strip():
@@ -95,14 +134,10 @@ class _StreamReader(_Options, DataSourceStreamReader):
 
     def _read_log(self) -> list[tuple[str, int, int]]:
         """All entries in order. Every file of the log is named by the number of its first entry."""
-        from pyarrow import fs
-
-        system, root = _opened(self.log)
-        system.create_dir(root, recursive=True)
-        names = sorted(i.path for i in system.get_file_info(fs.FileSelector(root)) if i.path.endswith(".json"))
+        files = _files(self.log)
         entries: list[tuple[str, int, int]] = []
-        for name in names:
-            with system.open_input_stream(name) as part:
+        for name in sorted(path for path, _, _ in files.listed() if path.endswith(".json")):
+            with files.open(name) as part:
                 entries += [tuple(e) for e in json.loads(part.read())]
         return entries
 
@@ -113,11 +148,7 @@ class _StreamReader(_Options, DataSourceStreamReader):
         seen = set(self.entries)
         fresh = [f for f in _listed(self.folder, self.suffix) if f not in seen]
         if fresh:
-            system, root = _opened(self.log)
-            name = f"{root}/{len(self.entries):012d}"
-            with system.open_output_stream(f"{name}.writing") as part:
-                part.write(json.dumps(fresh).encode())
-            system.move(f"{name}.writing", f"{name}.json")
+            _files(self.log).write(f"{len(self.entries):012d}.json", json.dumps(fresh).encode())
             self.entries += fresh
         return {"files": len(self.entries)}
 
