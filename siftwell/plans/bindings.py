@@ -30,9 +30,21 @@ def choose(c: Column, values: dict[str, str]) -> Column:
     return F.try_element_at(constant_map(values), c)
 
 
-def rendered(df: DataFrame, *columns) -> DataFrame:
-    """Computed columns held as values, so that later expressions read them instead of computing them again."""
-    return df.select(F.inline(F.array(F.struct(*columns))))
+ROWS_PER_TASK = 2_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks of bounded size by a hash of ``key``.
+
+    Patterns over rendered pages cost about a millisecond a row, so their tasks must follow the rows: a
+    table of a million short rows may lie in one file and one row group.
+    """
+    return df.repartition(max(2, -(-df.count() // ROWS_PER_TASK)), key)
+
+
+def rendered(df: DataFrame, key: str, *columns) -> DataFrame:
+    """Computed columns of rows spread by ``key``, held as values, so that later expressions read them instead of computing them again."""
+    return spread(df, key).select(F.inline(F.array(F.struct(*columns))))
 
 
 class Entities:
