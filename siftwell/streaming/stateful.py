@@ -1,6 +1,6 @@
 """Streams whose state is more than an aggregate: the life of a job, and completions of follow-up requests.
 
-Both keep their state per key in ``transformWithState`` and drop it by event-time timers. They need the
+Both keep their state per key and drop it by event-time timers. The life of a job needs the
 RocksDB state store (``use_rocksdb``). The log rows of one key in one micro-batch are held at once; limit
 the micro-batch (``maxFilesPerTrigger``) where a single job may log very much.
 """
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.keys import joined_hash
 from ..functions.scoring import FINISHED
@@ -115,76 +116,72 @@ def end_cascade(ends: DataFrame) -> DataFrame:
 
 
 # --- completions of follow-up requests -------------------------------------------------------
-class RequestRoots(StatefulProcessor):
+NOBODY = -(1 << 63)
+ROOTS = ("requests array<bigint>, parents array<bigint>, originals array<boolean>, waiting_requests array<bigint>, waiting_jobs array<bigint>, "
+         "waiting_states array<string>, sent_jobs array<bigint>, sent_roots array<bigint>, last bigint")
+
+
+def _root(pointers: dict, request: int) -> tuple[str, int | None]:
+    """``(found, root)``, ``(none, None)`` or ``(open, None)`` while a pointer is missing. ``pointers`` names parent and whether it is an original."""
+    path, seen, at = [], set(), request
+    while True:
+        if at in seen:
+            return "none", None
+        if at not in pointers:
+            return "open", None
+        parent, original = pointers[at]
+        if original:
+            break
+        path.append(at)
+        seen.add(at)
+        if parent is None:
+            return "none", None
+        at = parent
+    for passed in path:
+        pointers[passed] = (at, False)
+    return "found", at
+
+
+def request_roots(horizon_seconds: int):
     """Per session the pointers from follow-ups to what they follow, and finished jobs that wait for a pointer.
 
     A row with a job is a subscription whose job has finished, a row without is a request. Chains are
-    shortened when they are walked. Circles and chains without an original request give nothing.
+    shortened when they are walked. Circles and chains without an original request give nothing. The state
+    of a session is one row, which travels with its input, so a session costs no calls to the state store.
     """
+    horizon = horizon_seconds * 1000
 
-    def __init__(self, horizon_seconds: int):
-        self.horizon = horizon_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.parents = handle.getMapState("parents", "request bigint", "parent bigint, follow_up boolean")
-        self.waiting = handle.getListState("waiting", "request bigint, job bigint, status string")
-        self.sent = handle.getMapState("sent", "job bigint, root bigint", "one int")
-
-    def _root(self, request: int) -> tuple[str, int | None]:
-        """``(found, root)``, ``(none, None)`` or ``(open, None)`` while a pointer is missing."""
-        path, at = [], request
-        while True:
-            if at in path:
-                return "none", None
-            if not self.parents.containsKey((at,)):
-                return "open", None
-            parent, follow_up = self.parents.getValue((at,))
-            if not follow_up:
-                break
-            path.append(at)
-            if parent is None or pd.isna(parent):
-                return "none", None
-            at = int(parent)
-        for passed in path:
-            self.parents.updateValue((passed,), (at, True))
-        return "found", at
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked, last = list(self.waiting.get()) if self.waiting.exists() else [], 0
+    def resolve(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = state.get if state.exists else ((),) * 8 + (0,)
+        requests, parents, originals, open_requests, open_jobs, open_states, sent_jobs, sent_roots, last = kept
+        pointers = {r: (p, o) for r, p, o in zip(requests, parents, originals)}
+        asked, sent = list(zip(open_requests, open_jobs, open_states)), dict.fromkeys(zip(sent_jobs, sent_roots))
         for batch in rows:
             last = max(last, int(batch["at"].max()))
-            for request, parent, follow_up, job, status in batch[["request_id", "parent_id", "follow_up", "job_id", "status"]].itertuples(index=False):
-                if pd.isna(job):
-                    self.parents.updateValue((int(request),), (None if pd.isna(parent) else int(parent), bool(follow_up)))
+            columns = [batch[c].tolist() for c in ("request_id", "parent_id", "follow_up", "job_id", "status")]
+            for request, parent, follow_up, job, status in zip(*columns):
+                if status is None:
+                    pointers[request] = (parent if follow_up and parent != NOBODY else None, not follow_up)
                 else:
-                    asked.append((int(request), int(job), status))
+                    asked.append((request, job, status))
         open_, out = [], []
         for request, job, status in asked:
-            state, root = self._root(request)
-            if state == "open":
+            found, root = _root(pointers, request)
+            if found == "open":
                 open_.append((request, job, status))
-            elif state == "found" and not self.sent.containsKey((job, root)):
-                self.sent.updateValue((job, root), (1,))
+            elif found == "found" and (job, root) not in sent:
+                sent[job, root] = None
                 out.append((root, job, status))
-        if open_:
-            self.waiting.put(open_)
-        else:
-            self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            last = max(last, timer - self.horizon)
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.horizon)
+        state.update((list(pointers), [p for p, _ in pointers.values()], [o for _, o in pointers.values()], [r for r, _, _ in open_], [j for _, j, _ in open_],
+                      [s for _, _, s in open_], [j for j, _ in sent], [r for _, r in sent], last))
+        state.setTimeoutTimestamp(max(last + horizon, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["request_id", "job_id", "status"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.parents, self.waiting, self.sent):
-            state.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+    return resolve
 
 
 def resolved_completions(jobs: DataFrame, requests: DataFrame, delay: str = "1 hour", horizon_seconds: int = 30 * 86400) -> DataFrame:
@@ -203,7 +200,9 @@ def resolved_completions(jobs: DataFrame, requests: DataFrame, delay: str = "1 h
         "session_id", "request_id", "parent_id", "follow_up", "job_id", "status", "asked_at")
     rows = met.unionByName(asked.select("session_id", "request_id", "parent_id", "follow_up", F.lit(None).cast("bigint").alias("job_id"),
                                         F.lit(None).cast("string").alias("status"), "asked_at"))
-    found = rows.withColumn("at", F.unix_millis("asked_at")).groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=RequestRoots(horizon_seconds), outputStructType="request_id bigint, job_id bigint, status string",
-        outputMode="Append", timeMode="EventTime")
+    told = rows.filter(F.col("request_id").isNotNull()).select(  # without NULL, which would turn ids into floats
+        "session_id", "request_id", F.coalesce("parent_id", F.lit(NOBODY)).alias("parent_id"), F.coalesce("follow_up", F.lit(False)).alias("follow_up"),
+        F.coalesce("job_id", F.lit(NOBODY)).alias("job_id"), "status", "asked_at", F.coalesce(F.unix_millis("asked_at"), F.lit(0)).alias("at"))
+    found = told.groupBy("session_id").applyInPandasWithState(
+        request_roots(horizon_seconds), "request_id bigint, job_id bigint, status string", ROOTS, "append", GroupStateTimeout.EventTimeTimeout)
     return found.withColumn("event_id", joined_hash(F.col("job_id"), F.col("request_id")))
