@@ -9,6 +9,7 @@ from . import fixed_values as V
 from .text import blank_to_null, clean_glyphs, let, string_array
 
 DIRECTORY_PHONE = V.DIRECTORY_PHONE_PATTERN + V.PHONE_EXTENSION_PATTERN
+LONE_PHONE = r"(?:^|[^0-9])(" + V.DIRECTORY_PHONE_PATTERN.replace(r"\s", r" \t\n\f\r").replace("([", "(?:[").replace(r"(\d", r"(?:\d") + r")(?:[^0-9]|\z)"
 GUARDED_PHONE = r"(?i)(?<!\d)" + V.DIRECTORY_PHONE_PATTERN + r"(?!\d)" + V.PHONE_EXTENSION_PATTERN
 
 
@@ -49,7 +50,7 @@ def directory_phone(c: Column) -> Column:
     def parts(m: Column) -> Column:
         number = F.regexp_extract(m, "^[^A-Za-z]*", 0)
         return F.struct(F.right(F.regexp_replace(number, r"\D", ""), F.lit(10)).alias("d"),
-                        F.regexp_extract(m, r"[A-Za-z.]\s*(\d{1,6})$", 1).alias("x"))
+                        F.regexp_extract(m, r"(?i)(?:ext\.?|x|extension)\s*(\d{1,6})$", 1).alias("x"))
 
     def build(n: Column) -> Column:
         d = n["d"]
@@ -73,6 +74,16 @@ def phones_in_text(c: Column) -> Column:
         parsed, lambda p: F.when(p["ext"] != "", F.concat(p["e164"], F.lit("x"), p["ext"])).otherwise(p["e164"])))
 
 
+def lone_phones_in_text(c: Column) -> Column:
+    """All numbers of a text as E.164, once each, none blocked and without extension.
+
+    A number needs a character of its own (or an end of the text) before and behind it: of two numbers
+    with one character between them only the first is read.
+    """
+    found = F.regexp_extract_all(c, F.lit(LONE_PHONE), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda m: F.concat(F.lit("+1"), F.right(F.regexp_replace(m, r"\D", ""), F.lit(10)))))
+
+
 def labelled_phones(c: Column) -> Column:
     """Numbers that follow an explicit label such as ``phone:`` or ``office``."""
     shape = rf"(?i)\b(?:{V.PHONE_LABELS})\s*[:.\-]?\s*({V.DIRECTORY_PHONE_PATTERN}(?:\s*(?:ext\.?|x)\s*\d{{1,6}})?)"
