@@ -18,7 +18,8 @@ TRANSITIONS = {"Queued": ["Running", "Cancelled"], "Running": ["WaitingForUser",
 
 def job_view(jobs: DataFrame, as_of: Column) -> DataFrame:
     """Displayed job: zero for missing counters and a live duration while running."""
-    live = F.when((F.col("status") == "Running") & F.col("started_at").isNotNull(), hms(seconds_between(F.col("started_at"), as_of)))
+    started = (F.col("status") == "Running") & F.col("started_at").isNotNull()
+    live = F.when(started, hms(seconds_between(F.col("started_at"), as_of)))
     stored = F.col("duration") if "duration" in jobs.columns else F.lit(None).cast("string")
     return jobs.withColumn("view_duration", F.coalesce(stored, live))
 
