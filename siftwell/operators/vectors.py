@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .ordered import top_rows
 
 QUERY_BLOCK = 2048
-TILE = 4096  # corpus rows per matrix product
+CELLS = 1 << 19  # scores that a task holds at once, 4 MB
 
 
 def clamp_k(k: int, most: int = 20) -> int:
@@ -56,8 +56,9 @@ def _scan_top(blocks: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
             sizes, ids = np.diff(lists.offsets.to_numpy()), batch.column(0).to_numpy(zero_copy_only=False)
             for size, (query_ids, matrix) in blocks.items():
                 rows = np.flatnonzero(sizes == size)
-                for at in range(0, len(rows), TILE):
-                    some = rows[at:at + TILE]
+                tile = max(64, CELLS // len(matrix))
+                for at in range(0, len(rows), tile):
+                    some = rows[at:at + tile]
                     fresh = _cosine(matrix, lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), size))
                     own = np.broadcast_to(ids[some], fresh.shape)
                     if size in best:
