@@ -86,7 +86,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def train(vectors: DataFrame, cells: int = 64, pieces: int = 16, sample: int = 16_384, rounds: int = 10) -> Quantiser:
+def train(vectors: DataFrame, cells: int = 64, pieces: int = 32, sample: int = 16_384, rounds: int = 10) -> Quantiser:
     """Fit the quantisers on a bounded sample; the dimension is that of its first vector with length."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("exists(v, x -> x <> 0)")
     rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
