@@ -438,6 +438,20 @@ def test_near_passages_and_windows(spark):
         assert len(inside) == 1 and values[inside[0][0]] == values[i:i + 20].min()
 
 
+def test_passages_of_texts_that_are_unlike_the_lead_of_their_meeting(spark):
+    """A 40-word line is in all texts, so that they meet; pairs of them share a passage of 70 words around it."""
+    random.seed(11)
+    word = lambda: "".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(random.randint(2, 5)))
+    some = lambda n: [word() for _ in range(n)]
+    line, rows = some(40), []
+    for pair in range(40):
+        passage = some(15) + line + some(15)
+        rows += [(2 * pair + k, " ".join(some(60) + passage + some(60))) for k in (0, 1)]
+    rows += [(100 + k, " ".join(some(60) + line + some(60))) for k in range(40)]
+    found = {r.doc_id: r.class_id for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(80)}
+
+
 def test_passages_odd_input(odd_docs, no_docs):
     found = {r.doc_id: r.class_id for r in passages.passage_classes(odd_docs).collect()}
     assert found == {1: 1, 2: 1} and passages.passage_classes(no_docs).count() == 0
