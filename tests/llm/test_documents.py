@@ -438,8 +438,10 @@ def test_near_passages_and_windows(spark):
         assert len(inside) == 1 and values[inside[0][0]] == values[i:i + 20].min()
 
 
-def test_passages_of_texts_that_are_unlike_the_lead_of_their_meeting(spark):
+@pytest.mark.parametrize("sorted_windows", [5_000, 3])
+def test_passages_of_texts_that_are_unlike_the_lead_of_their_meeting(spark, monkeypatch, sorted_windows):
     """A 40-word line is in all texts, so that they meet; pairs of them share a passage of 70 words around it."""
+    monkeypatch.setattr(passages, "SORTED_WINDOWS", sorted_windows)  # larger meetings go by rows
     random.seed(11)
     word = lambda: "".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(random.randint(2, 5)))
     some = lambda n: [word() for _ in range(n)]
