@@ -14,12 +14,13 @@ from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import joined_hash
 from ..functions.scoring import job_outcome
 from ..functions.text import blank_to_null, normalize_person_name, present
-from .ordered import block_bucket, carry_forward, first_rows, number_rows, previous_values
+from .ordered import block_bucket, first_rows, number_rows
 
 
 def filled(df: DataFrame, name: str) -> Column:
@@ -51,22 +52,86 @@ def content_hash(fields: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
 
 
-def arrival_history(df: DataFrame, key: str, ordinal: str, bucket: Column, fields: Sequence[str]) -> DataFrame:
-    """State after every arrival: latest non-empty values so far, and whether the arrival changed them.
+def block_summaries(rows: DataFrame, key: str, hashed: Sequence[str], latest: Sequence[str], first: Sequence[str], entries: bool,
+                    context: Sequence[str], also: Sequence[str]) -> DataFrame:
+    """One row per key and ``_block`` of ``rows``, which are ordered by ``_at``; what earlier blocks decide stays open.
 
-    ``bucket`` cuts long histories of one key into blocks that are increasing in ``ordinal``.
+    ``_sure`` counts arrivals that changed something by what the block itself says. ``_open_<field>`` is the first
+    value of a hashed field in the block, which only counts if it differs from that of the blocks before; ``_entries`` has
+    the first and the last value of every name in the map ``extra`` (with ``entries``).
     """
-    carried = carry_forward(df, [key], bucket, [F.col(ordinal)], {f: filled(df, f) for f in fields}, before="_before")
-    same = functools.reduce(operator.and_, [F.col(f).eqNullSafe(F.col("_before")[f]) for f in fields])
-    return carried.withColumn("changed", F.col("_before").isNotNull() & ~same).drop("_before")
+    fields = list(dict.fromkeys([*hashed, *latest, *first]))
+    inside = W.partitionBy(key, "_block").orderBy("_at")
+    local = rows.select(key, "_block", "_at", *[filled(rows, f).alias(f) for f in fields], *also,
+                        *([F.explode_outer(F.map_filter("extra", lambda k, v: v.isNotNull())).alias("_k", "_v")] if entries else []))
+    if entries:
+        named = W.partitionBy(key, "_block", "_k").orderBy("_at")
+        local = local.withColumns({"_was": F.lag("_v").over(named), "_next": F.lead("_v").over(named)})
+    local = local.withColumns({"_rn": (F.dense_rank() if entries else F.row_number()).over(inside),
+                               **{f"_p_{f}": F.last(f, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1)) for f in hashed}})
+    fresh = {f: F.col(f).isNotNull() & F.col(f"_p_{f}").isNull() for f in hashed}
+    differs = [F.col(f).isNotNull() & F.col(f"_p_{f}").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_p_{f}")) for f in hashed]
+    if entries:
+        differs.append(F.col("_was").isNotNull() & ~F.col("_was").eqNullSafe(F.col("_v")) & ~F.col("_k").isin(list(context)))
+    local = local.withColumn("_sure", functools.reduce(operator.or_, differs))
+    if entries:  # an arrival is as many rows as it has entries
+        local = local.withColumns({"_sure": F.bool_or("_sure").over(inside.rangeBetween(W.currentRow, W.currentRow)),
+                                   "_head": ~F.lag("_rn").over(inside).eqNullSafe(F.col("_rn"))})
+
+    def placed(f: str) -> Column:
+        return F.when(F.col(f).isNotNull(), F.col("_rn"))
+
+    told = F.struct(F.col("_k").alias("name"), F.col("_v").alias("value"), F.col("_rn").alias("rn"), F.col("_sure").alias("sure"),
+                    F.col("_was").isNull().alias("first"), F.col("_next").isNull().alias("last")) if entries else None
+    ends = F.col("_k").isNotNull() & (F.col("_was").isNull() | F.col("_next").isNull()) if entries else None
+    return local.groupBy(key, "_block").agg(
+        F.count_if(F.col("_sure") & F.col("_head") if entries else F.col("_sure")).alias("_sure"), *[F.max(c).alias(c) for c in also],
+        *[F.min(F.when(t, F.struct(F.col("_rn").alias("rn"), F.col("_sure").alias("sure"), F.col(f).alias("value")))).alias(f"_open_{f}") for f, t in fresh.items()],
+        *[F.max_by(f, placed(f)).alias(f"_latest_{f}") for f in dict.fromkeys([*hashed, *latest])],
+        *[F.min_by(f, placed(f)).alias(f"_first_{f}") for f in first],
+        *([F.collect_list(F.when(ends, told)).alias("_entries")] if entries else []))
+
+
+def fold_arrivals(rows: DataFrame, key: str, hashed: Sequence[str], latest: Sequence[str], first: Sequence[str] = (), entries: bool = False,
+                  context: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
+    """State of every key of ``rows(key, _block, _at, ...)`` after its last arrival, and ``_n``, how many arrivals after the first changed it.
+
+    Rows are shuffled once, by key and block, and one summary per block once more, by key. There the summaries of a
+    key are gone through in the order of its blocks. Of the columns in ``also`` the largest value is kept.
+    """
+    found = block_summaries(rows, key, hashed, latest, first, entries, context, also)
+    kinds = {c: found.schema[c].dataType for c in found.columns if c.startswith(("_latest_", "_first_")) and c not in also}
+    blocks = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_block", *[c for c in found.columns if c not in (key, "_block", *also)]))).alias("_blocks"),
+                                    *[F.max(c).alias(c) for c in also])
+    nothing = F.create_map().cast("map<string,string>")
+    start = F.struct(F.lit(0).cast("bigint").alias("_n"), F.lit(False).alias("_begun"), *([nothing.alias("extra")] if entries else []),
+                     *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    def step(state: Column, block: Column) -> Column:
+        def opened(f: str) -> Column:
+            o = block[f"_open_{f}"]
+            return F.when(o.isNotNull() & ~o["sure"] & (state["_begun"] | (o["rn"] > 1)) & ~state[f"_latest_{f}"].eqNullSafe(o["value"]), o["rn"])
+
+        changed, extra = F.array_compact(F.array(*[opened(f) for f in hashed])), []
+        if entries:
+            new = F.filter(block["_entries"], lambda e: e["first"] & ~e["sure"] & (state["_begun"] | (e["rn"] > 1)) & ~e["name"].isin(list(context))
+                           & ~F.try_element_at(state["extra"], e["name"]).eqNullSafe(e["value"]))
+            changed = F.concat(changed, F.transform(new, lambda e: e["rn"]))
+            last = F.map_from_entries(F.transform(F.filter(block["_entries"], lambda e: e["last"]), lambda e: F.struct(e["name"], e["value"])))
+            extra = [F.map_zip_with(state["extra"], last, lambda k, old, now: F.coalesce(now, old)).alias("extra")]
+        n = state["_n"] + block["_sure"] + F.size(F.array_distinct(changed))
+        values = [F.coalesce(*([block[c], state[c]] if c.startswith("_latest_") else [state[c], block[c]])).alias(c) for c in kinds]
+        return F.struct(n.alias("_n"), F.lit(True).alias("_begun"), *extra, *values)
+
+    folded = blocks.select(key, *also, F.explode(F.array(F.aggregate("_blocks", start, step))).alias("_s"))
+    return folded.select(key, *also, F.col("_s._n").alias("_n"), *([F.col("_s.extra").alias("extra")] if entries else []),
+                         *[F.col(f"_s._latest_{f}").alias(f) for f in latest], *[F.col(f"_s._first_{f}").alias(f) for f in first])
 
 
 def merge_arrivals(df: DataFrame, key: str, ordinal: str, bucket: Column, fields: Sequence[str]) -> DataFrame:
     """Final state of every key with its version: 1 plus the number of arrivals that changed it."""
-    history = arrival_history(df, key, ordinal, bucket, fields)
-    final = F.max_by(F.struct(*fields), F.col(ordinal)).alias("_final")
-    merged = history.groupBy(key).agg(final, (F.count_if("changed") + 1).alias("version"))
-    return merged.select(key, *[F.col(f"_final.{f}") for f in fields], "version").withColumn("content_hash", content_hash(fields))
+    merged = fold_arrivals(df.withColumns({"_block": bucket.cast("bigint"), "_at": F.col(ordinal)}), key, fields, fields)
+    return merged.select(key, *fields, (F.col("_n") + 1).alias("version")).withColumn("content_hash", content_hash(fields))
 
 
 # --- upserts ---------------------------------------------------------------------------------
@@ -117,32 +182,21 @@ def upsert_arrivals(existing: DataFrame, incoming: DataFrame, key: str, ordinal:
     kind = incoming.schema[ordinal].dataType
     turn = F.struct(F.col("_turn").alias("turn"), F.col(ordinal).alias("ordinal"))
     columns = [key, *latest, *first, "extra"]
-    seeds = existing.select(*columns, F.lit(None).cast(kind).alias(ordinal), F.lit(0).alias("_turn"), F.lit(-(1 << 62)).alias("_block"))
-    fresh = incoming.select(*columns, ordinal, F.lit(1).alias("_turn"), bucket.cast("bigint").alias("_block"))
-    rows = seeds.join(fresh.select(key).distinct(), key, "left_semi").unionByName(fresh).withColumn("_at", turn)
-
-    history = carry_forward(rows, [key], F.col("_block"), [F.col("_at")], {f: filled(rows, f) for f in hashed}, before="_before")
-    same = functools.reduce(operator.and_, [F.col(f).eqNullSafe(F.col("_before")[f]) for f in hashed])
-    changes = history.filter(F.col("_before").isNotNull() & ~same).select(key, "_at")
-    entries = rows.select(key, "_at", "_block", F.explode("extra").alias("_k", "_v")).filter(F.col("_v").isNotNull())
-    told = previous_values(entries.filter(~F.col("_k").isin(list(context))), [key, "_k"], F.col("_block"), [F.col("_at")], {"_was": F.col("_v")})
-    begun = rows.groupBy(key).agg(F.min("_at").alias("_begin"), F.max("_turn").alias("_new"), F.min("_turn").alias("_seed"),
-                                  *[F.max_by(filled(rows, f), F.when(filled(rows, f).isNotNull(), F.col("_at"))).alias(f) for f in latest],
-                                  *[F.min_by(filled(rows, f), F.when(filled(rows, f).isNotNull(), F.col("_at"))).alias(f) for f in first])
-    changes = changes.unionByName(told.filter(~F.col("_was").eqNullSafe(F.col("_v"))).select(key, "_at")).distinct()
-    changes = changes.join(begun.select(key, "_begin"), key).filter("_at > _begin").groupBy(key).agg(F.count(F.lit(1)).alias("_changes"))
-    none = F.create_map().cast("map<string,string>")
-    state = begun.join(changes, key, "left").join(merge_maps(entries.withColumnRenamed("_k", "_name").select(
-        key, "_at", F.create_map("_name", "_v").alias("extra")), [key], "_at", "extra"), key, "left")
-    state = state.withColumn("extra", F.coalesce("extra", none)).withColumn("_n", F.coalesce("_changes", F.lit(0)))
-    state = state.join(existing.select(key, F.col("version").alias("_version"), F.col("first_seen_at").alias("_first_seen")), key, "left")
+    fresh = incoming.select(*columns, ordinal, F.lit(1).alias("_turn"), bucket.cast("bigint").alias("_block"),
+                            F.lit(None).cast("bigint").alias("_version"), F.lit(None).cast("timestamp_ntz").alias("_first_seen"), F.lit(0).alias("_seed"))
+    seeds = existing.select(*columns, F.lit(None).cast(kind).alias(ordinal), F.lit(0).alias("_turn"), F.lit(-(1 << 62)).alias("_block"),
+                            F.col("version").alias("_version"), F.col("first_seen_at").alias("_first_seen"), F.lit(1).alias("_seed"))
+    keys = incoming.select(key).distinct()
+    rows = seeds.join(keys, key, "left_semi").unionByName(fresh).withColumn("_at", turn)
+
+    state = fold_arrivals(rows, key, hashed, latest, first, True, context, ["_version", "_first_seen", "_seed"])
     listed = F.array_sort(F.filter(F.map_entries("extra"), lambda e: ~e["key"].isin(list(context))))
-    outcome = F.when(F.col("_seed") == 1, F.lit("inserted")).when(F.col("_n") > 0, F.lit("updated")).otherwise(F.lit("unchanged"))
+    outcome = F.when(F.col("_seed") == 0, F.lit("inserted")).when(F.col("_n") > 0, F.lit("updated")).otherwise(F.lit("unchanged"))
     merged = state.select(
         key, *latest, *first, "extra", F.sha2(F.to_json(F.struct(*sorted(hashed), listed.alias("extra"))), 256).alias("content_hash"),
         (F.coalesce("_version", F.lit(1)) + F.col("_n")).cast("bigint").alias("version"),
         F.coalesce("_first_seen", as_of).alias("first_seen_at"), as_of.alias("last_seen_at"), outcome.alias("outcome"))
-    kept = existing.join(state.select(key), key, "left_anti").withColumn("outcome", F.lit("untouched"))
+    kept = existing.join(keys, key, "left_anti").withColumn("outcome", F.lit("untouched"))
     return merged.unionByName(kept.select(merged.columns))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge as M
 from ..operators.ordered import block_bucket, day_bucket
+from ..session import scratch_folder
 from .bindings import AS_OF, Entities, as_of
 from .registry import plan
 
@@ -66,7 +67,9 @@ def upsert_rows(e: Entities) -> DataFrame:
     def apply(stored: DataFrame, batch: DataFrame) -> DataFrame:
         return M.upsert_arrivals(stored, batch, "identity", "ordinal", _line_bucket(), FIELDS, ["source_code"], FIELDS, as_of())
 
-    done = apply(apply(empty, rows.filter("line <= 3")).drop("outcome"), rows.filter("line > 3"))
+    folder = scratch_folder(e.spark, "stored")  # the first batch is a stored table when the second arrives
+    apply(empty, rows.filter("line <= 3")).drop("outcome").write.parquet(folder)
+    done = apply(e.spark.read.schema(empty.schema).parquet(folder), rows.filter("line > 3"))
     return done.select("identity", *FIELDS, "source_code", "version", *[F.coalesce(F.try_element_at("extra", F.lit(k)), F.lit("")).alias(k) for k in ("mark", "state")], "outcome")
 
 

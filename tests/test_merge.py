@@ -136,3 +136,31 @@ def test_person_rows(spark):
 def test_map_merge(spark):
     df = spark.createDataFrame([(1, 1, {"a": "1", "b": "1"}), (1, 2, {"b": "2"})], "k int, o int, m map<string,string>")
     assert M.merge_maps(df, ["k"], "o", "m").collect()[0].m == {"a": "1", "b": "2"}
+
+
+def test_arrivals_fold_the_same_in_blocks_of_any_size(spark):
+    """Two shuffles whatever the blocks: one of the arrivals, one of a summary per key and block."""
+    pick = random.Random(7)
+    rows = [(k, i, pick.choice([None, "", "a", "b"]), pick.choice([None, None, "x", "y"]), {n: pick.choice("uv") for n in "mnc" if pick.random() < 0.4})
+            for k in range(40) for i in range(12)]
+    expected = {}
+    for k in range(40):
+        state, extra, n = {}, {}, 1
+        for place, (_, _, title, note, told) in enumerate([r for r in rows if r[0] == k]):
+            fields = {f: v for f, v in (("title", title), ("note", note)) if v}
+            changed = any(state.get(f) != v for f, v in fields.items()) or any(extra.get(e) != v for e, v in told.items() if e != "c")
+            state.update(fields), extra.update(told)
+            n += bool(place and changed)
+        expected[k] = (state.get("title"), state.get("note"), extra, n)
+    df = spark.createDataFrame(rows, "key int, ordinal int, title string, note string, extra map<string,string>")
+    for size in (100, 5, 1):
+        arrivals = df.withColumns({"_block": F.floor(F.col("ordinal") / size), "_at": F.col("ordinal")})
+        folded = M.fold_arrivals(arrivals, "key", ["title", "note"], ["title", "note"], entries=True, context=["c"])
+        assert {r.key: (r.title, r.note, r.extra, r._n + 1) for r in folded.collect()} == expected
+    merged = M.merge_arrivals(df, "key", "ordinal", F.floor(F.col("ordinal") / 5), ["title", "note"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
