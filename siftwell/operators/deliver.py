@@ -59,8 +59,11 @@ def completion_events(jobs: DataFrame, requests: DataFrame, existing: DataFrame
     done = jobs.filter(F.col("status").isin(*FINISHED)).select(
         "job_id", F.col("status").alias("job_status"))
     asked = requests.filter(F.coalesce("kind", F.lit("request")).isin("confirmation", "event") == F.lit(False))
-    events = asked.join(done, "job_id").withColumn("event_id", joined_hash(F.col("job_id"), F.col("request_id")))
-    return events.join(existing.select("event_id"), "event_id", "left_anti") if existing is not None else events
+    events = asked.join(done, "job_id")
+    if existing is not None:  # by what the id is made of, which is shorter than the id
+        there = existing.select(F.col("job_id").alias("_job"), F.col("request_id").alias("_request"))
+        events = events.join(there, (F.col("job_id") == F.col("_job")) & F.col("request_id").eqNullSafe(F.col("_request")), "left_anti")
+    return events.withColumn("event_id", joined_hash(F.col("job_id"), F.col("request_id")))
 
 
 def resolved_completions(jobs: DataFrame, requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -76,7 +76,10 @@ def stream_completions(e: Entities) -> DataFrame:
         return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.col("l_orderkey").alias("job_id"),
                             F.col("l_shipdate").cast("timestamp").alias("asked_at"))
 
-    met = drained(e, T.completion_events(jobs(stream(e, "orders")), requests(stream(e, "lineitem"))), "completions").distinct()
+    folder = scratch_folder(e.spark, "completions")
+    T.completion_log(jobs(stream(e, "orders")), requests(stream(e, "lineitem")), folder, f"{folder}/checkpoint")
+    written = e.spark.read.schema("request_id bigint, job_id bigint, status string, event_id string").parquet(f"{folder}/events")
+    met = written.select("request_id", "job_id", "status", "event_id").distinct()
     waiting = requests(e.lineitem).select("request_id", "job_id", F.lit("request").alias("kind")).distinct()
     late = D.completion_events(jobs(e.orders), waiting, met)
     return met.unionByName(late.select("request_id", "job_id", F.col("job_status").alias("status"), "event_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.keys import joined_hash
+from ..functions.scoring import FINISHED
 from ..operators.jobs import state_changes
 from ..operators.ordered import last_rows
 from ..operators.standardize import ingest_fields
@@ -56,19 +57,40 @@ def first_deliveries(deliveries: DataFrame, keys: list[str], ts: str, delay: str
     return deliveries.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def completion_events(jobs: DataFrame, requests: DataFrame, delay: str = "1 hour", horizon: str = "30 days") -> DataFrame:
-    """Finished jobs joined with the requests that wait for them, as both arrive.
+def completion_log(jobs: DataFrame, requests: DataFrame, folder: str, checkpoint: str, delay: str = "1 hour", horizon: str = "30 days"):
+    """Finished jobs joined with the requests that wait for them, as both arrive, appended below ``folder/events``.
 
     ``jobs(job_id, finished_at, status)`` and ``requests(request_id, job_id, asked_at)``. The event
-    id is a hash of job and request, so a rerun produces the same event. ``horizon`` bounds the state:
-    requests asked longer before or after the end of their job are served by the batch twin
-    ``operators.deliver.completion_events``, which takes the events that are there already.
+    id is a hash of job and request, so a rerun produces the same event. What later rows may still meet is
+    kept as a versioned table and joined with the next batch, so a batch of any size is a join that spills, and
+    one that is replayed writes the same events again. ``horizon`` bounds what is kept: requests asked longer
+    before or after the end of their job are served by the batch twin ``operators.deliver.completion_events``,
+    which takes the events that are there already.
     """
-    done = jobs.withWatermark("finished_at", delay).filter(F.col("status").isin("Completed", "Partial", "Failed", "Cancelled"))
-    asked = requests.withWatermark("asked_at", delay).withColumnRenamed("job_id", "_job")
-    span = F.expr(f"INTERVAL {horizon}")
-    near = (F.col("_job") == F.col("job_id")) & F.col("asked_at").between(F.col("finished_at") - span, F.col("finished_at") + span)
-    return done.join(asked, near).select("request_id", "job_id", "status", joined_hash(F.col("job_id"), F.col("request_id")).alias("event_id"))
+    none = {"id": F.lit(None).cast("bigint"), "status": F.lit(None).cast("string")}
+    done = jobs.filter(F.col("status").isin(*FINISHED)).select("job_id", none["id"].alias("request_id"), "status", F.col("finished_at").alias("at"))
+    asked = requests.select("job_id", "request_id", none["status"].alias("status"), F.col("asked_at").alias("at"))
+    span, late = F.expr(f"INTERVAL {horizon}"), F.expr(f"INTERVAL {delay}")
+
+    def join_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        path = current_version(spark, f"{folder}/kept", below=batch_id + 1)
+        rows = batch.filter(F.col("job_id").isNotNull() & F.col("at").isNotNull()).withColumn("_new", F.lit(True))
+        if path:
+            rows = rows.unionByName(spark.read.parquet(path).withColumn("_new", F.lit(False)))
+        ended = rows.filter(F.col("status").isNotNull()).select("job_id", "status", F.col("at").alias("_ended"), F.col("_new").alias("_job_new"))
+        waiting = rows.filter(F.col("status").isNull()).drop("status")
+        near = F.col("at").between(F.col("_ended") - span, F.col("_ended") + span)
+        met = ended.join(waiting, "job_id").filter(near & (F.col("_new") | F.col("_job_new"))).select("request_id", "job_id", "status")
+        met.withColumn("event_id", joined_hash(F.col("job_id"), F.col("request_id"))).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+        # The last row of either side is never older than the mark, so the next mark can be told from what is kept.
+        micros, of_job = F.unix_micros("at"), F.col("status").isNotNull()
+        last = rows.agg(F.max(F.when(of_job, micros)), F.max(F.when(~of_job, micros))).first()
+        if None not in last:
+            rows = rows.filter(F.col("at") >= F.timestamp_micros(F.lit(min(last))) - late - span)
+        write_version(rows.drop("_new"), f"{folder}/kept", batch_id + 1)
+
+    return drain(done.unionByName(asked), join_batch, checkpoint)
 
 
 class HeartbeatReaper(StatefulProcessor):
