@@ -13,7 +13,8 @@ in runs, and a pair whose bitmaps differ in more than a ninth of both sizes cann
 
 In a band leads are compared with members that come later in the order of a hash, twice as many leads in
 each round. Only pairs whose ends are linked already are left out, so a family of copies is mostly settled
-after the first lead, and once the pairs left are few per row all of them are compared. Nothing is done
+after the first ones, and once the pairs left are few per row all of them are compared, but not before some
+leads were: so a large family makes pairs in proportion to its size, not to the square of it. Nothing is done
 per band in one task but joins, which split.
 
 Texts without words form one group; fewer words than a run's size are one run. Rows with one key are one
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, components, shingles, stored, with_bitmap, words
 from .simhash import close_links, majority_bits, text_key
 
-BANDS, FUNCTIONS, PAIRS_PER_ROW = 24, 4, 100
+BANDS, FUNCTIONS, PAIRS_PER_ROW, LEADS = 24, 4, 100, 3
 PARITY = [f"parity_{k}" for k in range(8)]  # a bitmap of 512 bits
 SLICE = 1 << 20  # runs sketched at once
 MARK, FLAG = "near_copies_row_mark", "near_copies_row_flag"
@@ -126,15 +127,16 @@ def near_copy_roots(texts: DataFrame, size: int = 5, radius: int = 2) -> DataFra
     sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     order = (F.shiftrightunsigned(F.xxhash64("key"), 1) / F.lit(float(1 << 63))).alias("order")  # even in [0, 1)
     met = stored(rows.join(sizes, "band").select("band", "key", "n", "size", order, *PARITY), "meetings")
-    n_rows, start, width = met.count(), 0, 1
+    n_rows, largest = met.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    start, width = 0, 1
+    place = F.col("order") * F.col("size")  # about the place in the band's order
     while True:
         known = roots.withColumnRenamed("node", "key")
         members = stored(met.join(known, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
-        apart = members.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("c"))
+        apart = members.filter(place >= start).groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("c"))
         left = (apart.agg(F.sum("c")).first()[0] or 0) // 2
-        last = left <= PAIRS_PER_ROW * n_rows
+        last = left <= n_rows or start + width >= largest or (start >= LEADS and left <= PAIRS_PER_ROW * n_rows)
         if left:
-            place = F.col("order") * F.col("size")  # about the place in the band's order
             lead = members.filter(place >= start).filter(F.lit(True) if last else place < start + width).select(
                 "band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "order", "root", *PARITY)])
             apart_bits = functools.reduce(operator.add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"lead_{p}"))) for p in PARITY])
