@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .ordered import number_rows
 from .search import day_range
 
+BUCKETS = 1024  # buckets whose counts are added up in one task
+
 
 def shown_requests(requests: DataFrame) -> DataFrame:
     """Requests that are not cancelled collections and not receipts of a reset."""
@@ -34,14 +36,20 @@ def request_log(requests: DataFrame, jobs: DataFrame, user: object = None, decis
 def deep_page(rows: DataFrame, bucket: Column, order: Sequence[Column], page: int, size: int = 20, most: int = 100) -> DataFrame:
     """One page of an ordered table with ``position`` and ``total``; a late page costs what the first one costs.
 
-    Rows are counted per ``bucket``, which must grow with the order. The running count, one row per
-    bucket, says which buckets the page lies in; only these are sorted. The counts give the total as well.
+    Rows are counted per ``bucket``, a whole number which must grow with the order. The running count says which
+    buckets the page lies in; only these are sorted. It runs inside blocks of buckets, and over the counts of the
+    blocks, which are one row, so no task holds all buckets. The counts give the total as well.
     """
     page, size = max(1, page), min(max(1, size), most)
     low, high = (page - 1) * size, page * size
     counts = rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    chosen = counts.withColumn("_before", before).filter((F.col("_before") < high) & (F.col("_before") + F.col("_n") > low)).drop("_n")
+    counts = counts.withColumn("_block", F.floor(F.col("_bucket") / BUCKETS))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("_block", "_n"))).alias("_blocks"))
+    earlier = F.transform("_blocks", lambda b, i: F.struct(b["_block"].alias("_block"), F.aggregate(
+        F.slice("_blocks", F.lit(1), i), F.lit(0).cast("bigint"), lambda n, c: n + c["_n"]).alias("_earlier")))
+    inside_block = F.coalesce(F.sum("_n").over(W.partitionBy("_block").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("_before", inside_block).join(blocks.select(F.inline(earlier)), "_block").withColumn("_before", F.col("_before") + F.col("_earlier"))
+    chosen = before.drop("_block", "_earlier").filter((F.col("_before") < high) & (F.col("_before") + F.col("_n") > low)).drop("_n")
     inside = rows.withColumn("_bucket", bucket).join(chosen, "_bucket")
     local = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
     placed = inside.withColumn("position", (F.col("_before") + local).cast("bigint")).filter((F.col("position") > low) & (F.col("position") <= high))
