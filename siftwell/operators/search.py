@@ -326,11 +326,15 @@ def rank_matches(matches: DataFrame) -> DataFrame:
     return top_rows(first, ["request_id"], order, F.col("quantity"))
 
 
-def exclude_delivered(matches: DataFrame, deliveries: DataFrame) -> DataFrame:
+def exclude_delivered(matches: DataFrame, deliveries: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """For requests that want new leads only, drop pairs whose lead this user already got at the same version.
 
-    Requests without ``new_only`` or without a user keep all of their pairs.
+    Requests without ``new_only`` or without a user keep all of their pairs. With the ``requests`` behind the
+    matches only the deliveries of users who want new leads are dealt.
     """
+    if requests is not None:
+        users = requests.filter(F.coalesce(F.col("new_only"), F.lit(False))).select("user_id").distinct()
+        deliveries = deliveries.join(users, "user_id", "left_semi")
     seen = deliveries.filter(F.col("served_at").isNotNull()).select(
         F.col("user_id").alias("_user"), F.col("lead_id").alias("_seen"), F.col("record_version").alias("_version")).distinct()
     wants_new = F.coalesce(F.col("new_only"), F.lit(False)) & F.col("user_id").isNotNull()

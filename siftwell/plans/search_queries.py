@@ -108,7 +108,7 @@ def search_new_only(e: Entities) -> DataFrame:
     asked = state_requests(e).drop("has_email").withColumn("new_only", F.col("request_id") % 2 == 1).withColumn(
         "user_id", F.nullif("user_id", F.lit(3).cast("bigint")))
     matches = S.match_requests(_searchable(e), S.canonical_criteria(asked), as_of())
-    return S.exclude_delivered(matches, e.deliveries).select("request_id", "lead_id", "content_version")
+    return S.exclude_delivered(matches, e.deliveries, asked).select("request_id", "lead_id", "content_version")
 
 
 @plan("search_all_criteria", uses="titled_leads lead_sources organizations", sql=f"""
