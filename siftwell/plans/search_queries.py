@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.place import location_matches
-from ..functions.text import all_words_match, string_array
+from ..functions.text import all_words_match, present, string_array
 from ..operators import search as S
 from .bindings import AS_OF, CITIES, NATION_STATES, Entities, as_of, days
 from .registry import plan
@@ -230,9 +230,9 @@ def location_match(e: Entities) -> DataFrame:
 @plan("all_words_match", sql=r"""
 SELECT doc_id FROM documents WHERE contains(lower(text), 'token') OR (contains(lower(text), 'that') AND contains(lower(text), 'whst'))""")
 def all_words(e: Entities) -> DataFrame:
-    """Every keyword word except filler words occurs in the whole text."""
-    return e.documents.filter(all_words_match(F.col("text"), F.lit("Leads for token"))
-                              | all_words_match(F.col("text"), F.lit("THAT of whst"))).select("doc_id")
+    """Every keyword word except filler words occurs in the whole text; blank texts, which the operator lets pass, are left out."""
+    matched = all_words_match(F.col("text"), F.lit("Leads for token")) | all_words_match(F.col("text"), F.lit("THAT of whst"))
+    return e.documents.filter(present(F.col("text")) & matched).select("doc_id")
 
 
 @plan("missing_requirements", sql="""

@@ -11,6 +11,8 @@ from tests.compare import differences
 TEXTS = ["212.555.1234, 213.555.1234", "212-555-1234 ext. 7", "888-720-1710", "212-555-1234 212-555-9999", "212\x0b555\x0b1234", "x 212 555 1234 x212 555 1235",
          "Vi.24@Mail4.example.com", "x@y.9 ok@firm.com", "http://site.org/a ok@firm.com", "noreply@firm.com x@firm.com", "a@b.com.Und", "a@b.com_x", "a@b.co1.com", "a@b.comé", "u@h.com-", None, ""]
 
+BARE = ["", " ", "\n\t ", "\u2003", "\xa0", "\x0b", None, "token", "a token = ", "token = x", "token  = x", "token =\nx", "token\xa0= x", "a\xa0b c", "a\x0bb\x85c d", "xTOKEN", "To\u212aen", "That wh\u017ft", "THAT WHST", "that", "x y", "w " * 119 + "token = x"]
+
 
 def same(spark, folder, name, table, rows):
     rows.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
@@ -25,6 +27,16 @@ def test_odd_texts(spark, tmp_path, name):
     assert same(spark, tmp_path, name, "documents", spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")) == []
 
 
+def bare_documents(spark):
+    """Texts without words and with odd blanks, each three times under languages of its own, and a row without a key."""
+    rows = [(3 * i + k, text, (["en", "de", "fr"] * 3)[i % 3 + k * (i % 4)]) for i, text in enumerate(BARE) for k in range(3)]
+    return spark.createDataFrame(rows + [(None, "no key", "fr")], "doc_id long, text string, lang string")
+
+
+def test_blank_texts_hold_no_words_asked_for(spark, tmp_path):
+    assert same(spark, tmp_path, "all_words_match", "documents", bare_documents(spark)) == []
+
+
 def test_jobs_that_start_after_the_view(spark, tmp_path):
     k = F.col("id")
     rows = spark.range(3000).select(k.alias("event_id"), k.alias("user_id"), F.lit("view").alias("event_type"), F.concat(F.lit('{"k": '), k % 100, F.lit("}")).alias("props"),
