@@ -38,14 +38,16 @@ def chunk_documents(docs: DataFrame, key: str, text: str, size: int = 500, overl
     return rows.withColumn("content_hash", F.sha2("content", 256))
 
 
-def ingest_documents(incoming: DataFrame, stored_hashes: DataFrame, key: str, text: str) -> DataFrame:
+def ingest_documents(incoming: DataFrame, stored_hashes: DataFrame, key: str, text: str, refuse_empty: bool = True) -> DataFrame:
     """``status`` per document: ``already_exists``, ``empty`` or ``ingested``, with the hash and the
     document that stands for the content.
 
-    Of equal texts the lowest key is ingested. It is found by an aggregation over the hash, so
-    many copies of one text are combined before they are shuffled.
+    Without ``refuse_empty`` a text without words is treated like any other. Of equal texts the lowest
+    key is ingested. It is found by an aggregation over the hash, so many copies of one text are
+    combined before they are shuffled.
     """
-    hashed = incoming.select(key, F.sha2(text, 256).alias("content_hash"), F.col(text).rlike(r"(?U)\S").alias("_words"))
+    words = F.col(text).rlike(r"(?U)\S") if refuse_empty else F.lit(True)
+    hashed = incoming.select(key, F.sha2(text, 256).alias("content_hash"), words.alias("_words"))
     first = hashed.groupBy("content_hash").agg(F.min(key).alias("document"))
     stored = stored_hashes.groupBy("content_hash").agg(F.min("document").alias("_stored"))
     owners = first.join(stored, "content_hash", "left").select(
