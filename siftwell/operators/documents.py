@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+BLANKS = r"(?U)\s+"
 
 
-def chunk_array(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """Sliding windows of ``size`` words; consecutive windows share ``overlap`` words.
+def words_of(text: Column, blanks: str = BLANKS) -> Column:
+    return F.filter(F.split(text, blanks), lambda w: w != "")
+
+
+def chunk_array(text: Column, size: int = 500, overlap: int = 50, blanks: str = BLANKS) -> Column:
+    """Sliding windows of ``size`` words between ``blanks``; consecutive windows share ``overlap`` words.
 
     Array of ``struct(chunk_index, content, token_count)``, empty for a text without words.
     """
@@ -29,12 +32,12 @@ def chunk_array(text: Column, size: int = 500, overlap: int = 50) -> Column:
             F.slice(words, i * step + 1, size), lambda w: F.struct(
                 i.alias("chunk_index"), F.array_join(w, " ").alias("content"), F.size(w).alias("token_count")))))
 
-    return let(words_of(text), windows)
+    return let(words_of(text, blanks), windows)
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
-    """One row per chunk with its SHA-256. No shuffle: a document is split where it was read."""
-    rows = docs.select(key, F.inline(chunk_array(F.col(text), size, overlap)))
+def chunk_documents(docs: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50, blanks: str = BLANKS, beside: Sequence[str] = ()) -> DataFrame:
+    """One row per chunk with its SHA-256 and the columns ``beside`` it. No shuffle: a document is split where it was read."""
+    rows = docs.select(key, *beside, F.inline(chunk_array(F.col(text), size, overlap, blanks)))
     return rows.withColumn("content_hash", F.sha2("content", 256))
 
 
@@ -58,15 +61,14 @@ def ingest_documents(incoming: DataFrame, stored_hashes: DataFrame, key: str, te
     return joined.select(key, "content_hash", "document", status.alias("status"))
 
 
-def embed(chunks: DataFrame, text: str, embedder: Callable[[pd.Series], pd.Series], name: str = "embedding") -> DataFrame:
-    """Vectors from an embedder that maps a batch of texts to a batch of vectors."""
+def embed(chunks: DataFrame, text: str, embedder: Callable[..., pd.Series], name: str = "embedding", beside: Sequence[str] = ()) -> DataFrame:
+    """Vectors from an embedder that maps a batch of texts, and of the columns ``beside`` them, to a batch of vectors."""
 
     @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield embedder(batch)
+    def run(*columns: pd.Series) -> pd.Series:
+        return embedder(*columns)
 
-    return chunks.withColumn(name, run(F.col(text)))
+    return chunks.withColumn(name, run(text, *beside))
 
 
 def check_vectors(chunks: DataFrame, dimension: int, model: Column | None = None, expected_model: str | None = None) -> DataFrame:
@@ -82,16 +84,18 @@ def add_chunks(documents: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     return documents.join(counts, key, "left").withColumn("chunk_count", F.col("chunk_count") + F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def store_documents(incoming: DataFrame, stored_hashes: DataFrame, key: str, text: str, embedder: Callable[[pd.Series], pd.Series], dimension: int,
-                    size: int = 500, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
+def store_documents(incoming: DataFrame, stored_hashes: DataFrame, key: str, text: str, embedder: Callable[..., pd.Series], dimension: int,
+                    size: int = 500, overlap: int = 50, blanks: str = BLANKS, beside: Sequence[str] = (), refuse_empty: bool = True) -> tuple[DataFrame, DataFrame]:
     """Ingest in one go: find what is new, cut it, embed it, check it.
 
     Returns the documents with ``status`` and ``chunk_count`` and the usable chunks. A document whose
-    vectors have another dimension is ``failed`` and brings no chunks.
+    vectors have another dimension is ``failed`` and brings no chunks. The columns ``beside`` the text
+    go to the embedder with each of its chunks.
     """
-    statuses = ingest_documents(incoming, stored_hashes, key, text)
+    statuses = ingest_documents(incoming, stored_hashes, key, text, refuse_empty)
     fresh = incoming.join(statuses.filter("status = 'ingested'").select(key), key, "left_semi")
-    chunks = check_vectors(embed(chunk_documents(fresh, key, text, size, overlap), "content", embedder), dimension)
+    pieces = chunk_documents(fresh, key, text, size, overlap, blanks, beside)
+    chunks = check_vectors(embed(pieces, "content", embedder, beside=beside), dimension)
     counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_chunks"), F.count_if(F.col("problem").isNotNull()).alias("_bad"))
     joined = statuses.join(counts, key, "left")
     status = F.when(F.col("_bad") > 0, F.lit("failed")).otherwise(F.col("status"))
@@ -122,5 +126,5 @@ def excerpts(hits: DataFrame, text: str, length: int = 300) -> DataFrame:
     return hits.withColumn(text, F.substring(F.col(text), 1, length))
 
 
-__all__ = ["add_chunks", "check_vectors", "chunk_array", "chunk_documents", "delete_documents", "embed", "excerpts",
+__all__ = ["BLANKS", "add_chunks", "check_vectors", "chunk_array", "chunk_documents", "delete_documents", "embed", "excerpts",
            "ingest_documents", "readiness", "store_documents", "words_of"]

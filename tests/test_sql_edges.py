@@ -41,6 +41,11 @@ def test_blank_texts_are_hashed_like_others(spark, tmp_path):
     assert same(spark, tmp_path, "doc_dedup", "documents", bare_documents(spark)) == []
 
 
+@pytest.mark.parametrize("name", ["document_ingest", "chunk_documents"])
+def test_odd_blanks_cut_words_as_in_sql(spark, tmp_path, name):
+    assert same(spark, tmp_path, name, "documents", bare_documents(spark)) == []
+
+
 def test_jobs_that_start_after_the_view(spark, tmp_path):
     k = F.col("id")
     rows = spark.range(3000).select(k.alias("event_id"), k.alias("user_id"), F.lit("view").alias("event_type"), F.concat(F.lit('{"k": '), k % 100, F.lit("}")).alias("props"),
