@@ -195,9 +195,9 @@ WITH RECURSIVE {FOLLOW_UPS}, {_ROOTS}
 SELECT DISTINCT a.root AS request_id, j.job_id, j.status, sha256(j.job_id || ':' || a.root) AS event_id FROM j JOIN r USING (job_id) JOIN a ON a.request_id = r.request_id WHERE j.status <> 'Running'""")
 def stream_resolved_completions(e: Entities) -> DataFrame:
     """Completions of finished jobs for the originals behind their follow-ups, from two streams."""
-    S.use_rocksdb(e.spark)
-    found = S.resolved_completions(finished_orders(stream(e, "orders")), follow_up_requests(stream(e, "lineitem")), horizon_seconds=4000 * 86400)
-    return drained(e, found, "resolved")
+    folder = scratch_folder(e.spark, "resolved")
+    T.resolved_completion_log(finished_orders(stream(e, "orders")), follow_up_requests(stream(e, "lineitem")), folder, f"{folder}/checkpoint", horizon="4000 days")
+    return e.spark.read.schema("request_id bigint, job_id bigint, status string, event_id string").parquet(f"{folder}/events").select("request_id", "job_id", "status", "event_id")
 
 
 @plan("resolved_completions", sql=f"""

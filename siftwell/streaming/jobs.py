@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.keys import joined_hash
 from ..functions.scoring import FINISHED
+from ..operators.govern import root_ancestors
 from ..operators.jobs import state_changes
 from ..operators.ordered import last_rows
 from ..operators.standardize import ingest_fields
@@ -93,6 +94,66 @@ def completion_log(jobs: DataFrame, requests: DataFrame, folder: str, checkpoint
     return drain(done.unionByName(asked), join_batch, checkpoint)
 
 
+def resolved_completion_log(jobs: DataFrame, requests: DataFrame, folder: str, checkpoint: str, delay: str = "1 hour", horizon: str = "30 days"):
+    """Completions of finished jobs for the originals behind their follow-ups, appended below ``folder/events``.
+
+    ``jobs(job_id, finished_at, status)`` and ``requests(session_id, request_id, parent_id, follow_up, job_id,
+    asked_at)``, as for ``stateful.resolved_completions``, which keeps the same in the state of a session. Here
+    requests, jobs and what was sent are a versioned table as in ``completion_log``, and chains are resolved for all
+    sessions at once that a batch touches, so neither a row nor a session costs calls of Python or of a state store, and no
+    session has to fit one task. Requests are kept until their session, jobs until they have been quiet for ``horizon``.
+    """
+    columns = ["session_id", "request_id", "parent_id", "follow_up", "job_id", "status", "at", "sent"]
+    missing = {c: F.lit(None).cast("bigint") for c in ("session_id", "request_id", "parent_id")} | {
+        "follow_up": F.lit(None).cast("boolean"), "status": F.lit(None).cast("string"), "sent": F.lit(False)}
+
+    def filled(df: DataFrame) -> DataFrame:
+        return df.select(*[c if c in df.columns else missing[c].alias(c) for c in columns])
+
+    done = filled(jobs.filter(F.col("job_id").isNotNull() & F.col("status").isin(*FINISHED)).select("job_id", "status", F.col("finished_at").alias("at")))
+    told = requests.filter(F.col("session_id").isNotNull() & F.col("request_id").isNotNull())
+    asked = filled(told.select("session_id", "request_id", "parent_id", F.coalesce("follow_up", F.lit(False)).alias("follow_up"), "job_id", F.col("asked_at").alias("at")))
+    span, late = F.expr(f"INTERVAL {horizon}"), F.expr(f"INTERVAL {delay}")
+    is_request, is_job = F.col("session_id").isNotNull(), F.col("status").isNotNull() & ~F.col("sent")
+
+    def resolve_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        path = current_version(spark, f"{folder}/kept", below=batch_id + 1)
+        rows = batch.withColumn("_new", F.lit(True))
+        if path:
+            rows = rows.unionByName(spark.read.parquet(path).withColumn("_new", F.lit(False)))
+        ended = rows.filter(is_job).select("job_id", "status", F.col("at").alias("_ended"), F.col("_new").alias("_job_new"))
+        waiting = rows.filter(is_request).drop("status", "sent")
+        if path:  # sessions with a new request or a new end only
+            by_end = waiting.join(ended.filter("_job_new").select("job_id"), "job_id", "left_semi").select("session_id")
+            touched = waiting.filter("_new").select("session_id").unionByName(by_end).distinct()
+            waiting = waiting.join(touched, "session_id", "left_semi")
+        order = F.coalesce(F.unix_micros("at"), F.lit(-(1 << 63)))
+        nodes = waiting.groupBy("request_id").agg(F.max_by(F.struct("parent_id", "follow_up"), F.struct("_new", order.alias("at"))).alias("_last"))
+        roots = root_ancestors(nodes.select("request_id", "_last.parent_id", (~F.col("_last.follow_up")).alias("_original")), "request_id", "parent_id", "_original")
+        near = F.coalesce(F.col("at").between(F.col("_ended") - span, F.col("_ended") + span), F.lit(True))
+        met = waiting.join(ended, "job_id").filter(near).select("request_id", "job_id", "status", F.greatest("at", "_ended").alias("at"))
+        found = met.join(roots.filter(F.col("root_id").isNotNull()), "request_id").groupBy(F.col("root_id").alias("request_id"), "job_id", "status").agg(F.max("at").alias("at"))
+        if path:
+            before = rows.filter("sent").select(F.col("request_id").alias("_request"), F.col("job_id").alias("_job"))
+            found = found.join(before, (F.col("request_id") == F.col("_request")) & (F.col("job_id") == F.col("_job")), "left_anti")
+        target = f"{folder}/events/batch={batch_id}"
+        found.withColumn("event_id", joined_hash(F.col("job_id"), F.col("request_id"))).write.mode("overwrite").parquet(target)
+        sent = spark.read.schema(found.schema).parquet(target).withColumn("sent", F.lit(True))
+        rows = rows.drop("_new").unionByName(filled(sent))
+        # The last row of either side is never older than the mark, so the next mark can be told from what is kept.
+        micros = F.unix_micros("at")
+        ends, asks, first = rows.agg(F.max(F.when(is_job, micros)), F.max(F.when(is_request, micros)), F.min(micros)).first()
+        if ends is not None and asks is not None:
+            mark = F.timestamp_micros(F.lit(min(ends, asks))) - late - span
+            if rows.select((F.timestamp_micros(F.lit(first)) < mark).alias("old")).limit(1).first().old:
+                alive = rows.filter(is_request & (F.col("at") >= mark)).select("session_id").distinct()
+                rows = rows.filter(is_request).join(alive, "session_id", "left_semi").unionByName(rows.filter(~is_request & (F.col("at") >= mark)))
+        write_version(rows.select(*columns), f"{folder}/kept", batch_id + 1)
+
+    return drain(done.unionByName(asked), resolve_batch, checkpoint)
+
+
 class HeartbeatReaper(StatefulProcessor):
     """Reports a running job as failed when its heartbeat stays away; a later heartbeat resets the timer."""
 
