@@ -484,3 +484,14 @@ def test_gradients_lower_the_loss():
     labels = np.array([int(b[:, 0].max() > 0.8) for b in bags])
     p = quality_model.predict(quality_model.train(bags, labels), bags)
     assert ((p > 0.5) == labels).mean() > 0.95
+
+
+def test_windows_around_a_repeated_line_are_joined(spark):
+    """Windows that overlap are one, those apart and those that would be too long stay, and of equal tokens one does."""
+    far = passages.REACH
+    pack = lambda left, right: int(passages._packed(*(np.array([v]) for v in (left, (left + right) // 2, right)))[0] | 3)
+    windows = [(i, i + 60) for i in range(0, 500, 10)] + [(900, 960), (955, 1000)]
+    rows = [(1, token, 7, pack(*w)) for token in (5, 6) for w in windows] + [(2, 5, 8, pack(i * far, (i + 1) * far + 10)) for i in range(3)]
+    found = passages.joined_windows(spark.createDataFrame(rows, "meeting long, token long, doc long, place long")).collect()
+    ranges = sorted((r.meeting, r.token, r.doc, (r.place >> 35) - ((r.place >> 19) & far), (r.place >> 35) + ((r.place >> 3) & far) + 1, r.place & 7) for r in found)
+    assert ranges == [(1, 5, 7, 0, 550, 3), (1, 5, 7, 900, 1000, 3)] + [(2, 5, 8, i * far, (i + 1) * far + 10, 3) for i in range(3)]
